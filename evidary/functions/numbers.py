@@ -96,17 +96,15 @@ def is_supported(claim: Column | str, found: Column | str) -> Column:
 
 def general(value: Column | str) -> Column:
     """``%g`` rendering: six significant digits, trailing zeros dropped."""
-    v = col(value)
-    magnitude = F.abs(v)
-    exponent = F.when(magnitude == 0, F.lit(0)).otherwise(
-        F.floor(F.log10(F.bround(magnitude.cast("double"), 12))).cast("int")
-    )
-    fixed_text = F.format_string("%.10f", v.cast("double"))
-    places = F.greatest(F.lit(0), F.lit(5) - exponent)
-    choices = F.lit(None).cast("string")
-    for p in range(10, -1, -1):
-        choices = F.when(places == p, F.format_string(f"%.{p}f", v.cast("double"))).otherwise(choices)
-    text = F.coalesce(choices, fixed_text)
-    return F.when(F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(
-        text
+    v = col(value).cast("double")
+    scientific = F.format_string("%.5e", v)
+    exponent = F.substring_index(scientific, "e", -1).cast("int")
+    plain = F.lit(None).cast("string")
+    for places in range(10):
+        plain = F.when(exponent == 5 - places, F.format_string(f"%.{places}f", v)).otherwise(plain)
+    plain = F.when(
+        F.instr(plain, ".") > 0, F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+    ).otherwise(plain)
+    return F.when(exponent.between(-4, 5), plain).otherwise(
+        F.regexp_replace(scientific, r"\.?0*e", "e")
     )

@@ -11,10 +11,10 @@ from evidary import fixed
 
 # The characters Python's ``str.split()`` treats as white space, and its line breaks.
 WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
 NBSP_LIKE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
+    "        　"
 )
 
 
@@ -57,7 +57,7 @@ def word_count(value: Column | str) -> Column:
 
 def lines_of(value: Column | str) -> Column:
     """``splitlines()``: no empty element for a closing line break."""
-    text = F.regexp_replace(col(value), f"(?:{LINE_BREAK})$", "")
+    text = F.regexp_replace(col(value), f"{LINE_BREAK}$", "")
     return F.when(col(value) == "", F.array().cast("array<string>")).otherwise(
         F.split(text, LINE_BREAK, -1)
     )
