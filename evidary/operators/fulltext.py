@@ -140,7 +140,9 @@ def paper_texts(papers: DataFrame, sections: DataFrame, budget: int = fixed.MAX_
             header("title", "venue", "year", "abstract only", F.lit("")), F.lit("\n\n## ABSTRACT\n"), abstract
         )
     )
-    return papers.join(full, "pmcid", "left").select(
+    # Papers without a full-text id get a key of their own, so they spread over the join.
+    keyed = papers.withColumn("_k", F.coalesce("pmcid", F.concat(F.lit("#"), F.col("pmid"))))
+    return keyed.join(full.withColumnRenamed("pmcid", "_k"), "_k", "left").select(
         "pmid",
         text_or_empty("pmcid").alias("pmcid"),
         F.when(has, F.lit("full_text")).otherwise(F.lit("abstract")).alias("basis"),
