@@ -1,0 +1,13 @@
+"""Registered queries over the given tables."""
+
+from evidary.catalog import (  # noqa: F401
+    queries_place,
+    queries_rank,
+    queries_recur,
+    queries_runs,
+    queries_text,
+    queries_verify,
+)
+from evidary.catalog.registry import COVERS, ORACLES, QUERIES
+
+__all__ = ["COVERS", "ORACLES", "QUERIES"]

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from evidary.functions.text import code_array_map, slugify
 from evidary.operators.placement import Bounds
 
-TERMS = ("AF", "AO", "NF", "NO", "RF", "RO")
+PAIRS = ("AF", "AO", "NF", "NO", "RF", "RO")
+TERMS = ("AF1", "AO2", "NF3", "NO4", "RF5")
 NOW_YEAR = 2026
 POOL_SIZE = 60
 BOUNDS = Bounds(floor=20, ceiling=60, target=150)
@@ -61,12 +62,12 @@ def plan(spark: SparkSession, sf: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as search hits on parts: which search found a part, at which rank."""
+    pair = F.concat("l_returnflag", "l_linestatus")
+    place = F.array_position(F.array(*[F.lit(t) for t in PAIRS]), pair) - 1
     return table(spark, sf, "lineitem").select(
         F.col("l_partkey").cast("string").alias("pmid"),
-        F.concat("l_returnflag", "l_linestatus").alias("term"),
-        (F.array_position(F.array(*[F.lit(t) for t in TERMS]), F.concat("l_returnflag", "l_linestatus")) - 1)
-        .cast("int")
-        .alias("term_ord"),
+        F.concat(pair, F.col("l_linenumber").cast("string")).alias("term"),
+        (place * 7 + F.col("l_linenumber")).cast("int").alias("term_ord"),
         F.col("l_quantity").cast("int").alias("rank"),
     )
 

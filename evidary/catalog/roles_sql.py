@@ -42,11 +42,11 @@ SELECT r_regionkey AS ord, {SLUG} AS slug, r_name AS title,
        'papers about ' || lower(r_name) AS scope, [lower(r_name), 'small', 'medium'] AS seed_terms
 FROM region"""
 )
-role("plan", "topics")("SELECT ord, ['AF','AO','NF','NO','RF','RO'][ord + 1] AS term, slug AS topic FROM topics")
+role("plan", "topics")("SELECT ord, ['AF1','AO2','NF3','NO4','RF5'][ord + 1] AS term, slug AS topic FROM topics")
 role("hits")(
     """
-SELECT CAST(l_partkey AS VARCHAR) AS pmid, l_returnflag || l_linestatus AS term,
-       list_position(['AF','AO','NF','NO','RF','RO'], l_returnflag || l_linestatus) - 1 AS term_ord,
+SELECT CAST(l_partkey AS VARCHAR) AS pmid, l_returnflag || l_linestatus || l_linenumber AS term,
+       (list_position(['AF','AO','NF','NO','RF','RO'], l_returnflag || l_linestatus) - 1) * 7 + l_linenumber AS term_ord,
        CAST(l_quantity AS INTEGER) AS rank
 FROM lineitem"""
 )
@@ -89,7 +89,7 @@ SELECT CAST(doc_id AS VARCHAR) AS pmid, split_part(text, chr(10), 1) AS title, t
        CASE WHEN lang = 'en' THEN 'PMC' || doc_id END AS pmcid,
        coalesce(toxic = 1, FALSE) AS is_retracted,
        list_filter([source, CASE WHEN n_chars > 400 THEN lang END, CASE WHEN n_chars > 800 THEN 'long' END],
-                   x -> x IS NOT NULL) AS found_by,
+                   lambda x: x IS NOT NULL) AS found_by,
        n_chars % 50 AS best_rank, doc_id AS seq, lang
 FROM documents LEFT JOIN labels USING (doc_id)"""
 )

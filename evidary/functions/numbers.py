@@ -98,13 +98,13 @@ def general(value: Column | str) -> Column:
     """``%g`` rendering: six significant digits, trailing zeros dropped."""
     v = col(value).cast("double")
     scientific = F.format_string("%.5e", v)
-    exponent = F.substring_index(scientific, "e", -1).cast("int")
+    exponent = F.substring_index(scientific, "e", -1).try_cast("int")
     plain = F.lit(None).cast("string")
     for places in range(10):
         plain = F.when(exponent == 5 - places, F.format_string(f"%.{places}f", v)).otherwise(plain)
     plain = F.when(
         F.instr(plain, ".") > 0, F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
     ).otherwise(plain)
-    return F.when(exponent.between(-4, 5), plain).otherwise(
-        F.regexp_replace(scientific, r"\.?0*e", "e")
+    return F.when(exponent.between(-4, 5), plain).when(
+        v.isNotNull(), F.regexp_replace(scientific, r"\.?0*e", "e")
     )

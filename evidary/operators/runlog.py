@@ -91,7 +91,7 @@ def stage_durations(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("kind") == "NodeStarted", F.col("at"))).alias("started"),
         F.max(F.when(F.col("kind") == "NodeFinished", F.col("at"))).alias("finished"),
     )
-    seconds = F.unix_micros("finished") - F.unix_micros("started")
+    seconds = F.unix_micros(F.col("finished").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
     return span.withColumn("seconds", F.when(seconds >= 0, seconds / F.lit(1_000_000.0)))
 
 

@@ -46,7 +46,7 @@ def live_meter(events: DataFrame) -> DataFrame:
 
 def stage_status(events: DataFrame) -> DataFrame:
     """Status, seconds and last progress of every stage of every run (S3)."""
-    micros = F.unix_micros("at")
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
     return (
         events.filter(F.col("kind").isin("NodeStarted", "NodeFinished", "Progress"))
         .groupBy("run_id", "node")
