@@ -24,7 +24,7 @@ def _document_quotes(spark, sf):
     )
     last = F.element_at(T.words_of(F.element_at(T.lines_of("text"), -1)), 1)
     opening = F.array_join(F.slice(T.words_of(F.element_at(T.lines_of("text"), -1)), 1, 6), " ")
-    own = docs.select("pmid", F.lit(1).alias("row"), F.upper(opening).alias("quote"))
+    own = docs.select("pmid", F.lit(1).alias("row"), F.lower(opening).alias("quote"))
     other = docs.select((F.col("doc_id") + 1).cast("string").alias("pmid"), F.lit(2).alias("row"), opening.alias("quote"))
     short = docs.select("pmid", F.lit(3).alias("row"), F.coalesce(last, F.lit("")).alias("quote"))
     return docs, own.unionByName(other).unionByName(short)
@@ -33,7 +33,7 @@ def _document_quotes(spark, sf):
 _LAST = "list_filter(string_split({x}, ' '), lambda w: w <> '')".format(x=q.inline("string_split(text, chr(10))[-1]"))
 _QUOTES = f"""
 WITH d AS (SELECT *, {_LAST} AS w FROM documents),
-quotes AS (SELECT CAST(doc_id AS VARCHAR) AS pmid, 1 AS row, upper(array_to_string(w[1:6], ' ')) AS quote FROM d
+quotes AS (SELECT CAST(doc_id AS VARCHAR) AS pmid, 1 AS row, lower(array_to_string(w[1:6], ' ')) AS quote FROM d
   UNION ALL SELECT CAST(doc_id + 1 AS VARCHAR), 2, array_to_string(w[1:6], ' ') FROM d
   UNION ALL SELECT CAST(doc_id AS VARCHAR), 3, coalesce(w[1], '') FROM d),
 src AS (SELECT CAST(doc_id AS VARCHAR) AS pmid, text, {q.fold("text")} AS folded FROM documents),
@@ -307,7 +307,7 @@ def paper_strength(spark, sf):
     "row_strength",
     "V8 C25 E18",
     with_roles(
-        f"""WITH {_STRENGTH} SELECT pmid, row, round(CAST(s AS DOUBLE), 6) AS score,
+        f"""WITH {_STRENGTH} SELECT pmid, row, round(CAST(s AS DOUBLE), 9) AS score,
   concat_ws(',', CASE WHEN precision_ IS NULL THEN 'precision' END, CASE WHEN adjusted IS NULL THEN 'adjusted' END) AS unmeasured FROM rowed""",
         "findings",
         "order_papers",
@@ -318,7 +318,7 @@ def row_strength(spark, sf):
     graded = strength.score_papers(roles.order_papers(spark, sf), rows, *SAMPLE_SCALE)
     scored = strength.score_rows(rows, graded)
     return scored.select(
-        "pmid", "row", F.round("row_total", 6).alias("score"), F.array_join("row_unmeasured", ",").alias("unmeasured")
+        "pmid", "row", F.round("row_total", 9).alias("score"), F.array_join("row_unmeasured", ",").alias("unmeasured")
     )
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from evidary import fixed
-from evidary.functions.numbers import general, values_in
+from evidary.functions.numbers import general
 from evidary.functions.text import (
     alnum_lower,
     code_array_map,
     col,
     inline,
+    let,
     strings,
     strip,
     text_or_empty,
@@ -42,29 +43,35 @@ def canonical_measure(measure: Column | str) -> Column:
     """Fold a measure name to a known key: whole name first, last word second."""
     text = F.translate(F.lower(text_or_empty(measure)), "²", "2")
     tokens = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    known = strings(fixed.INTERACTION_CUTOFFS)
-    whole, last = F.array_join(tokens, ""), F.try_element_at(tokens, F.lit(-1))
-    return (
-        F.when(F.array_contains(known, whole), whole)
-        .when(F.array_contains(known, F.coalesce(last, F.lit(""))), last)
-        .otherwise(F.lit(""))
-    )
+    offers = let(tokens, lambda t: F.array(F.array_join(t, ""), F.try_element_at(t, F.lit(-1))))
+    known = F.array_intersect(offers, strings(fixed.INTERACTION_CUTOFFS))
+    return F.coalesce(F.get(known, F.lit(0)), F.lit(""))
 
 
 def band_interaction(kind: Column | str, measure: Column | str, value: Column | str) -> Column:
     """structural, strong, moderate, weak or stated."""
-    key, size = canonical_measure(measure), F.abs(col(value))
     table = fixed.INTERACTION_CUTOFFS
-    strong = F.element_at(code_array_map({k: v[0] for k, v in table.items()}), key)
-    moderate = F.element_at(code_array_map({k: v[1] for k, v in table.items()}), key)
-    inverted = key.isin(*[k for k, v in table.items() if v[2]])
-    reaches = lambda cut: F.when(inverted, size <= cut).otherwise(size >= cut)
+    size = F.abs(col(value))
+    strong = code_array_map({k: v[0] for k, v in table.items()})
+    moderate = code_array_map({k: v[1] for k, v in table.items()})
+    smaller_is_stronger = [k for k, v in table.items() if v[2]]
+
+    def banded(key: Column) -> Column:
+        inverted = key.isin(*smaller_is_stronger)
+        reaches = lambda cuts: F.when(
+            inverted, size <= F.element_at(cuts, key)
+        ).otherwise(size >= F.element_at(cuts, key))
+        return (
+            F.when(key == "", F.lit("stated"))
+            .when(reaches(strong), F.lit("strong"))
+            .when(reaches(moderate), F.lit("moderate"))
+            .otherwise(F.lit("weak"))
+        )
+
     return (
         F.when(is_structural(kind), F.lit("structural"))
-        .when((key == "") | col(value).isNull(), F.lit("stated"))
-        .when(reaches(strong), F.lit("strong"))
-        .when(reaches(moderate), F.lit("moderate"))
-        .otherwise(F.lit("weak"))
+        .when(col(value).isNull(), F.lit("stated"))
+        .otherwise(let(canonical_measure(measure), banded))
     )
 
 
@@ -240,7 +247,7 @@ def effect_cell(effect: Column | str, measure: Column | str, raw: Column | str)
         F.when(col(effect).isNotNull() & stated, raw_text)
         .when(col(effect).isNotNull(), F.concat(general(effect), suffix))
         .when(~stated, F.lit(fixed.NONE_CELL))
-        .when(F.size(values_in(raw_text)) == 0, raw_text)
+        .when(~raw_text.rlike("[0-9]"), raw_text)
         .otherwise(F.lit(fixed.UNVERIFIED_CELL))
     )
 
@@ -259,16 +266,17 @@ def interaction_cell(
         F.when(col(value).isNotNull() & (raw_text != ""), raw_text)
         .when(col(value).isNotNull(), F.concat(lead, general(value)))
         .when(strip(raw_text) == "", F.lit(fixed.NONE_CELL))
-        .when(F.size(values_in(raw_text)) == 0, raw_text)
+        .when(~raw_text.rlike("[0-9]"), raw_text)
         .otherwise(F.lit(fixed.UNVERIFIED_CELL))
     )
     origin = F.when(
         col(stated_on) > 0, F.concat(F.lit("mirrored from row "), col(stated_on).cast("string"))
     ).otherwise(F.lit("mirrored"))
-    with_origin = F.when(base == fixed.NONE_CELL, origin).otherwise(
-        F.concat(base, F.lit(" ("), origin, F.lit(")"))
+    with_origin = lambda b: F.when(b == fixed.NONE_CELL, origin).otherwise(
+        F.concat(b, F.lit(" ("), origin, F.lit(")"))
     )
-    return F.when(F.coalesce(col(mirrored), F.lit(False)), with_origin).otherwise(base)
+    is_mirror = F.coalesce(col(mirrored), F.lit(False))
+    return let(base, lambda b: F.when(is_mirror, with_origin(b)).otherwise(b))
 
 
 def strength_cell(grade: Column | str, score: Column | str) -> Column:

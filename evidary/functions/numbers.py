@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from evidary.functions.text import col
+from evidary.functions.text import col, let
 
 DECIMAL = "decimal(38,10)"
 # A number with an optional sign.  The sign counts only when it is not attached to a
@@ -96,15 +96,16 @@ def is_supported(claim: Column | str, found: Column | str) -> Column:
 
 def general(value: Column | str) -> Column:
     """``%g`` rendering: six significant digits, trailing zeros dropped."""
-    v = col(value).cast("double")
-    scientific = F.format_string("%.5e", v)
-    exponent = F.substring_index(scientific, "e", -1).try_cast("int")
-    plain = F.lit(None).cast("string")
-    for places in range(10):
-        plain = F.when(exponent == 5 - places, F.format_string(f"%.{places}f", v)).otherwise(plain)
-    plain = F.when(
-        F.instr(plain, ".") > 0, F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
-    ).otherwise(plain)
-    return F.when(exponent.between(-4, 5), plain).when(
-        v.isNotNull(), F.regexp_replace(scientific, r"\.?0*e", "e")
-    )
+    scientific = F.format_string("%.5e", col(value).cast("double"))
+
+    def shown(text: Column) -> Column:
+        rounded = text.try_cast("double")
+        size = F.abs(rounded)
+        return (
+            F.when(size == 0, F.lit("0"))
+            .when((size >= 0.001) & (size < 1e6), F.regexp_replace(rounded.cast("string"), r"\.0$", ""))
+            .when((size >= 0.0001) & (size < 0.001), F.rtrim(F.format_string("%.10f", rounded), F.lit("0")))
+            .when(size.isNotNull(), F.regexp_replace(text, r"\.?0*e", "e"))
+        )
+
+    return let(scientific, shown)

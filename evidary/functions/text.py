@@ -22,6 +22,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once.
+
+    Inside a lambda an outer expression is computed anew for every element; bound this way
+    it is a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(words) -> Column:
     """A literal string array."""
     words = list(words)
@@ -295,7 +304,7 @@ def and_list(items: Column | str) -> Column:
 def cell(value: Column | str) -> Column:
     """One table cell: one line, pipes escaped, never empty."""
     text = F.replace(inline(text_or_empty(value)), F.lit("|"), F.lit("\\|"))
-    return F.when(text == "", F.lit(fixed.NONE_CELL)).otherwise(text)
+    return F.regexp_replace(text, "^$", fixed.NONE_CELL)
 
 
 def table_row(*cells: Column | str) -> Column:
