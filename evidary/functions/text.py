@@ -5,7 +5,7 @@ All of these build Catalyst expressions; none calls Python per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evidary import fixed
 
@@ -31,6 +31,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row, however often it is used above.
+
+    A one-element explode is a boundary that neither a later projection nor a pushed
+    filter copies the expression across.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def strings(words) -> Column:
     """A literal string array."""
     words = list(words)
