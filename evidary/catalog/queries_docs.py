@@ -446,7 +446,7 @@ def embedded_chunks(spark, sf):
     return vectors.select("chunk_id", F.size("embedding").alias("dimensions"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("a"))
 
 
-_METRICS = """UNION ALL SELECT * FROM (SELECT '{m}' AS metric, vec_id, round({e}, 6) AS distance FROM v ORDER BY 3, 2 LIMIT 20)"""
+_METRICS = """UNION ALL SELECT * FROM (SELECT '{m}' AS metric, vec_id, round({e}, 6) + 0.0 AS distance FROM v ORDER BY 3, 2 LIMIT 20)"""
 
 
 @query(
@@ -454,7 +454,7 @@ _METRICS = """UNION ALL SELECT * FROM (SELECT '{m}' AS metric, vec_id, round({e}
     "K5",
     """WITH c AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT max(vec_id) FROM embeddings)),
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, q FROM embeddings, c)
-SELECT * FROM (SELECT 'cosine' AS metric, vec_id, round(list_cosine_distance(e, q), 6) AS distance FROM v ORDER BY 3, 2 LIMIT 20) """
+SELECT * FROM (SELECT 'cosine' AS metric, vec_id, round(list_cosine_distance(e, q), 6) + 0.0 AS distance FROM v ORDER BY 3, 2 LIMIT 20) """
     + _METRICS.format(m="l2", e="list_distance(e, q) * list_distance(e, q)")
     + _METRICS.format(m="ip", e="1.0 - list_inner_product(e, q)"),
 )
@@ -465,7 +465,7 @@ def nearest_vectors(spark, sf):
     for metric in fixed.DISTANCES:
         part = K.nearest(vectors, probe, 20, metric).withColumn("metric", F.lit(metric))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("distance", F.col("distance") + 0.0).select("metric", "vec_id", "distance")
+    return out.select("metric", "vec_id", "distance")
 
 
 @query(

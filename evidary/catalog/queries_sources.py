@@ -302,11 +302,10 @@ def reply_rows(spark, sf):
     good, bad = R.parse_replies(
         df, "reply", "conv_id long, turn long, include boolean, reason string", known=["conv_id", "turn"], required=["include"]
     )
-    bad_rows = df.join(bad.select("problem", "role", F.col("reply")), ["role", "reply"], "left_semi")
     return good.select(
         "conv_id", "turn", F.md5("reason").alias("reason_md5"), "include", F.lit("").alias("problem")
     ).unionByName(
-        bad_rows.select("conv_id", "turn", F.lit("").alias("reason_md5"), F.lit(False).alias("include"), F.lit("no JSON object").alias("problem"))
+        bad.select("conv_id", "turn", F.lit("").alias("reason_md5"), F.lit(False).alias("include"), "problem")
     )
 
 

@@ -113,8 +113,7 @@ def parse_replies(
         *others, *[F.col(n) if n in known else F.col(f"_reply.{n}").alias(n) for n in fields]
     )
     bad = parsed.filter(~good).select(
-        *others,
-        text,
+        *df.columns,
         F.when(F.col("_object").isNull(), F.lit("no JSON object")).otherwise(F.lit("fields missing")).alias("problem"),
     )
     return rows, bad
