@@ -176,7 +176,7 @@ def sentences_of_documents(spark, sf):
         "pmid",
         F.size("s").cast("long").alias("n_sentences"),
         F.md5(F.array_join("s", "\u0001")).alias("sentences_md5"),
-        T.truncate_sentences("text", 2).alias("first_two"),
+        F.array_join(F.slice("s", 1, 2), " ").alias("first_two"),
         T.truncate_chars("text", 200).alias("short"),
         T.word_count("text").cast("long").alias("words"),
     )

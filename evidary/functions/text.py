@@ -59,7 +59,9 @@ def strip(value: Column | str) -> Column:
 
 def inline(value: Column | str) -> Column:
     """Collapse to one line."""
-    return F.trim(F.regexp_replace(col(value), WS + "+", " "))
+    # Every kind of white space becomes a plain one first; a search for two of those is cheap.
+    plain = F.translate(col(value), NBSP_LIKE, " " * len(NBSP_LIKE))
+    return F.trim(F.regexp_replace(plain, "  +", " "))
 
 
 def words_of(value: Column | str) -> Column:
@@ -226,14 +228,20 @@ def truncate_sentences(value: Column | str, limit: int) -> Column:
 
 def truncate_chars(value: Column | str, limit: int) -> Column:
     """Cut on a word boundary past the half-way mark and add an ellipsis (C20)."""
-    text = inline(value)
-    cut = F.substring(text, 1, limit - 1)
-    # Where the last space sits, 0-based; -1 when there is none.
-    space = F.lit(limit - 1) - F.instr(F.reverse(cut), " ")
-    space = F.when(F.instr(cut, " ") == 0, F.lit(-1)).otherwise(space)
-    kept = F.when(space > limit // 2, F.substr(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(F.length(text) <= limit, text).otherwise(
-        F.concat(F.rtrim(kept, F.lit(" ,;:.")), F.lit("…"))
+
+    def cut_at_word(cut: Column) -> Column:
+        # Where the last space sits, 0-based; -1 when there is none.
+        space = F.when(F.instr(cut, " ") == 0, F.lit(-1)).otherwise(
+            F.lit(limit - 1) - F.instr(F.reverse(cut), " ")
+        )
+        kept = F.when(space > limit // 2, F.substr(cut, F.lit(1), space)).otherwise(cut)
+        return F.concat(F.rtrim(kept, F.lit(" ,;:.")), F.lit("…"))
+
+    return let(
+        inline(value),
+        lambda text: F.when(F.length(text) <= limit, text).otherwise(
+            let(F.substring(text, 1, limit - 1), cut_at_word)
+        ),
     )
 
 

@@ -92,7 +92,7 @@ def with_tokens(candidates: DataFrame) -> DataFrame:
 # --- diversified order (H2) -------------------------------------------------------------
 
 # How many of a group's best candidates one task looks at in one round.
-BATCH = 4096
+BATCH = 32_768
 
 
 def _greedy(pdf: pd.DataFrame, lambda_: float) -> pd.DataFrame:
@@ -212,7 +212,7 @@ def mmr_order(
                 "grp string, pmid string, score double, tokens array<string>, pick int",
             )
         )
-        picks = fresh if picks is None else durable(picks.unionByName(fresh))
+        picks = fresh if picks is None else picks.unionByName(fresh)
         counts = picks.groupBy("grp").agg(F.count("*").alias("have"))
         open_groups = groups.join(counts, "grp", "left").filter(
             F.coalesce("have", F.lit(0)) < F.col("want")

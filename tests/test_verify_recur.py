@@ -24,7 +24,7 @@ def test_rows_against_their_source(spark):
     rows = [
         ("p", 1, "a", 1.82, 1.21, 2.74, "1.82", "OR", "high", "In adjusted models the", True),
         ("p", 2, "b", 4.44, 3.1, 6.02, "4.44 (95% CI 3.10-6.02)", "OR", "high", "", None),
-        ("p", 3, "c", 1.82, 1.0, 2.74, "1.82", "OR", "medium", "In adjusted models", None),
+        ("p", 3, "c", 1.82, 1.05, 2.74, "1.82", "OR", "medium", "In adjusted models", None),
         ("p", 4, "d", 1.82, None, None, "3.91", "OR", "low", "nobody wrote this", None),
         ("q", 5, "e", 1.0, None, None, "1.0", "OR", "high", "", None),
     ]
