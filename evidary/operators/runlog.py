@@ -95,9 +95,12 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return span.withColumn("seconds", F.when(seconds >= 0, seconds / F.lit(1_000_000.0)))
 
 
-def furthest_stage(finished: DataFrame) -> DataFrame:
-    """The furthest stage each run reached (G14): ``(run_id, node)`` in, one row per run out."""
-    place = F.array_position(strings(fixed.MILESTONES), F.col("node")).cast("int")
+def furthest_stage(finished: DataFrame, stages: tuple[str, ...] = fixed.MILESTONES) -> DataFrame:
+    """The furthest stage each run reached (G14): ``(run_id, node)`` in, one row per run out.
+
+    ``stages`` names the stages in their order.
+    """
+    place = F.array_position(strings(stages), F.col("node")).cast("int")
     best = finished.groupBy("run_id").agg(F.max(F.struct(place.alias("p"), F.col("node").alias("node"))).alias("m"))
     return best.select(
         "run_id", F.when(F.col("m.p") > 0, F.col("m.node")).otherwise(F.lit("not started")).alias("reached")
