@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evidary import fixed
 from evidary.functions.text import col, strings, strip, text_or_empty
+from evidary.operators.common import top_rows
 
 
 def content_sections(sections: DataFrame) -> DataFrame:
@@ -46,13 +47,13 @@ def select_sections(sections: DataFrame, budget: int = fixed.MAX_SOURCE_CHARS) -
         section_cost("section_type", "text").alias("cost"),
     )
     smallest = 1 + fixed.SECTION_OVERHEAD
-    w = Window.partitionBy("pmcid", "cost").orderBy("priority", "seq")
-    fitting = (
-        sized.filter(F.col("cost") <= budget)
-        .withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= budget // smallest)
-        .filter(F.col("rn") * F.col("cost") <= budget)
-    )
+    fitting = top_rows(
+        sized.filter(F.col("cost") <= budget),
+        ["pmcid", "cost"],
+        ["priority", "seq"],
+        max(1, budget // smallest),
+        ["pmcid", "seq"],
+    ).filter(F.col("rn") * F.col("cost") <= budget)
     order = F.array_sort(F.collect_list(F.struct("priority", "seq", "cost")))
     start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<int>").alias("kept"))
 

@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evidary import fixed
 from evidary.functions.scoring import relevance_parts, total_of
 from evidary.functions.text import jaccard, paper_tokens, text_or_empty, strip
+from evidary.operators.common import top_rows
 from evidary.session import broadcast_if_small, durable
 
 
@@ -143,7 +144,7 @@ def _greedy(pdf: pd.DataFrame, lambda_: float) -> pd.DataFrame:
 
 def mmr_order(
     scored: DataFrame,
-    limit: int | Column,
+    limit: int,
     lambda_: float = fixed.DEFAULT_LAMBDA,
     group: str | None = None,
     batch: int = BATCH,
@@ -160,9 +161,8 @@ def mmr_order(
     rows = scored.select(
         (F.col(group) if group else F.lit("")).alias("grp"), "pmid", "score", "tokens"
     )
-    pure = Window.partitionBy("grp").orderBy(F.desc("score"), "pmid")
-    best = rows.select("grp", "pmid", "score").withColumn("rn", F.row_number().over(pure)).filter(
-        F.col("rn") <= limit
+    best = top_rows(
+        rows.select("grp", "pmid", "score"), ["grp"], [F.desc("score"), "pmid"], limit, ["pmid"]
     )
     if lambda_ >= 1.0:
         return best.select(F.col("grp").alias(name), "pmid", (F.col("rn") - 1).alias("pick"))
@@ -200,9 +200,9 @@ def mmr_order(
         valued = current.withColumn(
             "value", F.lit(lambda_) * F.col("score") - F.lit(1.0 - lambda_) * F.col("closest")
         )
-        w = Window.partitionBy("grp").orderBy(F.desc("value"), F.desc("score"), "pmid")
-        # A literal row-number bound lets each partition cut its own list before the shuffle.
-        lead = valued.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= batch + 1)
+        lead = top_rows(
+            valued, ["grp"], [F.desc("value"), F.desc("score"), "pmid"], batch + 1, ["pmid"]
+        )
         lead = lead.withColumn("want", F.col("want") - F.col("done")).withColumn(
             "cut", F.max("rn").over(Window.partitionBy("grp")) > batch
         )
