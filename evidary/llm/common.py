@@ -94,3 +94,109 @@ def joined(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.
     data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
     lengths = np.fromiter((len(p) for _, p in pieces), np.int64, len(pieces))
     return data, np.repeat(np.arange(len(pieces)), lengths), np.fromiter((r for r, _ in pieces), np.int64, len(pieces))
+
+
+def counted(texts: Iterable[bytes | None], keys, dims: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Counts of keys by row: (first row, float array of rows x ``dims``), each row once.
+
+    ``keys(data, piece)`` yields (positions, keys below ``dims``) for the bytes of a run; positions
+    say which row a key belongs to.
+    """
+    at, held = 0, None
+    for first, rows, pieces in segments(texts):
+        data, piece, row_of = joined(pieces)
+        counts = np.zeros(rows * dims)
+        for where, key in keys(data, piece):
+            counts += np.bincount(row_of[piece[where]] * dims + key, minlength=rows * dims)
+        counts = counts.reshape(rows, dims)
+        if held is not None:
+            if first == at + len(held) - 1:  # the last row goes on
+                counts[0] += held[-1]
+                held = held[:-1]
+            if len(held):
+                yield at, held
+        at, held = first, counts
+    if held is not None:
+        yield at, held
+
+
+def word_pieces(raw: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The ASCII-white-space words of a text in order, in lists of about ``limit`` bytes of text."""
+    at = 0
+    while at < len(raw):
+        end = at + limit
+        if end < len(raw):
+            cut = raw.find(b" ", end)
+            end = len(raw) if cut < 0 else cut
+        yield raw[at:end].split()
+        at = end
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LANES = np.random.default_rng(64).integers(0, 1 << 64, 64 * 256, dtype=np.uint64)
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and 64-bit hash of each word (run of bytes other than ASCII white space) of a byte array.
+
+    The hash adds up random numbers for each (place in the word, byte); the places go round after 64 with another
+    odd factor.  Among V words two are taken for one with a chance of about V^2 / 2^65.
+    """
+    inside = ~_SPACE[data]
+    edges = np.diff(inside, prepend=False, append=False).nonzero()[0]
+    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+    if not len(starts):
+        return starts, lengths, np.zeros(0, np.uint64)
+    at = np.flatnonzero(inside)
+    firsts = np.cumsum(lengths) - lengths
+    place = at - np.repeat(starts, lengths)
+    lane = _LANES[(place & 63) * 256 + data[at]]
+    if lengths.max() > 64:
+        lane = lane * (2 * (place >> 6) + 1).astype(np.uint64)
+    return starts, lengths, np.add.reduceat(lane, firsts)
+
+
+class Places:
+    """Numbers 0, 1, 2, ... for 64-bit keys in the order they come: a hash table of arrays that grows."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, or -1."""
+        slot = self._slots(keys)
+        value = self.values[slot]
+        open_ = np.flatnonzero((value >= 0) & (self.keys[slot] != keys))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            value[open_] = self.values[slot[open_]]
+            open_ = open_[(value[open_] >= 0) & (self.keys[slot[open_]] != keys[open_])]
+        return value
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number distinct keys that are not there yet."""
+        if 2 * (self.count + len(keys)) > 1 << self.bits:
+            used = self.values >= 0
+            old = np.empty(self.count, np.uint64)
+            old[self.values[used]] = self.keys[used]
+            while 2 * (self.count + len(keys)) > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+            self._put(old, np.arange(self.count))
+        self._put(keys, np.arange(self.count, self.count + len(keys)))
+        self.count += len(keys)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = self._slots(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.values[slot[left]] < 0]
+            self.values[slot[free]] = values[free]  # of several keys for a slot the last one wins
+            self.keys[slot[free]] = keys[free]
+            left = left[self.values[slot[left]] != values[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)

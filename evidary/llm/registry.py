@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidary.llm import simhash
-from evidary.llm.common import read
+import public_tokenizers
+
+from evidary.llm import langid, mixing, packing, simhash, toxicity
+from evidary.llm.common import held_out, read
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +18,38 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate for each document so that the domains' expected tokens are in proportion to their targets."""
+    found = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return found.select("doc_id", "tokens", *p, "rate", "copies")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learned from the languages of those that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = langid.predictions(docs, F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~out)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of 2,048, similar documents next to each other."""
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probability of being toxic, learned from the labels of those that are not held out."""
+    out = held_out(F.col("doc_id"), 4, 2)
+    labels = read(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.scores(read(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op7_langid": op7_langid,
+    "op8_packing": op8_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

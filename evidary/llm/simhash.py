@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from evidary.llm.common import durable, free_name
+from evidary.llm.common import durable, free_name, word_pieces
 from evidary.llm.graph import components
 
 #: Buckets with more fingerprints than this are linked through neighbourhoods instead of pairs.
@@ -37,20 +37,29 @@ _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """The signed 64-bit SimHash of a text's word shingles."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    parts = [words[k:] for k in range(width)] if len(words) >= width else [[b" ".join(words)]]
-    total = max(1, len(words) - width + 1)
-    shingles = map(b" ".join, zip(*parts)) if len(words) >= width else iter(parts[0])
-    counts = np.zeros(64, np.int64)
-    for at in range(0, total, BLOCK):
-        n = min(BLOCK, total - at)
-        h = np.fromiter(map(_hash, shingles), np.uint64, n) if total <= BLOCK else np.fromiter((_hash(next(shingles)) for _ in range(n)), np.uint64, n)
-        counts += np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    counts, total, last = np.zeros(64, np.int64), 0, []
+    for words in word_pieces((text or b"").lower()):
+        words = last + words
+        if len(words) >= width:
+            n = len(words) - width + 1
+            hashes = np.fromiter(map(_hash, map(b" ".join, zip(*[words[k:] for k in range(width)]))), np.uint64, n)
+            counts += _set_bits(hashes)
+            total += n
+        last = words[max(0, len(words) - width + 1) :]
+    if not total and last:
+        counts, total = _set_bits(np.array([_hash(b" ".join(last))], np.uint64)), 1
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<i8")[0])
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    found = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        some = hashes[at : at + BLOCK]
+        found += np.unpackbits(some.view(np.uint8).reshape(len(some), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return found
+
+
 @pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
