@@ -6,11 +6,11 @@
    aggregate each) on a bounded sample; the posteriors of a document are the domains' probabilities
    scaled to sum to one.
 3. Rates: each document starts at rate one, and projected-gradient steps of the least-squares problem
-   ``sum_d (sum_i rate_i tokens_i p_id - target_d)^2`` move them within [0, ``most``].  In the
+   ``sum_d (sum_i rate_i tokens_i p_id - target_d)^2`` move them, never below zero.  In the
    token-weighted norm a step changes a rate by ``-p_i . g`` for a vector g with one number for each domain, so
    the state of all documents is the list of the vectors so far: a pass folds the list into the
-   rate and adds up what the next vector needs (preconditioned by the token-weighted second moments of
-   the documents not at a bound).  Only those few sums reach the driver.
+   rate and adds up what the next vector needs.  Steps are scaled by the token-weighted second moments of the
+   posteriors, under which a step of size one cannot overshoot.  Only those few sums reach the driver.
 4. ``copies``: a rate's whole part, and one more for the share of documents that its fraction
    asks for, chosen by a hash of the document.
 
@@ -30,7 +30,7 @@ from evidary.llm.common import bounded_texts, durable
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of tokens wanted; ``clean`` sets the scale (see ``rates``).
-TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
+TARGETS = {"clean": 0.85, "low": 0.08, "toxic": 0.07}
 #: The classifier learns from at most so many documents of each domain.
 PER_DOMAIN = 3000
 #: Marking words: at most so many, each in at least so many toxic sample texts, and so many times likelier there.
@@ -83,8 +83,9 @@ def _with_features(df: DataFrame, marks: list[str]) -> DataFrame:
     )).drop("words", "capitals", "symbols", "kinds", "marks")
 
 
-def _dot(f: Column, w: list[float]) -> Column:
-    return reduce(lambda a, b: a + b, [f[k] * F.lit(x) for k, x in enumerate(w)])
+def _dot(f: str, w: list[float]) -> str:
+    """SQL for the product of an array column and numbers."""
+    return " + ".join(f"{f}[{k}] * {x!r}D" for k, x in enumerate(w))
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -113,15 +114,14 @@ def fit(sample: DataFrame, shares: dict[str, float]) -> dict[str, list[float]]:
     rows = sample.withColumn("weight", weight)
     n = len(FEATURES)
     w = {d: [0.0] * n for d in known}
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
     for _ in range(NEWTON):
-        sums = []
-        for d in known:
-            p = F.greatest(F.least(1 / (1 + F.exp(-_dot(F.col("f"), w[d]))), F.lit(1 - 1e-9)), F.lit(1e-9))
-            off = F.col("weight") * (p - (F.col("domain") == d).cast("double"))
-            curve = F.col("weight") * p * (1 - p)
-            sums += [F.sum(off * F.col("f")[i]).alias(f"g_{d}_{i}") for i in range(n)]
-            sums += [F.sum(curve * F.col("f")[i] * F.col("f")[j]).alias(f"h_{d}_{i}_{j}") for i in range(n) for j in range(i, n)]
-        got = rows.agg(*sums).first()
+        # Weights as an array value keep the generated code the same from step to step.
+        dots = {d: f"aggregate(zip_with(f, array({', '.join(f'{x!r}D' for x in w[d])}), (a, b) -> a * b), 0D, (a, b) -> a + b)" for d in known}
+        odds = rows.selectExpr("f", "weight", *[f"1 / (1 + exp(-greatest(least({dots[d]}, 30D), -30D))) AS p_{d}" for d in known], *[f"IF(domain = '{d}', 1D, 0D) AS is_{d}" for d in known])
+        sums = [F.expr(f"sum(weight * (p_{d} - is_{d}) * f[{i}]) AS g_{d}_{i}") for d in known for i in range(n)]
+        sums += [F.expr(f"sum(weight * p_{d} * (1 - p_{d}) * f[{i}] * f[{j}]) AS h_{d}_{i}_{j}") for d in known for i, j in pairs]
+        got = odds.agg(*sums).first()
         for d in known:
             slope = [got[f"g_{d}_{i}"] + RIDGE * total * w[d][i] for i in range(n)]
             second = [[got[f"h_{d}_{min(i, j)}_{max(i, j)}"] + (RIDGE * total if i == j else 0.0) for j in range(n)] for i in range(n)]
@@ -148,7 +148,7 @@ def posteriors(docs: DataFrame, model: tuple) -> DataFrame:
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1 << 40)) / (1 << 40)
     rows = _with_features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", u.alias("u")), marks)
     if w:
-        raw = [1 / (1 + F.exp(-_dot(F.col("f"), w[d]))) + F.lit(1e-12) if d in w else F.lit(0.0) for d in DOMAINS]
+        raw = [F.expr(f"1 / (1 + exp(-({_dot('f', w[d])}))) + 1e-12D") if d in w else F.lit(0.0) for d in DOMAINS]
     else:
         even = not any(shares.values())
         raw = [F.lit(1 / len(DOMAINS) if even else shares[d]) for d in DOMAINS]
@@ -157,70 +157,68 @@ def posteriors(docs: DataFrame, model: tuple) -> DataFrame:
     return scored.select("row", "tokens", "u", F.transform("raw", lambda x: x / whole).alias("p"))
 
 
-def _rate(steps: list[list[float]], most: float) -> Column:
-    """The rate after all steps so far, each within the bounds."""
+def _rate(steps: list[list[float]]) -> Column:
+    """The rate after all steps so far; none goes below zero."""
     if not steps:
         return F.lit(1.0)
-    listed = F.array(*[F.array(*map(F.lit, g)) for g in steps])
-    p = F.col("p")
-    return F.aggregate(listed, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r - sum((p[d] * g[d] for d in range(1, len(DOMAINS))), p[0] * g[0]))))
+    listed = ", ".join(f"array({', '.join(f'{x!r}D' for x in g)})" for g in steps)
+    moved = " - ".join(f"p[{d}] * g[{d}]" for d in range(len(DOMAINS)))
+    return F.expr(f"aggregate(array({listed}), 1D, (r, g) -> greatest(0D, r - {moved}))")
 
 
-def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0) -> tuple[Column, list[dict]]:
-    """A column of rates over ``scored`` (tokens, p), and each pass's residuals.
+def rates(scored: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[Column, list[dict]]:
+    """A column of rates over ``scored`` (tokens, p), and each pass's residual and expected tokens.
 
     ``targets`` are shares of tokens.  Their scale is set by the first domain: it keeps its expected tokens.
     """
     k = len(DOMAINS)
-    p = [F.col("p")[d] for d in range(k)]
-    t = F.col("tokens")
-    start = scored.agg(*[F.sum(t * p[d]).alias(f"s{d}") for d in range(k)]).first()
-    have = [float(start[f"s{d}"] or 0) for d in range(k)]
-    scale = have[0] / targets[DOMAINS[0]] if targets[DOMAINS[0]] else sum(have)
-    goal = [targets[d] * scale for d in DOMAINS]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    moments = scored.agg(*[F.expr(f"sum(tokens * p[{i}] * p[{j}]) AS h{i}_{j}") for i, j in pairs]).first()
+    moment = [[float(moments[f"h{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]
+    for i in range(k):
+        moment[i][i] += 1e-9 * sum(map(sum, moment)) + 1e-9
     steps: list[list[float]] = []
     log: list[dict] = []
+    goal: list[float] = []
     for _ in range(STEPS):
-        r = F.col("rate")
-        free = ((r > 0) & (r < most)).cast("double")
-        sums = [F.sum(t * r * p[d]).alias(f"s{d}") for d in range(k)]
-        sums += [F.sum(t * free * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        sums += [F.sum(t * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-        got = scored.withColumn("rate", _rate(steps, most)).agg(*sums).first()
-        off = [float(got[f"s{d}"] or 0) - goal[d] for d in range(k)]
-        size = max(sum(goal), 1.0)
-        log.append({"residual": max(map(abs, off)) / size, "tokens": [o + g for o, g in zip(off, goal)]})
-        if log[-1]["residual"] < TOLERANCE or (len(log) > 1 and abs(log[-2]["residual"] - log[-1]["residual"]) < TOLERANCE / 100):
+        got = scored.select("tokens", "p", _rate(steps).alias("rate")).agg(*[F.expr(f"sum(tokens * rate * p[{d}]) AS s{d}") for d in range(k)]).first()
+        have = [float(got[f"s{d}"] or 0) for d in range(k)]
+        if not goal:
+            first = targets[DOMAINS[0]]
+            goal = [targets[d] * (have[0] / first if first else sum(have)) for d in DOMAINS]
+        off = [a - b for a, b in zip(have, goal)]
+        step = _solve(moment, off)
+        # half the squared residual in the moments' norm: no step of size one makes it larger
+        log.append({"loss": sum(a * b for a, b in zip(off, step)) / 2, "residual": max(map(abs, off)) / max(sum(goal), 1.0), "tokens": have})
+        if log[-1]["residual"] < TOLERANCE or (len(log) > 1 and log[-2]["loss"] - log[-1]["loss"] < 1e-3 * log[-1]["loss"]):
             break
-        # rows at a bound count a little, so that they can come back
-        moment = [[0.9 * (got[f"h{min(i, j)}_{max(i, j)}"] or 0.0) + 0.1 * (got[f"a{min(i, j)}_{max(i, j)}"] or 0.0) + (1e-6 * size if i == j else 0.0) for j in range(k)] for i in range(k)]
-        steps.append(_solve(moment, off))
-    return _rate(steps, most), log
+        steps.append(step)
+    return _rate(steps), log
 
 
 def _copies(rate: Column, u: Column) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float) -> tuple[tuple, DataFrame, Column]:
+def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[tuple, DataFrame, Column]:
     model = learn(docs, labels)
     scored = durable(posteriors(docs.select("doc_id", "text"), model).select(F.col("row.doc_id").alias("doc_id"), "tokens", "u", "p"))
-    return model, scored, rates(scored, targets, most)[0]
+    return model, scored, rates(scored, targets)[0]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """(doc_id, tokens, p, rate, copies) of each row of ``docs`` (doc_id, text)."""
-    _, scored, rate = _plan(docs, labels, targets, most)
+    _, scored, rate = _plan(docs, labels, targets)
     return scored.withColumn("rate", rate).select("doc_id", "tokens", "p", "rate", _copies(F.col("rate"), F.col("u")).alias("copies"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = 1.0) -> DataFrame:
-    """``docs`` with each row as often as its copies say.
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeat: bool = False) -> DataFrame:
+    """``docs`` with each row as often as its copies say, or at most once unless ``repeat``.
 
     Posterior and rate are expressions of a row, so they are evaluated on the rows again and nothing is joined.
     """
-    model, _, rate = _plan(docs, labels, targets, most)
+    model, _, rate = _plan(docs, labels, targets)
     rated = posteriors(docs, model).withColumn("rate", rate).select("row", _copies(F.col("rate"), F.col("u")).alias("copies"))
-    if most <= 1:
-        return rated.where("copies = 1").select("row.*")
-    return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    if repeat:
+        return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return rated.where("copies > 0").select("row.*")

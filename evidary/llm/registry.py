@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from evidary.llm import langid, mixing, packing, simhash, toxicity
+from evidary.llm import hnsw, langid, mixing, packing, rabitq, simhash, toxicity
 from evidary.llm.common import held_out, read
 
 
@@ -18,6 +18,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label: cosine of at least 0.93."""
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate for each document so that the domains' expected tokens are in proportion to their targets."""
     found = mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -38,6 +43,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return rabitq.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's probability of being toxic, learned from the labels of those that are not held out."""
     out = held_out(F.col("doc_id"), 4, 2)
@@ -48,8 +58,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_embeddings": op5_embeddings,
+    "op6_mixing": op6_mixing,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
+    "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
