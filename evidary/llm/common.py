@@ -7,10 +7,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidary.operators.common import top_rows
 from evidary.session import durable, scratch_path
 
-__all__ = ["bounded_texts", "durable", "free_name", "held_out", "read", "segments", "stored", "top_rows"]
+__all__ = ["bounded_texts", "durable", "free_name", "held_out", "read", "segments", "stored"]
 
 #: Bytes of text that a task turns into arrays at once.
 CHUNK = 1 << 22
@@ -45,17 +44,25 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def bounded_texts(docs: DataFrame, wanted: DataFrame, label: str, per_label: int) -> DataFrame:
-    """Texts of at most ``per_label`` documents of each label: (doc_id, label, text).
+    """Texts of at most about ``per_label`` documents of each label: (doc_id, label, text).
 
-    ``wanted`` has (doc_id, label); the documents with the smallest hashes are taken, so the
-    sample is the same at every run.  A document named twice counts once, with the label that
-    it has more often (ties: the larger), and with its smallest text.
+    ``wanted`` has (doc_id, label).  Documents are taken by a hash of their id below a share that follows from
+    the label's row count, four standard deviations short of ``per_label``: the sample is the same at every run, no
+    label's rows meet in one task, and what is broadcast to find the texts is a few bytes for each
+    document taken.  A document named twice counts once, with the label that it has more often among those
+    taken (ties: the larger), and with its smallest text.
     """
-    votes = wanted.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id", label).agg(F.count("*").alias("_n"))
-    one = votes.groupBy("doc_id").agg(F.max(F.struct("_n", label))[label].alias(label))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = durable(top_rows(one, [label], order, per_label, ["doc_id"]).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")))
-    texts = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_id"))
+    rows = wanted.select("doc_id", F.col(label).alias("_label")).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    sizes = rows.groupBy("_label").agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return docs.select("doc_id", F.lit(None).cast(wanted.schema[label].dataType).alias(label), "text").limit(0)
+    few = max(1.0, per_label - 4 * per_label**0.5)
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["_label"]), F.lit(few / r["n"]))])
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) / (1 << 40)
+    votes = rows.where(place < share[F.col("_label")]).groupBy("doc_id", "_label").agg(F.count("*").alias("_n"))
+    picked = votes.groupBy("doc_id").agg(F.max(F.struct("_n", "_label"))["_label"].alias("_label"))
+    picked = durable(picked.withColumnRenamed("doc_id", "_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     return texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).withColumnRenamed("_label", label)
 
 
