@@ -8,16 +8,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from evidary.llm import hnsw, langid, mixing, packing, rabitq, simhash, toxicity
+from evidary.llm import ctw, fixity, hnsw, langid, mixing, packing, quality, rabitq, simhash, toxicity
 from evidary.llm.common import held_out, read
 
 
+def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged records of a replica of all pages' archive, located by comparing Merkle trees."""
+    return fixity.audit_pages(read(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: fingerprints that differ in at most three bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability under the byte model, and under word counts, of the documents not held out."""
+    return ctw.score_all(read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality as its nearest labelled neighbours vote, learned from labels that are not held out."""
+    out = held_out(F.col("doc_id"), 4, 2)
+    labels = read(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    found = quality.scores(read(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of each label: cosine of at least 0.93."""
     return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -57,7 +75,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fixity": op1_fixity,
     "op2_simhash": op2_simhash,
+    "op3_ctw": op3_ctw,
+    "op4_quality": op4_quality,
     "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
     "op7_langid": op7_langid,
@@ -65,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_fixity": fixity.SQL.strip()}
