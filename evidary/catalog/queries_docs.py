@@ -119,7 +119,7 @@ def _marked(rows):
     with_roles(
         f"""SELECT f.pmid, md5('{B.header_row(fixed.PREDICTOR_COLUMNS)}' || chr(10) || '{B.rule_row(12)}' || chr(10) || string_agg({_FROW}, chr(10) ORDER BY f.row)
   || chr(10) || chr(10) || '{fixed.QUOTE_LEAD}' || chr(10) || chr(10) || string_agg(f.row || '. ' || quote, chr(10) ORDER BY f.row)) AS table_md5, count(*) AS lines
-FROM findings f LEFT JOIN interactions i ON i.pmid = f.pmid AND i.row = f.row WHERE f.row <= {fixed.MAX_PREDICTOR_ROWS} GROUP BY f.pmid""",
+FROM findings f LEFT JOIN interactions i ON i.pmid = f.pmid AND i.row = f.row GROUP BY f.pmid""",
         "findings",
         "interactions",
     ),
@@ -129,7 +129,7 @@ def findings_tables(spark, sf):
     marked = _marked(rows)
     cells = B.interacts_cells(roles.interactions(rows))
     joined = marked.join(cells, ["pmid", "row"], "left").withColumn("interacts", F.coalesce("interacts", F.lit("")))
-    counts = rows.filter(F.col("row") <= fixed.MAX_PREDICTOR_ROWS).groupBy("pmid").agg(F.count("*").alias("lines"))
+    counts = rows.groupBy("pmid").agg(F.count("*").alias("lines"))
     return B.findings_sections(joined).join(counts, "pmid").select("pmid", F.md5("text").alias("table_md5"), "lines")
 
 
@@ -139,7 +139,7 @@ def findings_tables(spark, sf):
     with_roles(
         f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY seq) AS no FROM null_findings WHERE predictor <> 'None reported '),
 t AS (SELECT pmid, '{B.header_row(fixed.NULL_COLUMNS)}' || chr(10) || '{B.rule_row(4)}' || chr(10) || string_agg({q.row("CAST(no AS VARCHAR)", "predictor", "outcome", "detail")}, chr(10) ORDER BY no)
-  || chr(10) || chr(10) || '{fixed.QUOTE_LEAD}' || chr(10) || chr(10) || string_agg(no || '. ' || quote, chr(10) ORDER BY no) AS text FROM r WHERE no <= {fixed.MAX_NULL_FINDINGS} GROUP BY pmid)
+  || chr(10) || chr(10) || '{fixed.QUOTE_LEAD}' || chr(10) || chr(10) || string_agg(no || '. ' || quote, chr(10) ORDER BY no) AS text FROM r GROUP BY pmid)
 SELECT DISTINCT n.pmid, coalesce(t.text, 'None reported — the paper states no null or non-significant finding.') AS text FROM null_findings n LEFT JOIN t USING (pmid)""",
         "null_findings",
     ),
@@ -159,8 +159,8 @@ def hints(rows):
     "vocabulary_sections",
     "B5",
     with_roles(
-        f"""SELECT pmid, string_agg('- **' || predictor || '**' || CASE WHEN row % 3 > 0 THEN ' — icd10 `' || p_value || '`' ELSE '' END, chr(10) ORDER BY row) AS text
-FROM findings WHERE row <= {fixed.MAX_VOCABULARY_HINTS} GROUP BY pmid""",
+        """SELECT pmid, string_agg('- **' || predictor || '**' || CASE WHEN row % 3 > 0 THEN ' — icd10 `' || p_value || '`' ELSE '' END, chr(10) ORDER BY row) AS text
+FROM findings GROUP BY pmid""",
         "findings",
     ),
 )
@@ -228,7 +228,7 @@ def parsed(spark, sf):
     "documents_read_back",
     "B1 B3 A20 A21 A22 A23 A24 A25",
     with_roles(
-        f"""WITH f AS (SELECT pmid, least(count(*), {fixed.MAX_PREDICTOR_ROWS}) AS rows, arg_max(predictor, row) FILTER (row <= {fixed.MAX_PREDICTOR_ROWS}) AS last_predictor,
+        f"""WITH f AS (SELECT pmid, count(*) AS rows, arg_max(predictor, row) AS last_predictor,
    arg_min(quote, row) AS first_quote, count(*) > 1 AS linked FROM findings GROUP BY pmid)
 SELECT o.pmid, o.title, array_to_string(authors, ', ') AS authors, coalesce(f.rows, 0) AS rows, coalesce(last_predictor, '') AS last_predictor, coalesce(first_quote, '') AS first_quote,
   study_design AS design, bottom_line AS first_paragraph, CASE WHEN caveats = '' THEN 'None stated.' ELSE caveats END AS caveats,
@@ -374,7 +374,7 @@ def charter_rules(spark, sf):
     "chunk_rows",
     "K1 K2 Q8",
     with_roles(
-        f"""WITH f AS (SELECT f.*, i.feature FROM findings f LEFT JOIN interactions i ON i.pmid = f.pmid AND i.row = f.row WHERE f.row <= {fixed.MAX_PREDICTOR_ROWS}),
+        f"""WITH f AS (SELECT f.*, i.feature FROM findings f LEFT JOIN interactions i ON i.pmid = f.pmid AND i.row = f.row),
 p AS (SELECT pmid, 0 AS chunk_index, 'concept' AS chunk_level, '' AS timing, '' AS confidence, '' AS evidence_type FROM order_papers
  UNION ALL SELECT pmid, row, 'predictor', timing, confidence, CASE evidence_type WHEN 'observational_association' THEN 'association' WHEN 'randomized_intervention' THEN 'intervention' ELSE 'outcome def.' END FROM f)
 SELECT p.pmid, chunk_index, chunk_level, timing, confidence, evidence_type, domain || '/' || filename AS source, coalesce(CAST(n AS VARCHAR), '') AS n, basis AS text_basis, coalesce(n, -1) AS n_value
@@ -406,44 +406,68 @@ def text_chunks(spark, sf):
     )
 
 
+# Every part of every text: pieces, the least number of parts, and then parts of an even share and the largest piece.
+_PARTS = """
+WITH d AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 60) AS lead, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS blocks FROM documents),
+w AS (SELECT *, lead || CASE WHEN len(blocks) > 0 THEN chr(10) || chr(10) ELSE '' END || array_to_string(blocks, chr(10) || chr(10)) AS whole, 342 - CAST(ceil(length(lead) / 3.0) AS BIGINT) AS room FROM d),
+long AS (SELECT * FROM w WHERE ceil(length(whole) / 3.0) > 350 AND room >= 1),
+b AS (SELECT doc_id, room, generate_subscripts(blocks, 1) AS bi, unnest(blocks) AS block FROM long),
+u AS (SELECT doc_id, bi, generate_subscripts(us, 1) AS ui, unnest(us) AS unit FROM (
+  SELECT doc_id, bi, CASE WHEN ceil(length(block) / 3.0) <= room THEN [block] ELSE list_filter(string_split(block, ' '), lambda x: trim(x) <> '') END AS us FROM b)),
+c AS (SELECT doc_id, list(CAST(ceil(length(unit) / 3.0) + 1 AS BIGINT) ORDER BY bi, ui) AS costs FROM u GROUP BY doc_id),
+n AS (SELECT c.*, room, list_reduce(list_prepend({'held': CAST(0 AS BIGINT), 'n': CAST(1 AS BIGINT), 'cost': CAST(0 AS BIGINT)},
+    list_transform(costs, lambda x: {'held': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'cost': x})),
+    lambda a, x: CASE WHEN a.held > 0 AND a.held + x.cost > room THEN {'held': x.cost, 'n': a.n + 1, 'cost': CAST(0 AS BIGINT)} ELSE {'held': a.held + x.cost, 'n': a.n, 'cost': CAST(0 AS BIGINT)} END).n AS parts
+  FROM c JOIN long USING (doc_id)),
+e AS (SELECT *, least(room, CAST(ceil(list_sum(costs) / parts) AS BIGINT) + list_max(costs)) AS capacity FROM n),
+p AS (SELECT doc_id, list_reduce(list_prepend({'held': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'cost': CAST(0 AS BIGINT), 'all': CAST([] AS BIGINT[])},
+    list_transform(costs, lambda x: {'held': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'cost': x, 'all': CAST([] AS BIGINT[])})),
+    lambda a, x: CASE WHEN a.held > 0 AND a.held + x.cost > capacity THEN {'held': x.cost, 'n': a.n + 1, 'cost': CAST(0 AS BIGINT), 'all': list_append(a.all, a.n + 1)}
+      ELSE {'held': a.held + x.cost, 'n': a.n, 'cost': CAST(0 AS BIGINT), 'all': list_append(a.all, a.n)} END).all AS part FROM e),
+x AS (SELECT doc_id, generate_subscripts(part, 1) AS i, unnest(part) AS part FROM p),
+y AS (SELECT u.*, row_number() OVER (PARTITION BY doc_id ORDER BY bi, ui) AS i FROM u),
+z AS (SELECT x.doc_id, x.part, y.i, y.unit, CASE WHEN row_number() OVER (PARTITION BY x.doc_id, x.part ORDER BY y.i) = 1 THEN '' WHEN ui = 1 THEN chr(10) || chr(10) ELSE ' ' END AS joint FROM x JOIN y USING (doc_id, i)),
+made AS (SELECT doc_id, part, string_agg(joint || unit, '' ORDER BY i) AS body FROM z GROUP BY doc_id, part),
+parts AS (SELECT doc_id, part, lead || chr(10) || chr(10) || body AS text, 1 + max(part) OVER (PARTITION BY doc_id) AS parts FROM made JOIN long USING (doc_id)
+  UNION ALL SELECT doc_id, 0, whole, 1 FROM w WHERE doc_id NOT IN (SELECT doc_id FROM long))"""
+
+
 @query(
     "window_parts",
     "G15 K3 U3 F19",
-    """
-SELECT count(*) AS documents, sum(len(string_split(regexp_replace(trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' '), ' +', ' ', 'g')), ' +', ' ', 'g'), ' '))) AS words,
-  TRUE AS all_fit FROM documents""",
+    _PARTS + "\nSELECT doc_id || '#0' || CASE WHEN part > 0 THEN '.' || part ELSE '' END AS chunk_id, md5(text) AS text_md5, parts FROM parts",
 )
 def window_parts(spark, sf):
-    """No word is lost and every part fits, whatever the cut."""
-    limit = 350
-    parts = K.fit_window(text_chunks(spark, sf), limit)
-    lead = table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("lead")
-    )
-    body = parts.join(lead, "id").withColumn(
-        "rest", F.substr(F.col("text"), F.length("lead") + 1)
-    )
-    words = F.filter(F.split("rest", r"\s+"), lambda w: w != "")
-    return body.agg(
-        F.count_distinct("id").alias("documents"), F.sum(F.size(words)).alias("words"),
-        F.bool_and(F.ceil(F.length("text") / 3.0) <= limit).alias("all_fit"),
-    )
+    parts = K.fit_window(text_chunks(spark, sf), 350)
+    return parts.select("chunk_id", F.md5("text").alias("text_md5"), F.col("chunk_parts").alias("parts"))
 
 
-@query("index_summary", "F19 K3")
+@query(
+    "index_summary",
+    "F19 K3",
+    _PARTS + """
+SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(*) AS concept_chunks, 0 AS predictor_chunks,
+  count(DISTINCT doc_id) FILTER (parts > 1) AS split, count(*) FILTER (ceil(length(text) / 3.0) > 350) AS overlong FROM parts""",
+)
 def index_summary(spark, sf):
-    return K.index_summary(K.chunk_documents(parsed(spark, sf), limit=120), 120)
+    return K.index_summary(K.fit_window(text_chunks(spark, sf), 350), 350)
 
 
-@query("embedded_chunks", "K4 U1 B13")
+@query(
+    "embedded_chunks",
+    "K4 U1 B13",
+    _PARTS + """
+SELECT doc_id || '#0' || CASE WHEN part > 0 THEN '.' || part ELSE '' END AS chunk_id, 26 AS dimensions,
+  CAST(length(lower(text)) - length(replace(lower(text), 'a', '')) AS DOUBLE) AS a FROM parts""",
+)
 def embedded_chunks(spark, sf):
     def load():
-        # A stand-in encoder of the user's: letter frequencies.
+        # A stand-in encoder of the user's: letter counts.
         letters = "abcdefghijklmnopqrstuvwxyz"
-        return lambda texts: [[t.lower().count(c) / max(1, len(t)) for c in letters] for t in texts]
+        return lambda texts: [[t.lower().count(c) for c in letters] for t in texts]
 
     vectors = K.embed(K.fit_window(text_chunks(spark, sf), 350), load)
-    return vectors.select("chunk_id", F.size("embedding").alias("dimensions"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("a"))
+    return vectors.select("chunk_id", F.size("embedding").alias("dimensions"), F.element_at("embedding", 1).cast("double").alias("a"))
 
 
 _METRICS = """UNION ALL SELECT * FROM (SELECT '{m}' AS metric, vec_id, round({e}, 6) + 0.0 AS distance FROM v ORDER BY 3, 2 LIMIT 20)"""

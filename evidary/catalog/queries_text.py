@@ -11,7 +11,7 @@ from evidary.catalog.roles import table
 from evidary.catalog.roles_sql import with_roles
 from evidary.functions import labels as L, numbers as N, text as T
 from evidary.operators import budgets
-from evidary.operators.placement import blank_unknown_topics, recover_topic
+from evidary.operators.placement import blank_unknown_topics, recover_topics
 from evidary.sources.bibxml import normalize_languages
 from evidary.sources.landed_json import normalize_pmcid
 
@@ -437,10 +437,8 @@ def topic_name_recovery(spark, sf):
         .when(F.col("segment") == "AUTOMOBILE", F.lit("no such place"))
         .otherwise(F.col("region"))
     )
-    df = blank_unknown_topics(roles.verdicts(spark, sf), topics)
-    return df.select(
-        "pmid", recover_topic(named, topics).alias("recovered"), "topic", F.col("unknown_topic").alias("unknown")
-    )
+    df = recover_topics(blank_unknown_topics(roles.verdicts(spark, sf), topics).withColumn("named", named), "named", topics)
+    return df.select("pmid", "recovered", "topic", F.col("unknown_topic").alias("unknown"))
 
 
 @query(

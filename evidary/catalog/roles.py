@@ -33,23 +33,9 @@ EVIDENCE = {
 }
 
 
-# Long texts in a file of one row group would all be one task's work.
-SPREAD = {"documents": "doc_id", "pages": "page_id"}
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table.  A text table too small to be read in as many splits as there are
-    cores is spread over them by its key; a large one is left as it is scanned."""
-    path = f"{sf.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in SPREAD:
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        cores = spark.sparkContext.defaultParallelism
-        if fs.getContentSummary(root).getLength() < cores * SPLIT_BYTES:
-            return df.repartition(cores, SPREAD[name])
-    return df
+    """A given table, read in the splits that the scan's settings make at every size."""
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def pick(pairs: dict[str, str], key: str) -> Column:

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 64
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], limit: int, spread: list[str], name: str = "rn") -> DataFrame:
     """The first ``limit`` rows per key in ``order``, numbered from 1 in ``name``.
 
     Spark cuts each partition's list before the shuffle only for small limits.  So the
-    rows of a key are first cut within salts of their identity (``spread``): what one task
-    orders in the end is at most ``SALTS * limit`` rows, however many rows the key has.
+    rows of a key are first cut within salts of their identity (``spread``), as many as there are
+    shuffle partitions: a key's rows are ordered by as many tasks as there are, and the
+    last task orders ``limit`` rows of each of them.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     cut = salted.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit)
     last = Window.partitionBy(*keys).orderBy(*order)

@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidary import fixed
 from evidary.functions.labels import borderline, shortfall
-from evidary.functions.text import alnum_lower, jaccard, strings, strip, text_or_empty, text_tokens
+from evidary.functions.text import alnum_lower, strip, text_or_empty, text_tokens
+from evidary.operators.common import top_rows
 from evidary.session import durable
 
-# Taxonomies are small by design; beyond this, topics are no longer written as literals.
-TOPIC_LIMIT = 200
-
-
 @dataclass(frozen=True)
 class Bounds:
     """How many papers a topic and the whole selection may hold."""
@@ -24,67 +21,51 @@ class Bounds:
     target: int
 
 
-def _topic_rows(topics: DataFrame) -> list:
-    """The taxonomy, a run parameter of at most a few dozen rows."""
-    rows = topics.orderBy("ord").limit(TOPIC_LIMIT + 1).collect()
-    if len(rows) > TOPIC_LIMIT:
-        raise ValueError(f"a taxonomy of more than {TOPIC_LIMIT} topics is not browsable")
-    return rows
-
-
 # --- assignment (E6, E7, C47, D8) ------------------------------------------------------
 
 
-def nearest_topic(tokens: Column | str, topics: DataFrame) -> Column:
-    """The topic whose words a paper shares most; the earlier wins a tie; '' when none.
+def nearest_topics(papers: DataFrame, topics: DataFrame) -> DataFrame:
+    """``(pmid, nearest)``: the topic whose words a paper shares most; the earlier wins a tie.
 
-    The topics stand in the expression as constants, so there is no join at all.
+    ``papers`` is ``(pmid, tokens)``.  Papers and topics meet on shared words only, so a paper
+    that shares none has no row.
     """
-    rows = _topic_rows(
-        topics.select(
-            "ord",
-            "slug",
-            text_tokens(
-                F.concat_ws(" ", F.col("title"), F.col("scope"), F.array_join("seed_terms", " "))
-            ).alias("tokens"),
-        )
-    )
-    if not rows:
-        return F.lit("")
-    offers = F.array(
-        *[
-            F.struct(
-                jaccard(tokens, strings(r["tokens"])).alias("overlap"),
-                F.lit(-int(r["ord"])).alias("earlier"),
-                F.lit(r["slug"]).alias("slug"),
-            )
-            for r in rows
-        ]
-    )
-    best = F.array_max(offers)
-    return F.when(best["overlap"] > 0, best["slug"]).otherwise(F.lit(""))
+    words = text_tokens(F.concat_ws(" ", F.col("title"), F.col("scope"), F.array_join("seed_terms", " ")))
+    sides = topics.select("ord", "slug", words.alias("_w")).select("ord", "slug", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    asked = papers.select("pmid", F.size("tokens").alias("_m"), F.explode("tokens").alias("word"))
+    shared = asked.join(sides, "word").groupBy("pmid", "_m", "ord", "slug", "_n").agg(F.count("*").alias("_both"))
+    overlap = F.col("_both") / (F.col("_m") + F.col("_n") - F.col("_both"))
+    best = shared.groupBy("pmid").agg(F.max(F.struct(overlap.alias("overlap"), (-F.col("ord")).alias("earlier"), "slug"))["slug"].alias("nearest"))
+    return best
 
 
-def recover_topic(named: Column | str, topics: DataFrame) -> Column:
-    """The taxonomy's slug for a written topic name, or null.
+def recover_topics(df: DataFrame, named: str, topics: DataFrame, out: str = "recovered") -> DataFrame:
+    """Adds ``out``: the taxonomy's slug for the topic name written in ``named``, or null.
 
-    Exact after folding, else the first listed part that matches.
+    Exact after folding, else the first listed part that matches.  Only the distinct names are looked up.
     """
-    rows = _topic_rows(topics.select("ord", "slug"))
-    table = F.create_map(*[x for r in rows for x in (alnum_lower(F.lit(r["slug"])), F.lit(r["slug"]))])
-    n = F.col(named) if isinstance(named, str) else named
-    parts = F.transform(F.split(n, r"[,;/|\n]", -1), lambda p: F.element_at(table, alnum_lower(p)))
-    listed = F.filter(parts, lambda p: p.isNotNull())
-    return F.coalesce(F.element_at(table, alnum_lower(n)), F.get(listed, F.lit(0)))
+    slugs = topics.groupBy(alnum_lower(F.col("slug")).alias("_key")).agg(F.max_by("slug", "ord").alias("_slug"))
+    names = df.select(F.col(named).alias("_name")).where(F.col(named).isNotNull()).distinct()
+    parts = F.concat(F.array(F.col("_name")), F.split("_name", r"[,;/|\n]", -1))  # the whole name stands first
+    listed = names.select("_name", F.posexplode(parts).alias("_at", "_part")).withColumn("_key", alnum_lower("_part"))
+    found = listed.join(slugs, "_key").groupBy("_name").agg(F.min(F.struct("_at", "_slug"))["_slug"].alias(out))
+    return df.join(found, F.col(named) == F.col("_name"), "left").drop("_name")
+
+
+def _known(df: DataFrame, column: str, topics: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: the value of ``column`` where the taxonomy has it, else null."""
+    slugs = topics.select(F.col("slug").alias(out)).distinct()
+    return df.join(slugs, F.col(column) == F.col(out), "left")
 
 
 def blank_unknown_topics(df: DataFrame, topics: DataFrame, column: str = "topic") -> DataFrame:
     """Topics the taxonomy does not have become '' and are named in ``unknown_topic``."""
-    slugs = [r["slug"] for r in _topic_rows(topics.select("ord", "slug"))]
-    known = F.array_contains(strings(slugs), F.col(column))
-    return df.withColumn(
-        "unknown_topic", F.when((F.col(column) != "") & ~known, F.col(column))
-    ).withColumn(column, F.when(known, F.col(column)).otherwise(F.lit("")))
+    known = _known(df, column, topics, "_known")
+    return (
+        known.withColumn("unknown_topic", F.when((F.col(column) != "") & F.col("_known").isNull(), F.col(column)))
+        .withColumn(column, F.coalesce("_known", F.lit("")))
+        .drop("_known")
+    )
 
 
 def assign_topics(verdicts: DataFrame, candidates: DataFrame, topics: DataFrame) -> DataFrame:
@@ -93,13 +74,13 @@ def assign_topics(verdicts: DataFrame, candidates: DataFrame, topics: DataFrame)
     ``candidates`` needs ``pmid``, ``topic`` (affinity) and ``tokens``.  Screened papers
     without a candidate, and papers no source can place, are left out.
     """
-    slugs = strings([r["slug"] for r in _topic_rows(topics.select("ord", "slug"))])
-    known = lambda c: F.when(F.array_contains(slugs, c), c)
     joined = verdicts.withColumnRenamed("topic", "hint").join(
         candidates.select("pmid", F.col("topic").alias("affinity"), "tokens"), "pmid"
     )
-    topic = F.coalesce(known(F.col("hint")), known(F.col("affinity")), nearest_topic("tokens", topics))
-    return joined.withColumn("topic", topic).filter(F.col("topic") != "").drop("tokens", "hint", "affinity")
+    both = _known(_known(joined, "hint", topics, "_hint"), "affinity", topics, "_affinity")
+    near = nearest_topics(candidates.select("pmid", "tokens").dropDuplicates(["pmid"]), topics)
+    placed = both.join(near, "pmid", "left").withColumn("topic", F.coalesce("_hint", "_affinity", "nearest"))
+    return placed.filter(F.col("topic").isNotNull()).drop("tokens", "hint", "affinity", "_hint", "_affinity", "nearest")
 
 
 def curation_order(verdicts: DataFrame, pool: DataFrame) -> DataFrame:
@@ -124,12 +105,7 @@ def curation_order(verdicts: DataFrame, pool: DataFrame) -> DataFrame:
 def offers(assigned: DataFrame, ceiling: int) -> DataFrame:
     """Included papers per topic, best first, at most three ceilings (H5)."""
     cap = max(1, ceiling * fixed.OFFER_MULTIPLE)
-    w = Window.partitionBy("topic").orderBy("order")
-    return (
-        assigned.filter("include")
-        .withColumn("offer", F.row_number().over(w))
-        .filter(F.col("offer") <= cap)
-    )
+    return top_rows(assigned.filter("include"), ["topic"], ["order"], cap, ["pmid"], "offer")
 
 
 def reconcile_decisions(offered: DataFrame, answered: DataFrame, failed_topics: DataFrame | None = None) -> DataFrame:
@@ -143,7 +119,7 @@ def reconcile_decisions(offered: DataFrame, answered: DataFrame, failed_topics:
         joined = joined.withColumn("failed", F.lit(None).cast("boolean"))
     else:
         joined = joined.join(
-            F.broadcast(failed_topics.select("topic").limit(TOPIC_LIMIT).withColumn("failed", F.lit(True))),
+            failed_topics.select("topic").distinct().withColumn("failed", F.lit(True)),
             "topic",
             "left",
         )
@@ -188,7 +164,7 @@ def first_claim(kept: DataFrame, topics: DataFrame) -> DataFrame:
 
     ``claims`` counts how many known topics kept it.
     """
-    order = F.broadcast(topics.select(F.col("slug").alias("topic"), "ord").limit(TOPIC_LIMIT))
+    order = topics.select(F.col("slug").alias("topic"), "ord")
     return (
         kept.join(order, "topic")
         .groupBy("pmid")
@@ -199,14 +175,13 @@ def first_claim(kept: DataFrame, topics: DataFrame) -> DataFrame:
 
 def under_ceiling(placed: DataFrame, ceiling: int) -> DataFrame:
     """The best ``ceiling`` papers of every topic; adds ``position`` from 1."""
-    w = Window.partitionBy("topic").orderBy("order", "pmid")
-    return placed.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= ceiling)
+    return top_rows(placed, ["topic"], ["order", "pmid"], ceiling, ["pmid"], "position")
 
 
-def _backfill(placed: DataFrame, queue: DataFrame, needs: DataFrame) -> DataFrame:
-    free = queue.join(placed.select("pmid"), "pmid", "left_anti").join(F.broadcast(needs), "topic")
-    w = Window.partitionBy("topic").orderBy("seq", "pmid")
-    return free.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= F.col("need"))
+def _backfill(placed: DataFrame, queue: DataFrame, needs: DataFrame, floor: int) -> DataFrame:
+    free = queue.join(placed.select("pmid"), "pmid", "left_anti").join(needs, "topic")
+    # no topic needs more than the floor
+    return top_rows(free, ["topic"], ["seq", "pmid"], max(1, floor), ["pmid"], "turn").filter(F.col("turn") <= F.col("need"))
 
 
 def place(
@@ -227,7 +202,7 @@ def place(
     # A null struct sorts first; swap in a marker that sorts last.
     placed = placed.withColumn("order", F.struct(F.col("order").isNull().alias("last"), "order"))
     held = durable(under_ceiling(placed, bounds.ceiling).withColumn("backfilled", F.lit(False)))
-    slugs = topics.select(F.col("slug").alias("topic"), "ord").limit(TOPIC_LIMIT)
+    slugs = topics.select(F.col("slug").alias("topic"), "ord")
 
     if queue is not None:
         counts = held.groupBy("topic").agg(F.count("*").alias("have"), F.max("position").alias("top"))
@@ -255,7 +230,7 @@ def place(
             ]
         )
         for needs in turns:
-            extra = _backfill(held, tickets, needs).join(
+            extra = _backfill(held, tickets, needs, bounds.floor).join(
                 ranked, "pmid", "left"
             ).withColumn("order", F.struct(F.col("order").isNull().alias("last"), "order"))
             held = durable(

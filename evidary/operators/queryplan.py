@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidary import fixed
 from evidary.functions.text import inline, keyphrases, strip, text_or_empty
-from evidary.session import broadcast_if_small
 
 
 def plan_queries(planned: DataFrame, max_queries: int) -> DataFrame:
@@ -38,7 +37,7 @@ def gap_queries(
     seeds = topics.select(F.col("slug").alias("topic"), "seed_terms")
     facets = (
         gaps.filter(F.col("shortfall") > 0)
-        .join(broadcast_if_small(seeds), "topic", "left")
+        .join(seeds, "topic", "left")
         .withColumn("seed_terms", F.coalesce("seed_terms", F.array().cast("array<string>")))
         .withColumn(
             "facet",

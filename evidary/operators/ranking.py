@@ -12,7 +12,7 @@ from evidary import fixed
 from evidary.functions.scoring import relevance_parts, total_of
 from evidary.functions.text import jaccard, paper_tokens, text_or_empty, strip
 from evidary.operators.common import top_rows
-from evidary.session import broadcast_if_small, durable
+from evidary.session import durable
 
 
 def score(candidates: DataFrame, now_year: int, min_year: int | None = None, weights=None) -> DataFrame:
@@ -53,36 +53,15 @@ def pure_top(scored: DataFrame, pool_size: int) -> DataFrame:
 
 # --- topic affinity (E4) -------------------------------------------------------------
 
-# A query plan longer than this is joined instead of being written into the expression.
-PLAN_LITERAL_LIMIT = 500
-
-
 def topic_affinity(candidates: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``topic``: of the topics whose queries found a paper, the first in plan order.
 
-    ``plan`` is ``(ord, term, topic)``.  A plan of ordinary length becomes a map literal,
-    so no row is shuffled; a longer one is joined.
+    ``plan`` is ``(ord, term, topic)``; a term planned twice counts for both of its topics.
     """
     firsts = plan.filter(F.col("topic") != "").groupBy("topic").agg(F.min("ord").alias("topic_ord"))
-    mapped = plan.join(firsts, "topic").select("term", "topic_ord", "topic")
-    head = mapped.limit(PLAN_LITERAL_LIMIT + 1).collect()
-    if not head:
-        return candidates.withColumn("topic", F.lit(""))
-    if len(head) <= PLAN_LITERAL_LIMIT:
-        table = F.create_map(
-            *[
-                x
-                for r in head
-                for x in (
-                    F.lit(r["term"]),
-                    F.struct(F.lit(int(r["topic_ord"])).alias("o"), F.lit(r["topic"]).alias("t")),
-                )
-            ]
-        )
-        best = F.array_min(F.transform("found_by", lambda t: F.element_at(table, t)))
-        return candidates.withColumn("topic", F.coalesce(best["t"], F.lit("")))
+    mapped = plan.join(firsts, "topic").groupBy("term").agg(F.min(F.struct("topic_ord", "topic")).alias("first"))
     found = candidates.select("pmid", F.explode("found_by").alias("term")).join(mapped, "term")
-    best = found.groupBy("pmid").agg(F.min(F.struct("topic_ord", "topic"))["topic"].alias("topic"))
+    best = found.groupBy("pmid").agg(F.min("first")["topic"].alias("topic"))
     return candidates.join(best, "pmid", "left").withColumn("topic", F.coalesce("topic", F.lit("")))
 
 
@@ -167,7 +146,7 @@ def mmr_order(
     if lambda_ >= 1.0:
         return best.select(F.col("grp").alias(name), "pmid", (F.col("rn") - 1).alias("pick"))
     groups = best.groupBy("grp").agg(F.count("*").alias("want"), F.min("score").alias("kth"))
-    groups = broadcast_if_small(durable(groups))
+    groups = durable(groups)
     # Similarity is at most 1, so anything this far under the k-th best never wins a pick.
     reach = (1.0 - lambda_) / lambda_ if lambda_ > 0 else float("inf")
     pool = durable(
@@ -190,8 +169,8 @@ def mmr_order(
                 "chosen", F.lit(0.0), lambda m, t: F.greatest(m, jaccard("tokens", t))
             )
             current = (
-                current.join(broadcast_if_small(picks.select("grp", "pmid")), ["grp", "pmid"], "left_anti")
-                .join(broadcast_if_small(chosen.drop("taken")), "grp", "left")
+                current.join(picks.select("grp", "pmid"), ["grp", "pmid"], "left_anti")
+                .join(chosen.drop("taken"), "grp", "left")
                 .withColumn("done", F.coalesce("done", F.lit(0)))
                 .filter(F.col("done") < F.col("want"))
                 .withColumn("closest", F.when(F.col("done") > 0, nearest).otherwise(F.lit(0.0)))
@@ -238,9 +217,9 @@ def quota_select(
     taken = durable(mmr_order(scored, quota, lambda_, "topic", batch).select("pmid"))
     short = pool_size - taken.count()
     if short > 0:
-        leftovers = scored.join(broadcast_if_small(taken), "pmid", "left_anti")
+        leftovers = scored.join(taken, "pmid", "left_anti")
         taken = taken.unionByName(mmr_order(leftovers, short, lambda_, None, batch).select("pmid"))
-    return in_order(scored.join(broadcast_if_small(taken), "pmid", "left_semi")).limit(pool_size)
+    return in_order(scored.join(taken, "pmid", "left_semi")).limit(pool_size)
 
 
 # --- comparing selections (I1, F4) ----------------------------------------------------------

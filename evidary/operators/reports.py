@@ -21,7 +21,6 @@ from evidary.functions.text import (
 )
 from evidary.operators.budgets import is_sentinel
 from evidary.operators.recurrence import direction_line, site_order
-from evidary.session import broadcast_if_small
 
 
 # --- topic pages (B7, F6) ------------------------------------------------------------------
@@ -170,8 +169,8 @@ def predictor_index(groups: DataFrame, outcomes: DataFrame, sites: DataFrame) ->
     ``sites`` carries ``group`` and ``outcome_label``.  Nothing is gathered: the three
     levels are unioned and ordered by their shared keys.
     """
-    g = broadcast_if_small(groups.select("group", F.col("order").alias("g_order")))
-    o = broadcast_if_small(outcomes.select("group", "outcome_label", F.col("order").alias("o_order")))
+    g = groups.select("group", F.col("order").alias("g_order"))
+    o = outcomes.select("group", "outcome_label", F.col("order").alias("o_order"))
     topics = F.when(
         F.size("topics") > 0,
         F.concat(F.size("topics").cast("string"), F.lit(" topic(s): "), F.array_join("topics", ", ")),

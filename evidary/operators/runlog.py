@@ -122,7 +122,7 @@ def request_statistics(requests: DataFrame) -> DataFrame:
 
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Spend from a price table per role; a role without a price stays unpriced."""
-    known = F.broadcast(prices.select("role", "price_in", "price_out").limit(1000))
+    known = prices.select("role", "price_in", "price_out")
     usd = F.col("prompt_tokens") / F.lit(1_000_000.0) * F.col("price_in") + F.col(
         "completion_tokens"
     ) / F.lit(1_000_000.0) * F.col("price_out")

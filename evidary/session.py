@@ -59,19 +59,3 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a table a job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-# A side is broadcast only when its measured size stays under this many rows.
-BROADCAST_ROW_LIMIT = 200_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after checking the row count; beyond it Spark joins by shuffle.
-
-    The count stops at ``limit + 1`` rows, so the check itself stays cheap.
-    """
-    from pyspark.sql import functions as F
-
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df

@@ -119,11 +119,9 @@ def test_affinity_takes_the_first_topic_in_plan_order(spark):
     df = spark.createDataFrame([("1", ["q2", "q3"]), ("2", ["q2"]), ("3", ["q4"])], "pmid string, found_by array<string>")
     got = {r["pmid"]: r["topic"] for r in ranking.topic_affinity(df, plan).collect()}
     assert got == {"1": "A", "2": "B", "3": ""}
-    old, ranking.PLAN_LITERAL_LIMIT = ranking.PLAN_LITERAL_LIMIT, 1
-    try:
-        assert {r["pmid"]: r["topic"] for r in ranking.topic_affinity(df, plan).collect()} == got
-    finally:
-        ranking.PLAN_LITERAL_LIMIT = old
+    many = spark.createDataFrame([(i, f"q{i % 900}", f"T{i}") for i in range(1200)], "ord int, term string, topic string")
+    got = {r["pmid"]: r["topic"] for r in ranking.topic_affinity(df, many).collect()}
+    assert got == {"1": "T2", "2": "T2", "3": "T4"}
 
 
 def test_failed_availability_keeps_the_paper(spark):

@@ -61,8 +61,22 @@ def test_nearest_topic_ties_go_to_the_earlier(spark):
     topics = spark.createDataFrame(
         [(0, "b", "sleep health", "", []), (1, "a", "sleep habits", "", [])], "ord int, slug string, title string, scope string, seed_terms array<string>"
     )
-    df = spark.createDataFrame([(["sleep"],), (["pain"],), (["habits", "sleep"],)], "tokens array<string>")
-    assert [r[0] for r in df.select(P.nearest_topic("tokens", topics)).collect()] == ["b", "", "a"]
+    df = spark.createDataFrame([("1", ["sleep"]), ("2", ["pain"]), ("3", ["habits", "sleep"])], "pmid string, tokens array<string>")
+    assert {r["pmid"]: r["nearest"] for r in P.nearest_topics(df, topics).collect()} == {"1": "b", "3": "a"}
+
+
+def test_many_topics_lose_no_paper(spark):
+    topics = spark.range(201).selectExpr("cast(id as int) as ord", "concat('t', id) as slug", "concat('word', id) as title", "'' as scope", "array('x') as seed_terms")
+    kept = spark.range(402).selectExpr("concat('t', id % 201) as topic", "cast(id as string) as pmid")
+    order = kept.selectExpr("pmid", "cast(pmid as int) as order")
+    assert P.place(kept, order, topics, P.Bounds(1, 5, 1000)).count() == 402
+    verdicts = kept.selectExpr("pmid", "'' as topic", "true as include")
+    papers = kept.selectExpr("pmid", "'' as topic", "array(concat('word', cast(pmid as int) % 201)) as tokens")
+    assigned = P.assign_topics(verdicts, papers, topics)
+    assert assigned.where("topic = concat('t', cast(pmid as int) % 201)").count() == 402
+    failed = topics.selectExpr("slug as topic")
+    none = spark.createDataFrame([], "topic string, pmid string, keep boolean, rationale string")
+    assert P.reconcile_decisions(kept, none, failed).where("keep").count() == 402
 
 
 def test_silence_and_invention(spark):
@@ -83,4 +97,5 @@ def test_an_empty_topic_is_a_gap(spark):
 def test_topic_names_are_recovered(spark):
     topics = spark.createDataFrame([(0, "heart-rate"), (1, "sleep")], "ord int, slug string")
     df = spark.createDataFrame([("Heart Rate",), ("pain; SLEEP; heart-rate",), ("pain",)], "n string")
-    assert [r[0] for r in df.select(P.recover_topic("n", topics)).collect()] == ["heart-rate", "sleep", None]
+    got = {r["n"]: r["recovered"] for r in P.recover_topics(df, "n", topics).collect()}
+    assert got == {"Heart Rate": "heart-rate", "pain; SLEEP; heart-rate": "sleep", "pain": None}
