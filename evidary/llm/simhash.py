@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from evidary.llm.common import durable, free_name, word_pieces
+from evidary.llm.common import durable, word_pieces
 from evidary.llm.graph import components
 
 #: Buckets with more fingerprints than this are linked through neighbourhoods instead of pairs.
@@ -136,20 +136,19 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Rows with the same id differ by a hash of all columns; of rows equal throughout one stays.
     """
-    row = free_name(docs, "row_key")
-    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    prints = durable(keyed.select("doc_id", F.col(row).alias("sig"), fingerprint_of(F.col("text")).alias("fp")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sig = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     # nulls last: a group's first row is the least by (id is null, id, hash)
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("sig"))
-    classes = durable(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    keyed = docs.select(row.alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), sig.alias("sig"))
+    key = ["no_id", "id", "sig"]
+    prints = durable(keyed.select(*key, fingerprint_of(F.col("row.text")).alias("fp")))
+    classes = durable(prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("first")))
     groups = durable(components(links(classes.select("fp"), radius)))
     rooted = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    sizes = prints.select(first.alias("first")).groupBy("first").agg(F.count("*").alias("copies"))
-    kept = durable(kept.join(sizes.select("first.*", "copies"), ["no_id", "id", "sig"]))
-    same = (keyed["doc_id"].isNull() == F.col("no_id")) & (F.coalesce(keyed["doc_id"], F.lit(0)) == F.col("id")) & (keyed[row] == F.col("sig"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    alone = keyed.join(kept.where("copies = 1").select("no_id", "id", "sig"), same, "left_semi").select(*names)
+    sizes = prints.groupBy(*key).agg(F.count("*").alias("copies"))
+    kept = durable(kept.join(sizes, key))
+    alone = keyed.join(kept.where("copies = 1"), key, "left_semi").select("row.*")
     # Only rows that occur more than once are grouped whole.
-    again = keyed.join(kept.where("copies > 1").select("no_id", "id", "sig"), same, "left_semi").select(*names).distinct()
+    again = keyed.join(kept.where("copies > 1"), key, "left_semi").select("row.*").distinct()
     return alone.unionByName(again)
