@@ -343,11 +343,6 @@ def cross_document_rules(spark, sf):
     )
 
 
-@query("parser_agreement", "Q3")
-def parser_agreement(spark, sf):
-    return Q.check_two_parsers(durable(planted(spark, sf)))
-
-
 @query(
     "charter_rules",
     "Q9",

@@ -11,6 +11,7 @@ from evidary.catalog.roles_sql import with_roles
 from evidary.functions import text as T
 from evidary.functions.labels import borderline
 from evidary.operators import placement as P, queryplan, ranking, reports
+from evidary.operators.common import numbered
 from evidary.session import durable
 
 
@@ -72,24 +73,12 @@ def topic_assignment(spark, sf):
     _sql("SELECT pmid, relevance, coalesce(position, -1) AS position, row_number() OVER (ORDER BY rk) AS place FROM assigned WHERE topic <> ''"),
 )
 def curation_order(spark, sf):
-    ordered = assigned(spark, sf).withColumn("score", -F.lit(0.0))
-    # The dense place is for show: range-sorted rows numbered in two levels.
-    frozen = durable(ordered.orderBy("order")).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = frozen.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    earlier = sizes.select(F.col("part").alias("p2"), F.col("n").alias("n2"))
-    starts = sizes.join(F.broadcast(earlier), F.col("p2") < F.col("part"), "left").groupBy("part").agg(
-        F.coalesce(F.sum("n2"), F.lit(0)).alias("start")
-    )
-    return (
-        frozen.withColumn("part", part)
-        .join(F.broadcast(starts), "part")
-        .select(
-            "pmid",
-            "relevance",
-            F.when(F.col("order.position") < 2**62, F.col("order.position")).otherwise(-1).alias("position"),
-            (F.col("start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"),
-        )
+    # The dense place is for show.
+    return numbered(assigned(spark, sf), ["order"], "place").select(
+        "pmid",
+        "relevance",
+        F.when(F.col("order.position") < 2**62, F.col("order.position")).otherwise(-1).alias("position"),
+        (F.col("place") + 1).alias("place"),
     )
 
 
@@ -149,6 +138,26 @@ def placement(spark, sf):
     )
 
 
+@query(
+    "placement_accounting",
+    "G3 G4 G5 G6",
+    _sql(
+        f"""{_PLACED} SELECT (SELECT count(*) FROM decided WHERE keep AND topic NOT IN (SELECT slug FROM topics)) AS unknown_topic,
+  (SELECT count(*) FROM decided WHERE keep) - (SELECT count(DISTINCT pmid) FROM decided WHERE keep) AS duplicates,
+  (SELECT count(*) FROM decided WHERE keep) - (SELECT count(*) FROM held0) AS over_ceiling,
+  (SELECT count(*) FROM held WHERE backfilled) AS backfilled, (SELECT count(*) FROM held) - (SELECT count(*) FROM final) AS over_target,
+  (SELECT count(*) FROM final) AS placed, greatest(0, (SELECT count(*) FROM final) - {BOUNDS.target}) AS above_target,
+  greatest(0, {BOUNDS.target} - (SELECT count(*) FROM final)) AS below_target"""
+    ),
+)
+def placement_accounting(spark, sf):
+    rows = assigned(spark, sf)
+    kept = decided(spark, sf, rows)
+    return P.place_in_bounds(
+        kept.filter("keep").select("topic", "pmid"), rows.select("pmid", "order"), roles.topics(spark, sf), BOUNDS, P.reserve(rows, kept)
+    ).account
+
+
 @query(
     "placement_gaps",
     "F16 C49",

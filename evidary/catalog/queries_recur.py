@@ -10,6 +10,7 @@ from evidary.catalog.registry import query
 from evidary.catalog.roles import table
 from evidary.catalog.roles_sql import with_roles
 from evidary.functions.labels import effect_cell
+from evidary.operators.common import numbered
 from evidary.operators import recurrence as R, reports
 from evidary.session import durable
 
@@ -129,11 +130,9 @@ SELECT label AS predictor, papers, rows, topics, forms, row_number() OVER (ORDER
 )
 def predictor_groups(spark, sf):
     _, _, groups = grouped(spark, sf)
-    later = F.broadcast(groups.select(F.col("order").alias("o2")))
-    place = groups.join(later, F.col("o2") <= F.col("order")).groupBy("group").agg(F.count("*").alias("place"))
-    return groups.join(place, "group").select(
+    return numbered(groups, ["order"], "place").select(
         F.col("group").alias("predictor"), "papers", "rows", F.array_join("topics", ",").alias("topics"),
-        F.array_join("surface_forms", "|").alias("forms"), "place",
+        F.array_join("surface_forms", "|").alias("forms"), (F.col("place") + 1).alias("place"),
     )
 
 

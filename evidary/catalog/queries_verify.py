@@ -129,7 +129,8 @@ def _sql(tail: str, *extra: str) -> str:
 
 
 def checked(spark, sf):
-    rows = roles.findings(spark, sf)
+    # The findings are both the claims and, by paper, the sources.
+    rows = durable(roles.findings(spark, sf))
     features = V.source_features(roles.source_texts(rows))
     return V.check_rows(rows, features)
 

@@ -1,9 +1,11 @@
-"""Top rows per key when one key may hold a large share of all rows."""
+"""Top rows per key when one key may hold a large share of all rows, and places in a total order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evidary.session import durable
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], limit: int, spread: list[str], name: str = "rn") -> DataFrame:
     """The first ``limit`` rows per key in ``order``, numbered from 1 in ``name``.
 
@@ -20,3 +22,22 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], limit: i
     return (
         cut.drop("_salt", "_rn").withColumn(name, F.row_number().over(last)).filter(F.col(name) <= limit)
     )
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with each row's 0-based place in ``order``, without one big window.
+
+    The range-sorted rows are made durable, which freezes their partitions; a row's
+    place is that in its partition plus the sizes of the partitions before it.
+    """
+    frozen = durable(df.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    placed = frozen.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    # One row per partition; the running sum below is over that short list.
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (
+        placed.join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_start") + F.col("_place"))
+        .drop("_part", "_place", "_id", "_start")
+    )

@@ -184,6 +184,14 @@ def _backfill(placed: DataFrame, queue: DataFrame, needs: DataFrame, floor: int)
     return top_rows(free, ["topic"], ["seq", "pmid"], max(1, floor), ["pmid"], "turn").filter(F.col("turn") <= F.col("need"))
 
 
+@dataclass(frozen=True)
+class Placed:
+    """Papers in their places, and one row that accounts for the others."""
+
+    papers: DataFrame
+    account: DataFrame
+
+
 def place(
     kept: DataFrame,
     order: DataFrame,
@@ -191,17 +199,32 @@ def place(
     bounds: Bounds,
     queue: DataFrame | None = None,
 ) -> DataFrame:
+    """The papers of ``place_in_bounds``."""
+    return place_in_bounds(kept, order, topics, bounds, queue).papers
+
+
+def place_in_bounds(
+    kept: DataFrame,
+    order: DataFrame,
+    topics: DataFrame,
+    bounds: Bounds,
+    queue: DataFrame | None = None,
+) -> Placed:
     """Fit the kept papers inside the bounds.
 
     ``kept`` is ``(topic, pmid)``, ``order`` is ``(pmid, order)`` with any sortable
-    ``order``, ``queue`` is ``(topic, pmid, seq)``.  Returns ``(topic, pmid, position,
-    backfilled)`` in final order.  Papers missing from ``order`` sort last.
+    ``order``, ``queue`` is ``(topic, pmid, seq)``.  Papers are ``(topic, pmid, position,
+    backfilled)`` in final order; those missing from ``order`` sort last.  The account counts
+    what named an unknown topic, further claims on a paper, papers over a ceiling, backfilled and
+    cut to the target, papers placed, and how far the floors keep these above the target or the supply below it.
     """
     ranked = order.select("pmid", F.struct(F.lit(0).alias("known"), F.col("order")).alias("order"))
-    placed = first_claim(kept, topics).select("pmid", "topic").join(ranked, "pmid", "left")
+    claimed = durable(first_claim(kept, topics))
+    placed = claimed.select("pmid", "topic").join(ranked, "pmid", "left")
     # A null struct sorts first; swap in a marker that sorts last.
     placed = placed.withColumn("order", F.struct(F.col("order").isNull().alias("last"), "order"))
     held = durable(under_ceiling(placed, bounds.ceiling).withColumn("backfilled", F.lit(False)))
+    below = held
     slugs = topics.select(F.col("slug").alias("topic"), "ord")
 
     if queue is not None:
@@ -245,6 +268,7 @@ def place(
                 )
             )
 
+    filled = held
     excess = held.count() - bounds.target
     if excess > 0:
         # Popping the widest topic again and again removes, in all, the deepest positions
@@ -257,8 +281,27 @@ def place(
         )
         held = held.join(removed, "pmid", "left_anti")
     final = Window.partitionBy("topic").orderBy("order", "pmid")
-    return held.select(
-        "topic", "pmid", F.row_number().over(final).alias("position"), "backfilled"
+    papers = held.select("topic", "pmid", F.row_number().over(final).alias("position"), "backfilled")
+    return Placed(papers, _account(kept, claimed, below, filled, held, bounds.target))
+
+
+def _account(kept: DataFrame, claimed: DataFrame, below: DataFrame, filled: DataFrame, held: DataFrame, target: int) -> DataFrame:
+    """One row of what became of the kept papers; every count is an aggregate of its own table."""
+    rows = lambda df, name: df.agg(F.count("*").alias(name))
+    claims = claimed.agg(F.coalesce(F.sum("claims"), F.lit(0)).alias("_claims"), F.count("*").alias("_claimed"))
+    tables = [claims, rows(kept, "_kept"), rows(below, "_below"), rows(filled, "_filled"), rows(held, "placed")]
+    one = tables[0]
+    for t in tables[1:]:
+        one = one.join(t)  # tables of one row each
+    return one.select(
+        (F.col("_kept") - F.col("_claims")).alias("unknown_topic"),
+        (F.col("_claims") - F.col("_claimed")).alias("duplicates"),
+        (F.col("_claimed") - F.col("_below")).alias("over_ceiling"),
+        (F.col("_filled") - F.col("_below")).alias("backfilled"),
+        (F.col("_filled") - F.col("placed")).alias("over_target"),
+        "placed",
+        F.greatest(F.col("placed") - target, F.lit(0)).alias("above_target"),
+        F.greatest(target - F.col("placed"), F.lit(0)).alias("below_target"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from evidary import fixed
 from evidary.functions.scoring import relevance_parts, total_of
 from evidary.functions.text import jaccard, paper_tokens, text_or_empty, strip
-from evidary.operators.common import top_rows
+from evidary.operators.common import numbered, top_rows
 from evidary.session import durable
 
 
@@ -27,23 +27,8 @@ def in_order(scored: DataFrame) -> DataFrame:
 
 
 def with_positions(scored: DataFrame) -> DataFrame:
-    """0-based position in the total order ``(-score, pmid)`` (G1), without one big window.
-
-    The range-sorted rows are made durable, which freezes their partitions; a row's
-    position is its place in its partition plus the sizes of the partitions before it.
-    """
-    frozen = durable(in_order(scored)).withColumn("_id", F.monotonically_increasing_id())
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = frozen.withColumn("_part", part).withColumn("_place", place)
-    # One row per partition; the running sum below is over that short list.
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn("position", F.col("_start") + F.col("_place"))
-        .drop("_part", "_place", "_id", "_start")
-    )
+    """0-based position in the total order ``(-score, pmid)`` (G1)."""
+    return numbered(scored, [F.desc("score"), "pmid"], "position")
 
 
 def pure_top(scored: DataFrame, pool_size: int) -> DataFrame:

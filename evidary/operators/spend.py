@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from evidary import fixed
 from evidary.functions.labels import prompt_tokens
 from evidary.functions.text import screening_text
-from evidary.operators.ranking import in_order
+from evidary.operators.ranking import with_positions
 
 
 @dataclass(frozen=True)
@@ -31,53 +31,50 @@ class SpendPlan:
 def project_spend(pool: DataFrame, plan: SpendPlan) -> DataFrame:
     """``(ord, node, role, calls, prompt_tokens, completion_tokens, usd)`` for the paid stages.
 
-    One scan of the pool's head; the rest is arithmetic on its sums.
+    One aggregate over the pool by position; all that follows are columns of its one row.
     """
-    size = pool.count()
-    screened = min(plan.screen_budget, size)
     topics = max(1, plan.topics)
     kept = max(plan.target, topics * plan.floor)
-    retained = min(kept, size) if size else kept
-
-    def sums(limit: int) -> dict:
-        head = in_order(pool).limit(limit)
-        return head.agg(
-            F.coalesce(F.sum(prompt_tokens(screening_text("title", "abstract"))), F.lit(0)).alias("screening"),
-            F.coalesce(F.sum(prompt_tokens("title")), F.lit(0)).alias("titles"),
-            F.coalesce(F.sum(prompt_tokens("abstract")), F.lit(0)).alias("abstracts"),
-            F.count_if(F.col("pmcid").isNotNull()).alias("linked"),
-        ).first()
-
-    top = sums(screened)
-    sample = sums(min(retained, size))
-    n_sample = min(retained, size)
-    titles = top["titles"] // screened if screened else fixed.DEFAULT_TITLE_TOKENS
-    per_topic = max(1, min(screened, kept * 2) // topics)
-    abstract = sample["abstracts"] // n_sample if n_sample else fixed.DEFAULT_ABSTRACT_TOKENS
-    share = {"abstract": 0.0, "full-text": 1.0}.get(
-        plan.basis, sample["linked"] / n_sample * fixed.OPEN_ACCESS_RATE if n_sample else 0.0
+    place = F.col("position")
+    over = lambda limit, tokens: F.coalesce(F.sum(F.when(place < limit, tokens)), F.lit(0))
+    sums = with_positions(pool).agg(
+        F.count("*").alias("size"),
+        over(plan.screen_budget, prompt_tokens(screening_text("title", "abstract"))).alias("screening"),
+        over(plan.screen_budget, prompt_tokens("title")).alias("titles"),
+        over(kept, prompt_tokens("abstract")).alias("abstracts"),
+        F.count_if((place < kept) & F.col("pmcid").isNotNull()).alias("linked"),
+    )
+    share = {"abstract": "0D", "full-text": "1D"}.get(
+        plan.basis, f"IF(sampled > 0, linked / sampled * {fixed.OPEN_ACCESS_RATE}D, 0D)"
+    )
+    sized = sums.selectExpr(
+        "*", f"least({plan.screen_budget}L, size) AS screened", f"IF(size > 0, least({kept}L, size), {kept}L) AS retained", f"least({kept}L, size) AS sampled"
     )
-    capped = min(abstract * fixed.FULL_TEXT_MULTIPLE, fixed.MAX_SOURCE_CHARS / 4.0)
-    source = int(abstract * (1 - share) + capped * share)
-    stages = [
-        ("screen", "fast", screened, top["screening"] + plan.screen_prefix * screened, fixed.SCREEN_COMPLETION_TOKENS * screened),
+    each = sized.selectExpr(
+        "*",
+        f"IF(screened > 0, titles div screened, {fixed.DEFAULT_TITLE_TOKENS}) AS title",
+        f"greatest(1L, least(screened, {kept * 2}L) div {topics}) AS per_topic",
+        f"IF(sampled > 0, abstracts div sampled, {fixed.DEFAULT_ABSTRACT_TOKENS}) AS abstract",
+        f"{share} AS share",
+    )
+    capped = f"least(CAST(abstract * {fixed.FULL_TEXT_MULTIPLE} AS DOUBLE), {fixed.MAX_SOURCE_CHARS / 4.0}D)"
+    source = each.selectExpr("*", f"CAST(floor(abstract * (1 - share) + {capped} * share) AS BIGINT) AS source")
+    stages = (
+        ("screen", "fast", "screened", f"screening + {plan.screen_prefix} * screened", f"{fixed.SCREEN_COMPLETION_TOKENS} * screened"),
         (
-            "curate",
-            "balanced",
-            topics,
-            topics * (plan.curate_prefix + per_topic * (titles + fixed.CURATE_OVERHEAD_TOKENS)),
-            topics * per_topic * fixed.CURATE_COMPLETION_TOKENS,
+            "curate", "balanced", f"{topics}L",
+            f"{topics} * ({plan.curate_prefix} + per_topic * (title + {fixed.CURATE_OVERHEAD_TOKENS}))",
+            f"{topics} * per_topic * {fixed.CURATE_COMPLETION_TOKENS}",
         ),
-        ("extract", "balanced", retained, retained * (plan.extract_prefix + source), retained * fixed.EXTRACT_COMPLETION_TOKENS),
-    ]
+        ("extract", "balanced", "retained", f"retained * ({plan.extract_prefix} + source)", f"retained * {fixed.EXTRACT_COMPLETION_TOKENS}"),
+    )
     rows = []
     for i, (node, role, calls, tokens_in, tokens_out) in enumerate(stages):
-        if calls <= 0:
-            continue
-        tokens_out += calls * plan.thinking.get(role, 0)
         price = plan.prices.get(role)
-        usd = tokens_in / 1e6 * price[0] + tokens_out / 1e6 * price[1] if price else None
-        rows.append((i, node, role, int(calls), int(tokens_in), int(tokens_out), usd))
-    return pool.sparkSession.createDataFrame(
-        rows, "ord int, node string, role string, calls long, prompt_tokens long, completion_tokens long, usd double"
-    )
+        paid = f"({tokens_out} + {calls} * {plan.thinking.get(role, 0)})"
+        usd = f"CAST(({tokens_in}) / 1e6D * {price[0]}D + {paid} / 1e6D * {price[1]}D AS DOUBLE)" if price else "CAST(NULL AS DOUBLE)"
+        rows.append(
+            f"struct({i} AS ord, '{node}' AS node, '{role}' AS role, CAST({calls} AS BIGINT) AS calls, CAST({tokens_in} AS BIGINT) AS prompt_tokens, "
+            f"CAST({paid} AS BIGINT) AS completion_tokens, {usd} AS usd)"
+        )
+    return source.selectExpr(f"inline(array({', '.join(rows)}))").where("calls > 0")

@@ -279,11 +279,10 @@ def is_retracted(publication_types: Column | str, retraction_refs: Column | str)
 
 def language_codes() -> Column:
     """Every accepted spelling of a language mapped to its three-letter code."""
-    rows = [line.split(" ", 2) for line in fixed.LANGUAGES.split("\n") if line]
-    spellings = {short: code for code, short, _ in rows if short != "-"}
-    spellings |= {name: code for code, _, name in rows}
+    spellings = {short: code for code, short, _ in fixed.LANGUAGES if short}
+    spellings |= {name: code for code, _, name in fixed.LANGUAGES}
     spellings |= fixed.LANGUAGE_OTHER_CODES
-    spellings |= {code: code for code, _, _ in rows}
+    spellings |= {code: code for code, _, _ in fixed.LANGUAGES}
     return code_array_map(spellings)
 
 
