@@ -144,20 +144,22 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LANES = np.random.default_rng(64).integers(0, 1 << 64, 64 * 256, dtype=np.uint64)
 
 
-def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and 64-bit hash of each word (run of bytes other than ASCII white space) of a byte array.
+def hashed_words(data: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and 64-bit hash of each word of a byte array.
 
+    A word is a run of bytes other than ASCII white space; ``breaks`` marks bytes where a new one begins besides.
     The hash adds up random numbers for each (place in the word, byte); the places go round after 64 with another
     odd factor.  Among V words two are taken for one with a chance of about V^2 / 2^65.
     """
     inside = ~_SPACE[data]
-    edges = np.diff(inside, prepend=False, append=False).nonzero()[0]
-    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] if breaks is None else ~inside[:-1] | breaks[1:]
+    starts, at = np.flatnonzero(begin), np.flatnonzero(inside)
     if not len(starts):
-        return starts, lengths, np.zeros(0, np.uint64)
-    at = np.flatnonzero(inside)
-    firsts = np.cumsum(lengths) - lengths
-    place = at - np.repeat(starts, lengths)
+        return starts, starts, np.zeros(0, np.uint64)
+    firsts = np.cumsum(inside)[starts] - 1
+    lengths = np.diff(firsts, append=len(at))
+    place = np.arange(len(at)) - np.repeat(firsts, lengths)
     lane = _LANES[(place & 63) * 256 + data[at]]
     if lengths.max() > 64:
         lane = lane * (2 * (place >> 6) + 1).astype(np.uint64)

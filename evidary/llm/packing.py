@@ -29,21 +29,22 @@ from evidary.llm.common import Places, hashed_words, stored
 LENGTH = 2048
 END = 1
 DIMS, BITS, SPREAD = 3, 20, 6.0
-#: A worker starts anew with the words it remembers when they are more than this.
-REMEMBERED = 1_500_000
-#: ASCII symbols that the tokenizer splits from letters and digits before them (an apostrophe may not be).
-SYMBOLS = ".,!?;:|%*&$#()[]{}<>@+=-_/\\\"^~`"
+#: A worker starts anew with the parts it remembers when they are more than this.
+REMEMBERED = 1_000_000
+#: What a byte is: 1 an ASCII letter, 2 a digit, 3 an ASCII symbol other than the apostrophe, 0 anything else.
+_KIND = np.array([0 if c < 33 or c > 126 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.int8)
 
 ENCODED = StructType([StructField("ids", BinaryType()), StructField("key", LongType())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids of texts, word by word.
+    """Token ids of texts, part by part.
 
-    The tokenizer splits at white space and drops it before it merges anything, so the ids of a text are those of
-    its words in order; a word is encoded once and found again by its hash.
-    A letter run and the ASCII symbols behind it are split as well, so a new word is often two parts already known.
+    Before it merges anything, the tokenizer drops white space and splits runs of letters, single digits and runs of
+    symbols.  So texts are cut at blanks, between ASCII letters, digits and symbols, and between digits
+    (an apostrophe may begin an ending, and bytes beyond ASCII may combine: no cut beside these); the
+    ids of a text are those of its parts in order, and a part is encoded once and found again by its hash.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,39 +62,39 @@ class Encoder:
 
     def forget(self) -> None:
         self.places = Places()
-        self.parts: dict[str, np.ndarray] = {}
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def _encode_parts(self, parts: set[str]) -> None:
-        letters = [p for p in parts if p.isalpha()]
-        # Letter runs go in lists joined by blanks; their ids are told apart where a run's last id is.
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
-            lists = [" ".join(some[k : k + 100]) for k in range(0, len(some), 100)]
-            ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lists, add_special_tokens=False)])
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self.parts.update(zip(some, np.split(ids, cuts[:-1])))
+        self.length = np.zeros(0, np.int32)
+
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts and how many each has; letter runs are encoded in lists and told apart by their last ids."""
+        lists = [" ".join(parts[k : k + 100]) for k in range(0, len(parts), 100)]
+        got = [np.asarray(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(lists, add_special_tokens=False)]
+        ids = np.concatenate(got)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            got = [np.asarray(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        return ids, np.diff(ends, prepend=0)
+
+    def learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        plain = np.fromiter((p.isalpha() for p in parts), bool, len(parts))
+        rest = [p for p, letters in zip(parts, plain) if not letters]
+        ids, lengths = [], []
+        for some, whole in (([p for p, letters in zip(parts, plain) if letters], True), (rest, False)):
+            if some and whole:
+                got, n = self._ids(some)
+            elif some:
+                each = [np.asarray(e.ids, self.flat.dtype) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                got, n = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
             else:
-                parts = parts | set(some)
-        rest = [p for p in parts if p not in self.parts]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[p] = np.asarray(e.ids, np.uint32)
-
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        split = []
-        for w in words:
-            core = w.rstrip(SYMBOLS)
-            split.append((core, w[len(core) :]) if core and core[-1].isalnum() else (w, ""))
-        self._encode_parts({p for pair in split for p in pair if p} - self.parts.keys())
-        none = np.zeros(0, np.uint32)
-        ids = [self.parts.get(p, none) for pair in split for p in pair]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)).reshape(-1, 2).sum(axis=1)
-        self.places.add(keys)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
+                continue
+            ids.append(got)
+            lengths.append(n)
+        n = np.concatenate(lengths)
+        self.places.add(np.concatenate([keys[plain], keys[~plain]]))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n.astype(np.int32)])
         self.flat = np.concatenate([self.flat, *ids])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,10 @@ class Encoder:
         raw = b"\n".join(texts).lower()
         data = np.frombuffer(raw, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        starts, spans, keys = hashed_words(data)
+        kind = _KIND[data]
+        breaks = np.zeros(len(data), bool)
+        breaks[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        starts, spans, keys = hashed_words(data, breaks)
         if self.places.count > REMEMBERED:
             self.forget()
         at = self.places.find(keys)
@@ -116,7 +120,7 @@ class Encoder:
         # the ids of a word go behind all earlier ids and one end id for each earlier text
         before = np.cumsum(lengths) - lengths
         inner = np.arange(int(lengths.sum()))
-        out = np.full(int(counts.sum()) + len(texts), END, np.uint32)
+        out = np.full(int(counts.sum()) + len(texts), END, self.flat.dtype)
         out[inner + np.repeat(owner, lengths)] = self.flat[inner + np.repeat(self.start[at] - before, lengths)]
         return out, counts + 1
 
@@ -170,7 +174,7 @@ def encoded(path: str):
                 means = np.add.reduceat(directions[ids], ends - counts, axis=0, dtype=np.float64) / counts[:, None]
                 grid = np.minimum((np.tanh(means * SPREAD) * 0.5 + 0.5) * (1 << BITS), (1 << BITS) - 1)
                 keys.append(hilbert(grid.astype(np.int64), BITS))
-                raw = ids.astype(kind).tobytes()
+                raw = ids.astype(kind, copy=False).tobytes()
                 width = int(kind[-1])
                 rows += [raw[(e - c) * width : e * width] for e, c in zip(ends.tolist(), counts.tolist())]
                 at = to
