@@ -10,7 +10,7 @@ from evidary.catalog.registry import query
 from evidary.catalog.roles import SAMPLE_SCALE, table
 from evidary.catalog.roles_sql import with_roles
 from evidary.functions import scoring as S, text as T
-from evidary.operators import interactions as I, strength, verification as V
+from evidary.operators import budgets, interactions as I, strength, verification as V
 from evidary.plans import reconcile as R
 from evidary.session import durable
 
@@ -376,11 +376,44 @@ def assembled_records(spark, sf):
     )
 
 
-@query("reconciled_notes", "V7")
-def reconciled_notes(spark, sf):
-    rows = roles.findings(spark, sf)
-    done = R.reconcile(
+def _reconciled(spark, sf, **limits):
+    rows = durable(roles.findings(spark, sf))
+    return R.reconcile(
         roles.order_papers(spark, sf), roles.source_texts(rows), rows, roles.null_findings(rows), roles.codes(rows),
-        roles.interactions(rows), SAMPLE_SCALE,
+        roles.interactions(rows), SAMPLE_SCALE, budgets.RowLimits(**limits),
     )
-    return done.notes.groupBy("kind").agg(F.count("*").alias("notes"), F.count_distinct("pmid").alias("papers"))
+
+
+@query(
+    "reconciled_notes",
+    "V7",
+    _sql(f"{_NOTES} SELECT kind, count(*) AS notes, count(DISTINCT pmid) AS papers FROM notes GROUP BY kind", "interactions", "codes"),
+)
+def reconciled_notes(spark, sf):
+    """Limits that no paper reaches; ``reading_cuts`` has the others."""
+    return _reconciled(spark, sf, predictors=100, null_findings=100, hints=100, interactions=100).notes.groupBy("kind").agg(F.count("*").alias("notes"), F.count_distinct("pmid").alias("papers"))
+
+
+def _cut_sql(source: str, order: str, limit: int, name: str, what: str) -> str:
+    return f"""SELECT pmid, 'dropped ' || count(*) || ' {what} over the limit of {limit}: ' || string_agg({name}, ', ' ORDER BY k) AS note
+FROM (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY {order}) AS k FROM {source}) WHERE k > {limit} GROUP BY pmid"""
+
+
+@query(
+    "reading_cuts",
+    "V7 C45",
+    with_roles(
+        f"""{_cut_sql("findings", "row", 4, "predictor", "predictor row(s)")}
+UNION ALL {_cut_sql("null_findings", "seq", 3, "predictor", "null finding(s)")}
+UNION ALL {_cut_sql("codes", "seq", 2, "concept", "vocabulary hint(s)")}
+UNION ALL SELECT pmid, 'dropped ' || sum(k) || ' interaction(s) over the per-row limit of 0: ' || string_agg(predictor || ' (-' || k || ')', ', ' ORDER BY row) AS note
+  FROM (SELECT pmid, row, f.predictor, count(*) AS k FROM interactions JOIN (SELECT pmid, row, predictor FROM findings WHERE row <= 4) f USING (pmid, row) GROUP BY ALL) GROUP BY pmid""",
+        "findings",
+        "null_findings",
+        "codes",
+        "interactions",
+    ),
+)
+def reading_cuts(spark, sf):
+    """Tight limits, so that every kind of cut occurs."""
+    return _reconciled(spark, sf, predictors=4, null_findings=3, hints=2, interactions=0).cuts
