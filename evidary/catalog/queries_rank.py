@@ -269,7 +269,33 @@ def diversified_pool(spark, sf):
     ).comparison
 
 
-@query("diversified_order", "H2")
+# The greedy order of every topic, one pick a step: the rest carry their greatest similarity to what is picked.
+_LAMBDA = f"CAST({fixed.DEFAULT_LAMBDA} AS DOUBLE)"
+_BEST = "row_number() OVER (PARTITION BY topic ORDER BY {l} * score - (1.0::DOUBLE - {l}) * {c} DESC, score DESC, pmid)".replace("{l}", _LAMBDA)
+
+
+def _recursive(sql: str) -> str:
+    """Spell out that one of the tables refers to itself."""
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(
+    "diversified_order",
+    "H2 U6",
+    _recursive(
+        _sql(
+            f""", told AS (SELECT pmid, topic, CAST(round(score, 9) AS DOUBLE) AS score, {q.tokens("title || ' ' || array_to_string(mesh_terms, ' ') || ' ' || array_to_string(keywords, ' ')")} AS tokens FROM scored),
+walk AS (
+  SELECT *, CAST(0 AS DOUBLE) AS closest, {_BEST.replace("{c}", "CAST(0 AS DOUBLE)")} AS rn, 0 AS pick FROM told
+  UNION ALL
+  SELECT pmid, topic, score, tokens, closest, {_BEST.replace("{c}", "closest")} AS rn, pick + 1 AS pick
+  FROM (SELECT w.pmid, w.topic, w.score, w.tokens, greatest(w.closest, {q.jaccard("w.tokens", "b.tokens")}) AS closest, w.pick
+        FROM walk w JOIN walk b ON b.topic = w.topic AND b.rn = 1 WHERE w.rn > 1 AND w.pick < {POOL_SIZE - 1})
+)
+SELECT topic, pmid, pick FROM walk WHERE rn = 1"""
+        )
+    ),
+)
 def diversified_order(spark, sf):
     df = scored(spark, sf).withColumn("score", F.round("score", 9))
     return ranking.mmr_order(df, POOL_SIZE, group="topic")

@@ -116,10 +116,11 @@ def mmr_order(
     """Maximal marginal relevance: ``(group, pmid, pick)`` for the first ``limit`` of each group.
 
     ``scored`` needs ``pmid``, ``score`` and ``tokens``.  Exact at any size: candidates that
-    can never be picked are dropped by their score, then rounds of (1) one pass that
-    computes every remaining candidate's current value and keeps each group's best
-    ``batch``, (2) a bounded greedy walk per group that stops where an unseen candidate
-    might be better.  A group of at most ``batch`` candidates takes one round.
+    can never be picked are dropped by their score, then rounds of (1) a cut of each group's best
+    ``batch`` by their value as of now, (2) a bounded greedy walk per group that stops where an
+    unseen candidate might be better, and (3) one pass that brings every remaining candidate's greatest
+    similarity up to date with the picks of this round alone.  A group of at most ``batch``
+    candidates takes one round.
     """
     name = group or "grp"
     rows = scored.select(
@@ -130,58 +131,43 @@ def mmr_order(
     )
     if lambda_ >= 1.0:
         return best.select(F.col("grp").alias(name), "pmid", (F.col("rn") - 1).alias("pick"))
-    groups = best.groupBy("grp").agg(F.count("*").alias("want"), F.min("score").alias("kth"))
-    groups = durable(groups)
+    groups = durable(best.groupBy("grp").agg(F.count("*").alias("want"), F.min("score").alias("kth")))
     # Similarity is at most 1, so anything this far under the k-th best never wins a pick.
     reach = (1.0 - lambda_) / lambda_ if lambda_ > 0 else float("inf")
     pool = durable(
         rows.join(groups, "grp")
         .filter((F.col("want") < limit) | (F.col("score") >= F.col("kth") - F.lit(reach)))
         .drop("kth")
+        .withColumn("closest", F.lit(0.0))
+        .withColumn("done", F.lit(0))
     )
     picks: DataFrame | None = None
     while True:
-        current = pool
-        if picks is None:
-            current = current.withColumn("closest", F.lit(0.0)).withColumn("done", F.lit(0))
-        else:
-            chosen = picks.groupBy("grp").agg(
-                F.collect_list("tokens").alias("chosen"),
-                F.collect_list("pmid").alias("taken"),
-                F.count("*").cast("int").alias("done"),
-            )
-            nearest = F.aggregate(
-                "chosen", F.lit(0.0), lambda m, t: F.greatest(m, jaccard("tokens", t))
-            )
-            current = (
-                current.join(picks.select("grp", "pmid"), ["grp", "pmid"], "left_anti")
-                .join(chosen.drop("taken"), "grp", "left")
-                .withColumn("done", F.coalesce("done", F.lit(0)))
-                .filter(F.col("done") < F.col("want"))
-                .withColumn("closest", F.when(F.col("done") > 0, nearest).otherwise(F.lit(0.0)))
-                .drop("chosen")
-            )
-        valued = current.withColumn(
-            "value", F.lit(lambda_) * F.col("score") - F.lit(1.0 - lambda_) * F.col("closest")
-        )
+        value = F.lit(lambda_) * F.col("score") - F.lit(1.0 - lambda_) * F.col("closest")
+        # Only what orders the candidates goes through the windows; their tokens join after the cut.
         lead = top_rows(
-            valued, ["grp"], [F.desc("value"), F.desc("score"), "pmid"], batch + 1, ["pmid"]
-        )
-        lead = lead.withColumn("want", F.col("want") - F.col("done")).withColumn(
-            "cut", F.max("rn").over(Window.partitionBy("grp")) > batch
-        )
+            pool.select("grp", "pmid", "score", "closest", value.alias("value"), (F.col("want") - F.col("done")).alias("want"), "done"),
+            ["grp"], [F.desc("value"), F.desc("score"), "pmid"], batch + 1, ["pmid"],
+        ).withColumn("cut", F.max("rn").over(Window.partitionBy("grp")) > batch)
         fresh = durable(
-            lead.groupBy("grp").applyInPandas(
+            lead.join(pool.select("grp", "pmid", "tokens"), ["grp", "pmid"]).groupBy("grp").applyInPandas(
                 lambda pdf: _greedy(pdf, lambda_),
                 "grp string, pmid string, score double, tokens array<string>, pick int",
             )
         )
         picks = fresh if picks is None else picks.unionByName(fresh)
-        counts = picks.groupBy("grp").agg(F.count("*").alias("have"))
-        open_groups = groups.join(counts, "grp", "left").filter(
-            F.coalesce("have", F.lit(0)) < F.col("want")
+        # What a round picks is at most ``batch`` rows a group.
+        chosen = fresh.groupBy("grp").agg(F.collect_list("tokens").alias("chosen"), F.count("*").cast("int").alias("more"))
+        nearest = F.aggregate("chosen", F.col("closest"), lambda m, t: F.greatest(m, jaccard("tokens", t)))
+        rest = (
+            pool.join(chosen, "grp")
+            .withColumn("done", F.col("done") + F.col("more"))
+            .filter(F.col("done") < F.col("want"))
+            .join(fresh.select("grp", "pmid"), ["grp", "pmid"], "left_anti")
+            .withColumn("closest", nearest)
         )
-        if open_groups.isEmpty():
+        pool = durable(rest.select(*pool.columns))
+        if pool.isEmpty():
             return picks.select(F.col("grp").alias(name), "pmid", "pick")
 
 
