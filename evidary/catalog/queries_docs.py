@@ -135,7 +135,7 @@ def findings_tables(spark, sf):
 
 @query(
     "null_sections",
-    "B5 D6",
+    "B5 D6 G7",
     with_roles(
         f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY seq) AS no FROM null_findings WHERE predictor <> 'None reported '),
 t AS (SELECT pmid, '{B.header_row(fixed.NULL_COLUMNS)}' || chr(10) || '{B.rule_row(4)}' || chr(10) || string_agg({q.row("CAST(no AS VARCHAR)", "predictor", "outcome", "detail")}, chr(10) ORDER BY no)
@@ -262,8 +262,9 @@ _PLANTED = """SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, n_chars FROM d
 
 
 def planted(spark, sf):
-    """Documents of the documents table with a defect per language and source."""
+    """Documents of the documents table, their text as the abstract, with a defect per language and source."""
     n = F.col("n_chars")
+    abstract = F.concat(F.lit("# Abstract\n\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^#", r"\\#"), F.lit("\n\n"))
     text = F.concat(
         F.lit("---\n"),
         F.when(F.col("lang") == "fr", F.lit("")).otherwise(F.lit('title: "T"\n')),
@@ -273,6 +274,7 @@ def planted(spark, sf):
         F.when(F.col("lang") == "es", F.lit("")).otherwise(F.lit('tags: ["a"]\n')),
         F.lit('id: "'), (n % 400).cast("string"), F.lit('"\n---\n\n'),
         F.when(n % 5 == 0, F.lit("# Caveats\n\nx\n\n# Bottom line\n\ny\n\n")).otherwise(F.lit("# Bottom line\n\ny [a](./index.md) [b](../gone/x.md#z)\n\n")),
+        abstract,
         F.lit("# Predictors reported\n\nz\n\n# Null or non-significant findings\n\nn\n\n# Vocabulary hints\n\n"),
         F.when(n % 3 == 0, F.lit("")).otherwise(F.lit("v \\u2265\n")),
         F.when(n % 5 == 0, F.lit("\n# Extra\n\ne\n")).otherwise(F.lit("\n# Caveats\n\nc\n")),
@@ -298,7 +300,7 @@ UNION ALL SELECT 'error', path, 'topic key', 'carries a topic key' FROM docs WHE
 UNION ALL SELECT 'warning', path, 'tags', 'no tags' FROM docs WHERE lang = 'es'
 UNION ALL SELECT 'error', path, 'bare scalar', 'line ' || (3 - CAST(lang = 'fr' AS INTEGER)) || ' holds a bare scalar: 12' FROM docs WHERE n % 7 = 0
 UNION ALL SELECT 'error', path, 'unknown section', 'Extra' FROM docs WHERE n % 5 = 0
-UNION ALL SELECT 'error', path, 'section order', 'Caveats, Bottom line, Predictors reported, Null or non-significant findings, Vocabulary hints, Extra' FROM docs WHERE n % 5 = 0
+UNION ALL SELECT 'error', path, 'section order', 'Caveats, Bottom line, Abstract, Predictors reported, Null or non-significant findings, Vocabulary hints, Extra' FROM docs WHERE n % 5 = 0
 UNION ALL SELECT 'error', path, 'empty section', 'Vocabulary hints' FROM docs WHERE n % 3 = 0
 UNION ALL SELECT 'error', path, 'escape', 'contains \\u2265' FROM docs WHERE n % 3 <> 0""",
 )

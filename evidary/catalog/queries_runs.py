@@ -313,13 +313,16 @@ def topic_index(spark, sf):
     "F6",
     with_roles(
         """SELECT slug, topics.title, count(pmid) AS papers, count(pmid) FILTER (basis = 'full_text') AS full_text, count(pmid) FILTER (basis <> 'full_text') AS abstract_only
-FROM topics LEFT JOIN order_papers ON domain = slug AND slug <> 'asia' GROUP BY slug, topics.title""",
+FROM (SELECT slug, title FROM topics UNION ALL SELECT 'nowhere', 'NOWHERE') topics LEFT JOIN order_papers ON domain = slug GROUP BY slug, topics.title""",
         "topics",
         "order_papers",
     ),
 )
 def topic_summary(spark, sf):
-    df = reports.topic_summary(roles.order_papers(spark, sf).filter("domain <> 'asia'"), roles.topics(spark, sf))
+    topics = roles.topics(spark, sf)
+    # One more topic, which no paper has.
+    empty = topics.limit(1).withColumns({"ord": F.lit(99).cast(topics.schema["ord"].dataType), "slug": F.lit("nowhere"), "title": F.lit("NOWHERE")})
+    df = reports.topic_summary(roles.order_papers(spark, sf), topics.unionByName(empty))
     return df.select("slug", "title", "papers", "full_text", "abstract_only")
 
 

@@ -42,28 +42,33 @@ _INLINE_MARKUP = r"</?(?:[a-z][^>]*|DispFormula[^>]*)>"
 
 
 def read_article_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records ``(file, kind, xml)`` of a folder of article sets (A1).
+    """Raw records ``(file, position, kind, xml)`` of a folder of article sets (A1).
 
     Each text record ends at a journal record's closing tag, so a large file is read in
-    many pieces; the books that stand before that journal record come with it.
+    many pieces; the books that stand before that journal record come with it.  ``position`` orders the
+    records of a file as they stand in it: the split's place in the file, the piece, and the place in the piece.
     """
     chunks = (
         spark.read.text(path, lineSep="</PubmedArticle>")
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+        .select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_piece"), F.col("value"),
+        )
         .withColumn("value", F.concat("value", F.lit("</PubmedArticle>")))
     )
     pattern = r"(?s)<(PubmedArticle|PubmedBookArticle)(?=[\s>]).*?</\1>"
     return (
         chunks.select(
-            "file", F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("xml")
+            "file", "_block", "_piece", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("_at", "xml")
         )
+        .withColumn("position", F.struct(F.col("_block").alias("block"), F.col("_piece").alias("piece"), F.col("_at").alias("at")))
         .withColumn(
             "kind",
             F.when(F.col("xml").startswith("<PubmedBookArticle"), F.lit("book")).otherwise(
                 F.lit("journal")
             ),
         )
-        .select("file", "kind", "xml")
+        .select("file", "position", "kind", "xml")
     )
 
 
