@@ -125,7 +125,7 @@ FROM findings f LEFT JOIN interactions i ON i.pmid = f.pmid AND i.row = f.row GR
     ),
 )
 def findings_tables(spark, sf):
-    rows = roles.findings(spark, sf)
+    rows = durable(roles.findings(spark, sf))
     marked = _marked(rows)
     cells = B.interacts_cells(roles.interactions(rows))
     joined = marked.join(cells, ["pmid", "row"], "left").withColumn("interacts", F.coalesce("interacts", F.lit("")))
@@ -256,6 +256,37 @@ def documents_read_back(spark, sf):
     )
 
 
+@query(
+    "bundle_round_trip",
+    "B1 B6 A20",
+    with_roles(
+        "SELECT domain AS topic, count(*) AS documents, 0 AS unreadable, count(*) AS listed, count(*) AS same FROM order_papers GROUP BY domain",
+        "order_papers",
+    ),
+)
+def bundle_round_trip(spark, sf):
+    """Documents and their catalogue written under the shared folder, read back and held against what was written."""
+    docs = durable(rendered(spark, sf))
+    folder, listing = scratch_path(spark, "bundle"), scratch_path(spark, "catalog")
+    bundle.write_document_table(docs, folder)
+    bundle.write_catalog(B.catalog_rows(graded(spark, sf)), listing)
+    back = bundle.read_document_table(spark, folder)
+    good, bad = D.parse_documents(back)
+    count = lambda df, topic, name: df.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias(name))
+    written = docs.select("domain", "filename", F.md5("text").alias("was"))
+    same = back.join(written, (F.col("topic") == F.col("domain")) & (back["filename"] == written["filename"])).where(F.md5("text") == F.col("was"))
+    got = (
+        count(good, "topic", "documents")
+        .join(count(bad.withColumn("topic", F.substring_index("path", "/", 1)), "topic", "unreadable"), "topic", "left")
+        .join(count(spark.read.json(listing), "domain", "listed"), "topic")
+        .join(count(same, "topic", "same"), "topic")
+        .withColumn("unreadable", F.coalesce("unreadable", F.lit(0).cast("long")))
+    )
+    kept = durable(got.select("topic", "documents", "unreadable", "listed", "same"))
+    bundle.remove(spark, folder, listing)
+    return kept
+
+
 # --- validation ----------------------------------------------------------------------------------
 
 _PLANTED = """SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, n_chars FROM documents"""

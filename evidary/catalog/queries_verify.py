@@ -350,7 +350,9 @@ every AS (SELECT pmid, row, seq, feature, kind, measure_raw, FALSE AS mirrored F
 )
 def mirrored_interactions(spark, sf):
     rows = roles.findings(spark, sf)
-    both = I.interaction_order(I.mirror_interactions(rows, roles.interactions(rows)))
+    # Both sides are read several times: each is cut once, with the columns that are read.
+    links, names = durable(roles.interactions(rows)), durable(rows.select("pmid", "row", "predictor"))
+    both = I.interaction_order(I.mirror_interactions(names, links))
     return both.select("pmid", "row", "feature", "kind", "measure_raw", "mirrored", "place")
 
 
