@@ -218,7 +218,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     Posterior and rate are expressions of a row, so they are evaluated on the rows again and nothing is joined.
     """
     model, _, rate = _plan(docs, labels, targets)
-    rated = posteriors(docs, model).withColumn("rate", rate).select("row", _copies(F.col("rate"), F.col("u")).alias("copies"))
+    # The row number, which the filter asks for, holds the optimizer from spelling the posterior out at each of its uses
+    # in the rate: it moves nothing through a projection with such a column.
+    scored = posteriors(docs, model).withColumn("number", F.monotonically_increasing_id())
+    rated = scored.select("row", "u", "number", rate.alias("rate")).select("row", "number", _copies(F.col("rate"), F.col("u")).alias("copies"))
+    kept = rated.where((F.col("copies") > 0) & (F.col("number") >= 0))
     if repeat:
-        return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
-    return rated.where("copies > 0").select("row.*")
+        return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return kept.select("row.*")
