@@ -12,7 +12,7 @@ from evidary.session import durable, scratch_path
 __all__ = ["bounded_texts", "durable", "free_name", "held_out", "read", "segments", "stored"]
 
 #: Bytes of text that a task turns into arrays at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,7 +66,7 @@ def bounded_texts(docs: DataFrame, wanted: DataFrame, label: str, per_label: int
     return texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).withColumnRenamed("_label", label)
 
 
-def segments(texts: Iterable[bytes | None], overlap: int = 0, limit: int = CHUNK, rows: int = 1024) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
+def segments(texts: Iterable[bytes | None], overlap: int = 0, limit: int = CHUNK, rows: int = 256) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
     """Runs of texts of about ``limit`` bytes: (first row, rows, [(row within the run, bytes)]).
 
     A text longer than a quarter of ``limit`` comes as several pieces, each of which repeats the last

@@ -30,7 +30,7 @@ LENGTH = 2048
 END = 1
 DIMS, BITS, SPREAD = 3, 20, 6.0
 #: A worker starts anew with the parts it remembers when they are more than this.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: What a byte is: 1 an ASCII letter, 2 a digit, 3 an ASCII symbol other than the apostrophe, 0 anything else.
 _KIND = np.array([0 if c < 33 or c > 126 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.int8)
 
@@ -166,7 +166,7 @@ def encoded(path: str):
             values = [t or b"" for t in texts]
             while at < len(values):
                 to, held = at, 0
-                while to < len(values) and (to == at or held + len(values[to]) <= 1 << 21):
+                while to < len(values) and (to == at or held + len(values[to]) <= 1 << 20):
                     held += len(values[to])
                     to += 1
                 ids, counts = coder.encode(values[at:to])
