@@ -22,6 +22,7 @@ every decision costs one bit.  Rows with a null id are scored, not learned from;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ from evidary.llm.common import durable, hashed_words, segments, stored
 
 DEPTH, SHARE, COMMON = 5, 16, 16
 EDGE = 0xFF
+#: A step of the code lengths that are broadcast (decimal logarithm); the longest is 65,535 steps.
+STEP = 1 / 2048
 #: Bytes whose contexts a task counts at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: The end token's key; no word hashes to it by the rule that words have letters.
 END_TOKEN = 0
 
@@ -199,9 +202,20 @@ def weigh(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarra
     return child, code.astype(np.float32)
 
 
+def _packed(child: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes]:
+    """The tables for transport: code lengths in whole steps, rounded up, so that probabilities never sum to more than one."""
+    steps = np.minimum(np.ceil(-code.astype(np.float64) / STEP), 65535).astype(np.uint16)
+    return zlib.compress(child.tobytes(), 1), zlib.compress(steps.tobytes(), 1)
+
+
+def _unpacked(child: bytes, code: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.frombuffer(zlib.decompress(code), np.uint16).reshape(-1, 256)
+    return np.frombuffer(zlib.decompress(child), np.int32).reshape(-1, 256), steps * np.float32(-STEP)
+
+
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    child, code = weigh(*(rows[c].to_numpy(np.int64) for c in ("depth", "context", "byte", "n")))
-    return pd.DataFrame({"child": [child.tobytes()], "code": [code.tobytes()]})
+    child, code = _packed(*weigh(*(rows[c].to_numpy(np.int64) for c in ("depth", "context", "byte", "n"))))
+    return pd.DataFrame({"child": [child], "code": [code]})
 
 
 def code_lengths(data: np.ndarray, coded: np.ndarray, child: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -224,7 +238,7 @@ def _score(model: tuple):
     """Scores of (doc_id, held_out, text) rows, and what the unigram baseline still needs of each."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        child, code = np.frombuffer(model.value[0], np.int32).reshape(-1, 256), np.frombuffer(model.value[1], np.float32).reshape(-1, 256)
+        child, code = _unpacked(*model.value[:2])
         common, logs, ends = model.value[2:]
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -272,7 +286,7 @@ def language_model(texts: DataFrame) -> tuple[tuple, DataFrame, int, int]:
     total = int(grams.agg(F.sum("n").alias("n")).first()["n"] or 0)
     got = kept_counts(grams, total).groupBy().applyInPandas(_fit, "child binary, code binary").first()
     if got is None:
-        child, code = (x.tobytes() for x in weigh(*[np.zeros(0, np.int64)] * 4))
+        child, code = _packed(*weigh(*[np.zeros(0, np.int64)] * 4))
     else:
         child, code = got["child"], got["code"]
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.expr(f"IF(key = {END_TOKEN}, n, 0)")).alias("ends")).first()
