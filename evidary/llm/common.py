@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ __all__ = ["bounded_texts", "durable", "free_name", "held_out", "read", "segment
 
 #: Bytes of text that a task turns into arrays at once.
 CHUNK = 1 << 20
+_WHITE = re.compile(rb"[\t-\r ]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,13 +68,14 @@ def bounded_texts(docs: DataFrame, wanted: DataFrame, label: str, per_label: int
     return texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).withColumnRenamed("_label", label)
 
 
-def segments(texts: Iterable[bytes | None], overlap: int = 0, limit: int = CHUNK, rows: int = 256) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
+def segments(texts: Iterable[bytes | None], overlap: int = 0, limit: int = CHUNK, rows: int = 256, words: bool = False) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
     """Runs of texts of about ``limit`` bytes: (first row, rows, [(row within the run, bytes)]).
 
     A text longer than a quarter of ``limit`` comes as several pieces, each of which repeats the last
     ``overlap`` bytes of the one before, so a task holds a bounded array whatever a text's length.
     Every row is in exactly one run, except that a very long text may fill several runs
-    with the same first row; callers add up what the runs of a row give.
+    with the same first row; callers add up what the runs of a row give.  With ``words`` a piece goes on to the
+    next white space, so no word is cut.
     """
     step = max(1, limit // 4)
     first, held, size, row = 0, [], 0, -1
@@ -83,13 +86,17 @@ def segments(texts: Iterable[bytes | None], overlap: int = 0, limit: int = CHUNK
             first, held, size = row, [], 0
         at = 0
         while True:
-            piece = text[max(0, at - overlap) : at + step]
+            end = at + step
+            if words and end < len(text):
+                space = _WHITE.search(text, end)
+                end = space.start() if space else len(text)
+            piece = text[max(0, at - overlap) : end]
             if held and size + len(piece) > limit:
                 yield first, row - first + 1, held
                 first, held, size = row, [], 0
             held.append((row - first, piece))
             size += len(piece)
-            at += step
+            at = end
             if at >= len(text):
                 break
     if row >= first and row >= 0:

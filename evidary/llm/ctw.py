@@ -103,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(_grams(data, coded).view(np.int64), return_counts=True)
             held[0].append((keys, n))
             size += len(keys)
-        for _, _, pieces in segments((t for t in texts), 0):
+        for _, _, pieces in segments(texts, words=True):
             _, words = _lower_words(np.frombuffer(b"\n".join(p for _, p in pieces), np.uint8))
             keys, n = np.unique(words, return_counts=True)
             held[1].append((keys, n))
@@ -249,7 +249,7 @@ def _score(model: tuple):
                 total[first : first + rows] += np.bincount(row[coded], weights=some, minlength=rows)
             tokens, known, base = np.ones(n, np.int64), np.full(n, int(ends > 0)), np.full(n, np.log10(ends + 1.0))
             key_parts, time_parts, row_parts = [], [], []
-            for first, rows, pieces in segments(texts, 0, BLOCK, 1 << 14):
+            for first, rows, pieces in segments(texts, 0, BLOCK, 1 << 14, words=True):
                 data = np.frombuffer(b"\n".join(p for _, p in pieces), np.uint8)
                 edge = np.cumsum(np.fromiter((len(p) + 1 for _, p in pieces), np.int64, len(pieces)))
                 starts, words = _lower_words(data)

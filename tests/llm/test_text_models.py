@@ -310,3 +310,17 @@ def test_hilbert_neighbours_touch(dims, bits):
     key = packing.hilbert(grid, bits)
     assert sorted(key.tolist()) == list(range(len(grid)))
     assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_words_of_very_long_texts_are_whole(spark):
+    rng = np.random.default_rng(12)
+    long = "\t".join("".join(map(chr, rng.integers(97, 123, k))) for k in rng.integers(1, 3000, 2000))  # about 3 MB
+    rows = [(1, long), (2, "w" * 700_000 + "\n" + "v" * 700_000), (3, "w")]
+    got = {r["doc_id"]: r for r in ctw.score_all(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    train = Counter(w for _, t in rows for w in [*t.split(), None])
+    n, v = sum(train.values()), len(train)
+    for i, t in rows:
+        words = [*t.split(), None]
+        base = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), len(words), n)
+        assert got[i]["base_score"] == pytest.approx(base)
