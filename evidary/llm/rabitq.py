@@ -95,10 +95,10 @@ class _Best:
         squares = far[:, None] ** 2 + self.far**2
         cross = 2 * far[:, None] * self.far
         least = squares - cross * np.minimum(guess + off[:, None], 1)
-        if len(ids) > self.k:  # no more than the k-th least of the largest possible distances
+        if len(ids) >= self.k:  # no more than the k-th least of the largest possible distances of candidates
             most = squares - cross * np.maximum(guess - off[:, None], -1)
-            # the query's own row may be among them
-            bound = np.partition(most, self.k, axis=0)[self.k]
+            most[known[:, None] & (ids[:, None] == self.ids)] = np.inf
+            bound = np.partition(most, self.k - 1, axis=0)[self.k - 1]
         else:
             bound = np.full(len(self.ids), np.inf)
         for j in range(len(self.ids)):

@@ -201,3 +201,14 @@ def test_bounds_hold_for_nearly_all(spark):
     guess = np.sign(o) @ unit / 8 / fit
     off = rabitq.BOUND * np.sqrt(1 / fit**2 - 1) / np.sqrt(63)
     assert (np.abs(guess - o @ unit) <= off).mean() > 0.99
+
+
+@pytest.mark.parametrize("copies", [4, 30])
+def test_a_repeated_query_row_takes_no_ones_place(spark, copies):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((900, 32)).astype(np.float32)
+    rows = [(k, [float(v) for v in row], 0) for k, row in enumerate(x)] + [(0, [float(v) for v in x[0]], 0)] * (copies - 1)
+    got = rabitq.search(_table(spark, rows).coalesce(1), F.col("vec_id") == 0).orderBy("rank").collect()
+    d = np.sqrt(((x[1:].astype(float) - x[0].astype(float)) ** 2).sum(axis=1))
+    best = np.argsort(d)[:10]
+    assert [r["vec_id"] for r in got] == (best + 1).tolist() and np.allclose([r["score"] for r in got], d[best])
