@@ -324,3 +324,21 @@ def test_words_of_very_long_texts_are_whole(spark):
         base = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), len(words), n)
         assert got[i]["base_score"] == pytest.approx(base)
+
+
+@pytest.mark.parametrize(("frequent", "grams"), [(20, 1 << 18), (6, 5)])
+def test_byte_scores_use_every_context(spark, monkeypatch, frequent, grams):
+    monkeypatch.setattr(ctw, "FREQUENT", frequent, raising=False)
+    monkeypatch.setattr(ctw, "GRAMS", grams, raising=False)
+    # beside the long text all others' contexts hold less than 2^-16 of the bytes
+    rows = [(0, "z" * 400_000), (1, "abracadabra"), (2, "abab abba"), (3, "ära"), (4, ""), (5, "abba abracadabra"), (6, "zebra"), (None, "qq"), (1, "abracadabra")]
+    out = F.coalesce(F.col("doc_id") >= 5, F.lit(False))
+    got = ctw.score_all(spark.createDataFrame(rows, "doc_id long, text string"), out).collect()
+    tree, total = _slow_tree([t.encode() for i, t in rows if i is not None and i < 5], ctw.DEPTH, 1 << 60)
+    want = []
+    for i, t in rows[1:]:
+        data = [ctw.EDGE] * ctw.DEPTH + list(t.encode()) + [ctw.EDGE]
+        want.append((str(i), sum(_slow_code(tree, ctw.DEPTH, data[:at], data[at]) for at in range(ctw.DEPTH, len(data)))))
+    mine = sorted((str(r["doc_id"]), r["score"]) for r in got if r["doc_id"] != 0)
+    assert [i for i, _ in mine] == [i for i, _ in sorted(want)]
+    assert np.allclose([x for _, x in mine], [x for _, x in sorted(want)], atol=1e-9)
