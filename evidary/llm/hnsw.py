@@ -2,10 +2,12 @@
 
 Equal vectors of a label form a class, and classes are dealt to shards of a bounded number of rows.  Each shard gets a
 graph; for every two shards of a label (and each with itself) one task asks the second shard's graph for the
-neighbours of the first shard's vectors.  The beam starts at ``BEAM`` and doubles until an audit, which
-compares a few queries with all vectors of the shard, finds the recall asked for.  A query whose whole
-beam is within the radius has more neighbours than the beam holds; it is measured against the whole shard in
-blocks, so no group is cut short.  Links are pairs with a cosine, in double precision on the
+neighbours of the first shard's vectors.  The beam starts at ``BEAM`` and doubles until an audit finds the recall
+asked for; where the widest beam does not reach it, the shards are compared exactly in blocks.  The audit compares
+queries with all vectors of the shard until it has seen ``LINKS`` links of ``AUDITED`` linked queries; where the shard has
+fewer, that comparison is the result.  Vectors that cannot be reached from all others in the lowest layer are
+compared with every query.  A query whose whole beam is within the radius has more neighbours than the beam
+holds; it is measured against the whole shard in blocks, so no group is cut short.  Links are pairs with a cosine, in double precision on the
 original vectors, of at least the radius.
 
 A task returns, for each class, how many vectors it linked and edges of a spanning forest
@@ -28,7 +30,7 @@ from evidary.llm.vectors import matrix, usable
 RADIUS = 0.93
 #: Neighbours of a node in a layer, and of the lowest layer; beam while building; rows of a shard.
 DEGREE, LOWEST, BUILD_BEAM, SHARD = 16, 32, 48, 16384
-BEAM, AUDITED, RECALL = 32, 64, 0.999
+BEAM, AUDITED, LINKS, RECALL = 32, 64, 2000, 0.999
 AT_ONCE = 512
 
 
@@ -46,6 +48,23 @@ class Graph:
         for at in range(len(sizes) - 1, -1, -1):
             self.layers.insert(0, self._grow(order[: sizes[at]], LOWEST if at == 0 else DEGREE))
         self.top = self.layers[-1][0][:DEGREE]
+        self.main = self._connected(int(self.top[0]))
+
+    def _connected(self, entry: int) -> np.ndarray:
+        """Which nodes of the lowest layer are reached from ``entry`` and reach it."""
+        links = self.layers[0][1]
+        there = np.zeros(len(links) + 1, bool)  # the last place is for -1
+        back = there.copy()
+        there[entry] = back[entry] = True
+        new = np.array([entry])
+        while len(new):
+            new = np.unique(links[new])
+            new = new[(new >= 0) & ~there[new]]
+            there[new] = True
+        size = 0
+        while size < (size := int(back.sum())):
+            back[:-1] |= back[links].any(axis=1)
+        return there[:-1] & back[:-1]
 
     def _grow(self, nodes: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
         """A layer over ``nodes``, put in by groups; neighbours are numbers of vectors, -1 for none."""
@@ -160,6 +179,7 @@ class Graph:
         at = self.top[(q @ self.unit[self.top].T).argmax(axis=1)][:, None]
         for _, links in reversed(self.layers[1:]):
             at, _ = self._walk(links, q, at[:, :1], 8)
+        at = np.where(self.main[at], at, self.top[0])
         return self._walk(self.layers[0][1], q, at[:, :1], min(beam, len(self.unit)))
 
 
@@ -179,15 +199,45 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _audit(a: np.ndarray, b: np.ndarray, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of ``a`` that link and their links, as packed bits, and whether these are all: rows are taken at random until there are enough."""
+    order = np.random.default_rng(7).permutation(len(a))
+    some, bits, seen, n = [], [], 0, 0
+    for start in range(0, len(order), AUDITED):
+        at = order[start : start + AUDITED]
+        truth = a[at] @ b.T >= radius
+        if same:
+            truth[np.arange(len(at)), at] = False
+        has = truth.any(axis=1)
+        some.append(at[has])
+        bits.append(np.packbits(truth[has], axis=1))
+        seen, n = seen + int(truth.sum()), n + int(has.sum())
+        if seen >= LINKS and n >= AUDITED:
+            return np.concatenate(some), np.concatenate(bits), start + AUDITED >= len(order)
+    return np.concatenate(some), np.concatenate(bits), True
+
+
 def linked(a: np.ndarray, b: np.ndarray | None, radius: float) -> np.ndarray:
     """Which rows of ``a`` (all unit vectors in double precision) link with which of ``b``, as packed bits; ``b`` None: with ``a`` itself."""
     same = b is None
     b = a if same else b
+    audit, truth, whole = _audit(a, b, radius, same)
+    if whole:
+        found = np.zeros((len(a), -(-len(b) // 8)), np.uint8)
+        found[audit] = truth
+        return found
     graph = Graph(b.astype(np.float32))
     n = len(b)
     found = np.zeros((len(a), -(-n // 8)), np.uint8)
     loose = radius - 1e-5
     q = a.astype(np.float32)
+    stray = np.flatnonzero(~graph.main)
+
+    def exact(at: np.ndarray) -> np.ndarray:
+        bits = a[at] @ b.T >= radius
+        if same:
+            bits[np.arange(len(at)), at] = False
+        return bits
 
     def rows(at: np.ndarray, beam: int) -> np.ndarray:
         """Packed bits of the links found for some rows of ``a``."""
@@ -200,20 +250,25 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: float) -> np.ndarray:
         bits[who[good], what[good]] = True
         if full.any():
             bits[full] = a[at[full]] @ b.T >= radius
+        bits[:, stray] = a[at] @ b[stray].T >= radius
         if same:
             bits[np.arange(len(at)), at] = False
         return bits
 
-    audit = np.random.default_rng(7).permutation(len(a))[:AUDITED]
-    truth = a[audit] @ b.T >= radius
-    if same:
-        truth[np.arange(len(audit)), audit] = False
+    def recall(beam: int) -> float:
+        hits = total = 0
+        for start in range(0, len(audit), AT_ONCE):
+            want = np.unpackbits(truth[start : start + AT_ONCE], axis=1)[:, :n].astype(bool)
+            hits += int((rows(audit[start : start + AT_ONCE], beam) & want).sum())
+            total += int(want.sum())
+        return hits / total
+
     beam = BEAM
-    while beam < n and (rows(audit, beam) & truth).sum() < RECALL * truth.sum():
+    while (low := recall(min(beam, n)) < RECALL) and beam < n:
         beam *= 2
     for start in range(0, len(a), AT_ONCE):
         at = np.arange(start, min(start + AT_ONCE, len(a)))
-        found[at] = np.packbits(rows(at, beam), axis=1)
+        found[at] = np.packbits(exact(at) if low else rows(at, min(beam, n)), axis=1)
     if same:  # found one way is found
         for start in range(0, n, 1024):
             block = np.unpackbits(found[:, start // 8 : (start + 1024) // 8], axis=1)[:, : n - start]

@@ -212,3 +212,28 @@ def test_a_repeated_query_row_takes_no_ones_place(spark, copies):
     d = np.sqrt(((x[1:].astype(float) - x[0].astype(float)) ** 2).sum(axis=1))
     best = np.argsort(d)[:10]
     assert [r["vec_id"] for r in got] == (best + 1).tolist() and np.allclose([r["score"] for r in got], d[best])
+
+
+def test_sparse_links_and_islands_are_found():
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((3000, 24))
+    few = np.concatenate([x, x[:6] + rng.standard_normal((6, 24)) * 0.05])
+    tight = [c + rng.standard_normal((70, 24)) * 0.02 for c in rng.standard_normal((12, 24))]
+    for rows in (few, np.concatenate([x, *tight])[rng.permutation(3840)]):
+        v = hnsw._unit(rows)
+        want = (v @ v.T >= 0.93) & ~np.eye(len(v), dtype=bool)
+        got = np.unpackbits(hnsw.linked(v, None, 0.93), axis=1)[:, : len(v)].astype(bool)
+        assert want.any() and (got == want).all()
+
+
+@pytest.mark.parametrize("links", [50, 2000])
+def test_a_graph_that_finds_nothing_is_not_trusted(monkeypatch, links):
+    monkeypatch.setattr(hnsw, "LINKS", links, raising=False)
+    lost = lambda self, q, beam: (np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), -3, np.float32))
+    monkeypatch.setattr(hnsw.Graph, "search", lost)
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((900, 24))
+    v = hnsw._unit(np.concatenate([x, x[:100] + rng.standard_normal((100, 24)) * 0.05]))
+    want = (v @ v.T >= 0.93) & ~np.eye(len(v), dtype=bool)
+    got = np.unpackbits(hnsw.linked(v, None, 0.93), axis=1)[:, : len(v)].astype(bool)
+    assert want.sum() >= 200 and (got == want).all()
