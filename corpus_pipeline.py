@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned so that the domains' expected tokens are in proportion to their targets."""
-    return mixing.mixed(docs, read(spark, sf_dir, "labels"))
+    """Documents thinned and repeated so that the domains' expected tokens are in proportion to their targets."""
+    return mixing.mixed(docs, read(spark, sf_dir, "labels"), repeat=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

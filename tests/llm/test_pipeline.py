@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from evidary.llm import langid, simhash, toxicity
+from evidary.llm import langid, mixing, simhash, toxicity
 from evidary.llm.common import held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "row", "sig", "language"]
@@ -87,3 +87,22 @@ def test_empty_tables_pass_through(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0, name
+
+
+def test_mixing_stage_meets_the_targets(spark, tmp_path):
+    rng = np.random.default_rng(15)
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    rows, labels = [], []
+    for i in range(1000):
+        text = " ".join(words[k] for k in rng.integers(0, 26, 40))
+        toxic, low = i < 20, 20 <= i < 220
+        rows.append((i, text + " idiot fool" * 3 if toxic else text + " %%% ||| $$$ ###" * 8 if low else text))
+        labels.append((i, int(not low), int(toxic)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    model = mixing.learn(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    sums = mixing.posteriors(got, model).agg(*[F.expr(f"sum(tokens * p[{d}])") for d in range(3)]).first()
+    shares = np.array(sums) / sum(sums)
+    assert np.abs(shares - [mixing.TARGETS[d] for d in mixing.DOMAINS]).max() < 0.015, shares
