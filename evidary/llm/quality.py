@@ -1,10 +1,11 @@
 """Document quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are pairs of neighbouring character classes (letters, capitals, digits, blanks and kinds of
-symbols), how often a word repeats the one before it, what share of its words are distinct, and how many words it has.
+A text's terms are its lower-cased words, hashed to ``WORDS`` places and weighted by how few of all documents have them;
+beside them pairs of neighbouring character classes (letters, capitals, digits, blanks and kinds of symbols), how often a
+word repeats the one before it, what share of its words are distinct, and how many words it has.
 Square roots of relative counts, less their means over the labelled sample, are projected on the sample's first
-singular directions.  The sample's projected vectors with their labels are broadcast (their number is bounded by
-``PER_LABEL``); every document is compared with all of them in blocks of exact cosine products, and its
+singular directions (by subspace iteration).  The sample's projected vectors with their labels are broadcast (their number
+is bounded by ``PER_LABEL``); every document is compared with all of them in blocks of exact cosine products, and its
 ``NEIGHBOURS`` nearest vote with their similarities, each label scaled to its share among all labels.
 
 Defined results: a null or empty text has no terms and is compared as such; without labels every score is 0.5; texts of
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, DoubleType
@@ -43,7 +45,9 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 KINDS = 23
 TERMS = KINDS * KINDS
-WIDTH = TERMS + 3
+#: Places of hashed words; they come last in a row of terms.
+WORDS = 4096
+WIDTH = TERMS + 3 + WORDS
 #: Edges of the shares of repeated and of distinct words, and of word counts (powers of two).
 REPEATED, DISTINCT, SIZES = np.array([0.01, 0.05, 0.2]), np.linspace(0.1, 0.9, 9), 2.0 ** np.arange(2, 14)
 
@@ -63,6 +67,8 @@ def _keys(data: np.ndarray, piece: np.ndarray):
     new = np.ones(len(by), bool)
     new[1:] = (words[by][1:] != words[by][:-1]) | (row[by][1:] != row[by][:-1])
     yield starts[by[new]], np.full(int(new.sum()), TERMS + 2)
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    yield starts, TERMS + 3 + (hashed_words(low)[2] % np.uint64(WORDS)).astype(np.int64)
 
 
 def features(texts) -> Iterator[tuple[int, np.ndarray]]:
@@ -77,7 +83,7 @@ def features(texts) -> Iterator[tuple[int, np.ndarray]]:
         ):
             marks[np.arange(len(counts)), offset + np.searchsorted(edges, values, side="right")] = weight
             offset += len(edges) + 1
-        yield first, np.hstack([np.sqrt(pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)), marks]).astype(np.float32)
+        yield first, np.hstack([np.sqrt(pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)), marks, np.sqrt(counts[:, TERMS + 3 :] / words[:, None])]).astype(np.float32)
 
 
 @pandas_udf(BinaryType())
@@ -89,17 +95,51 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("doc_id")
-    x = np.stack([np.frombuffer(f, np.float32) for f in rows["features"]]).astype(np.float64)
+def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n): how many of a task's texts have a word of each place, and at -1 the number of texts."""
+    have, texts = np.zeros(WORDS, np.int64), 0
+    for batch in batches:
+        texts += batch.num_rows
+        for _, x in features(batch.column(0).to_pylist()):
+            have += (x[:, -WORDS:] > 0).sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WORDS)), pa.array(np.append(texts, have))], names=["place", "n"])
+
+
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """The weight of each place of words over all of ``docs``, the rarest 1."""
+    found = docs.select(F.col("text").cast("binary")).mapInArrow(_document_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    n = {r["place"]: r["n"] for r in found.collect()}  # a row for each place
+    texts = n.get(-1, 0)
+    return np.array([np.log((1 + texts) / (1 + n.get(k, 0))) for k in range(WORDS)]) / max(np.log(1 + texts), 1e-9)
+
+
+def _directions(x: np.ndarray, most: int) -> np.ndarray:
+    """The first singular directions of ``x`` (columns)."""
+    width = min(2 * most, *x.shape)
+    q = np.random.default_rng(3).standard_normal((x.shape[1], width))
+    for _ in range(8):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, s, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return q @ turn[: min(most, int((s > 1e-9).sum()) or 1)].T
+
+
+def model_of(x: np.ndarray, label: np.ndarray, true: float, inverse: np.ndarray) -> tuple:
+    """The model from the sample's terms and labels; ``true`` is the share of label 1 among all."""
     mean = x.mean(axis=0)
-    _, s, turn = np.linalg.svd(x - mean, full_matrices=False)
-    turn = turn[: min(DIRECTIONS, int((s > 1e-9).sum()) or 1)].T
-    label = rows["label"].to_numpy(np.float32)
-    true = float(rows["share"].iloc[0])
+    weigh = np.append(np.ones(x.shape[1] - WORDS), inverse)
+    turn = weigh[:, None] * _directions((x - mean) * weigh, DIRECTIONS)
     weight = np.where(label == 1, true / max(label.mean(), 1e-9), (1 - true) / max(1 - label.mean(), 1e-9)).astype(np.float32)
-    model = (mean.astype(np.float32), turn.astype(np.float32), _unit((x - mean) @ turn).astype(np.float32), label, weight)
-    return pd.DataFrame({"model": [pickle.dumps(model)]})
+    return mean.astype(np.float32), turn.astype(np.float32), _unit((x - mean) @ turn).astype(np.float32), label, weight
+
+
+def _fit(inverse: np.ndarray):
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        x = np.stack([np.frombuffer(f, np.float32) for f in rows["features"]]).astype(np.float64)
+        model = model_of(x, rows["label"].to_numpy(np.float32), float(rows["share"].iloc[0]), inverse)
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    return fitted
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> bytes | None:
@@ -110,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> bytes
         return None
     rows = bounded_texts(docs, known, "label", per_label)
     rows = rows.select("doc_id", "label", F.lit(float(share)).alias("share"), _feature_rows(F.col("text").cast("binary")).alias("features"))
-    got = rows.groupBy().applyInPandas(_fit, "model binary").first()
+    got = rows.groupBy().applyInPandas(_fit(inverse_frequencies(docs)), "model binary").first()
     return got["model"] if got else None
 
 

@@ -342,3 +342,13 @@ def test_byte_scores_use_every_context(spark, monkeypatch, frequent, grams):
     mine = sorted((str(r["doc_id"]), r["score"]) for r in got if r["doc_id"] != 0)
     assert [i for i, _ in mine] == [i for i, _ in sorted(want)]
     assert np.allclose([x for _, x in mine], [x for _, x in sorted(want)], atol=1e-9)
+
+
+def test_quality_tells_texts_by_their_words(spark):
+    rng = np.random.default_rng(16)
+    kinds = [["".join(map(chr, w)) for w in rng.integers(97, 123, (60, 6))] for _ in range(2)]  # as long and as lower-case
+    docs = [(i, " ".join(kinds[i % 2][k] for k in rng.integers(0, 60, 40))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, label int")
+    got = quality.scores(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()
+    right = [(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] >= 200]
+    assert len(right) == 200 and sum(right) >= 195
