@@ -230,11 +230,6 @@ def _unpacked(child: bytes, code: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zlib.decompress(child), np.int32).reshape(-1, 256), steps * np.float32(-STEP)
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    child, code = _packed(*weigh(*(rows[c].to_numpy(np.int64) for c in ("depth", "context", "byte", "n"))))
-    return pd.DataFrame({"child": [child], "code": [code]})
-
-
 def code_lengths(data: np.ndarray, coded: np.ndarray, child: np.ndarray, code: np.ndarray) -> np.ndarray:
     """log10 of the probability of each coded byte."""
     at = np.flatnonzero(coded)

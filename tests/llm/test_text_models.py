@@ -352,3 +352,14 @@ def test_quality_tells_texts_by_their_words(spark):
     got = quality.scores(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()
     right = [(r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] >= 200]
     assert len(right) == 200 and sum(right) >= 195
+
+
+def test_no_task_or_driver_sees_the_whole_tree(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the tree on one machine")
+
+    monkeypatch.setattr(ctw, "weigh", refused)
+    monkeypatch.setattr(ctw, "FREQUENT", 0, raising=False)  # only a gram of all places would be broadcast
+    docs = spark.createDataFrame([(1, "abracadabra"), (2, "abab abba")], "doc_id long, text string")
+    grams = ctw.language_model(docs.select(F.col("text").cast("binary").alias("text"), F.lit(True).alias("learned")))[0][0]
+    assert len(grams) == 0 and not hasattr(ctw, "_fit")
