@@ -41,3 +41,31 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
         .withColumn(name, F.col("_start") + F.col("_place"))
         .drop("_part", "_place", "_id", "_start")
     )
+
+
+def running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, Column | str], keys: list[str] | None = None) -> DataFrame:
+    """``df`` with running sums in ``order``, each row's own value included, per ``keys`` (none: over all rows).
+
+    A prefix sum by range partitions: the rows are range-sorted by key and order and frozen, each partition
+    sums up its own rows, and what the partitions before it hold of the same key is added.  So a key may
+    span any number of tasks, and no task orders more than a range partition.  ``sums`` maps new names to values; a null counts as nothing.
+    Rows that are equal in ``order`` are taken in any order, so ``order`` should be total.
+    """
+    keys = keys or []
+    weights = {f"_w{k}": F.col(v) if isinstance(v, str) else v for k, v in enumerate(sums.values())}
+    lined = durable(df.withColumns(weights).orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order))
+    placed = lined.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    runs = durable(placed.groupBy("_part", *keys).agg(*[F.coalesce(F.sum(w), F.lit(0)).alias(f"{w}_all") for w in weights]))
+    # One row for each partition and key in it: a key's rows here are at most as many as there are partitions.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.coalesce(F.sum(f"{w}_all").over(before), F.lit(0)).alias(f"{w}_start") for w in weights],
+    )
+    inside = Window.partitionBy("_part", *keys).orderBy("_id")
+    local = placed.withColumns({f"{w}_here": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights})
+    same = local["_part"] == starts["_p"]
+    for i, k in enumerate(keys):
+        same = same & local[k].eqNullSafe(starts[f"_k{i}"])
+    named = [(F.col(f"{w}_here") + F.col(f"{w}_start")).alias(name) for w, name in zip(weights, sums)]
+    return local.join(starts, same).select(*df.columns, *named)
