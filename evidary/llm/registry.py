@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from evidary.llm import ctw, fixity, hnsw, langid, manifest, mixing, packing, quality, rabitq, simhash, toxicity
+from evidary.llm import ctw, fixity, hnsw, langid, manifest, mixing, packing, quality, rabitq, simhash, toxicity, variants
 from evidary.llm.common import held_out, read
 
 
@@ -74,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, misspellings led to the frequent word that is one letter away."""
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's proof in the Merkle manifest of all documents, and whether what is offered for it verifies."""
     return manifest.audit(read(spark, sf_dir, "documents"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_variants": op11_variants,
     "op12_manifest": op12_manifest,
 }
-ORACLES: dict[str, str] = {"op1_fixity": fixity.SQL.strip(), "op12_manifest": manifest.SQL.strip()}
+ORACLES: dict[str, str] = {"op1_fixity": fixity.SQL.strip(), "op11_variants": variants.SQL.strip(), "op12_manifest": manifest.SQL.strip()}
