@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from evidary.llm import ctw, fixity, hnsw, langid, manifest, mixing, packing, quality, rabitq, simhash, toxicity, variants
+from evidary.llm import ctw, fixity, hnsw, langid, manifest, mixing, packing, pagecrf, quality, rabitq, simhash, toxicity, variants
 from evidary.llm.common import held_out, read
 
 
@@ -84,6 +84,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(read(spark, sf_dir, "documents"))
 
 
+def op13_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pagecrf.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": op1_fixity,
     "op2_simhash": op2_simhash,
@@ -97,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_variants": op11_variants,
     "op12_manifest": op12_manifest,
+    "op13_maintext": op13_maintext,
 }
 ORACLES: dict[str, str] = {"op1_fixity": fixity.SQL.strip(), "op11_variants": variants.SQL.strip(), "op12_manifest": manifest.SQL.strip()}
