@@ -5,8 +5,9 @@ A row's leaf is the hash of its fields.  In each group (a language) the leaves l
 groups likewise become the root.  A node's hash is the SHA-256 of its children's hex digests, one after another.
 
 The levels are built from the leaves up, one grouping each, and stored as rows that name their parent.  A recursive
-query then takes every leaf from parent to parent: each step adds the hashes of the siblings passed and folds a
-digest (the one that is offered for the leaf) with them.  A leaf verifies where the folded digest is the root.
+query then takes every leaf from parent to parent: each step appends the hashes of the siblings passed and folds a
+digest (the one that is offered for the leaf) with them.  A leaf verifies where the folded digest is the root.  The leaves of
+one parent share their way, so a row of the climb carries a run of at most ``FANOUT`` leaves and one list of siblings.
 
 No key of the climb is hot: a node above more than ``BLOCK`` leaves is stored once for each block of so many
 leaves below it, and a climber looks for the copy of its own block.  Leaves are numbered by range partition, not by a
@@ -120,28 +121,29 @@ def node_rows(lower: list[DataFrame], upper: list[DataFrame], groups: DataFrame,
     return stored(rows, "manifest-nodes")
 
 
-#: From parent to parent; digests are 64 hex digits, of which a node has one for each child.
+#: From parent to parent.  A row is a run of leaves, which have all nodes above them in common: each leaf's digest is
+#: folded on its own, and the siblings passed are appended once.  ``children`` has 64 hex digits for each child.
 CLIMB = """
-WITH RECURSIVE climb(no, step, parent, place, folded, siblings) AS (
-  SELECT no, 0, parent, place, offered, CAST(NULL AS BINARY) FROM {leaves}
+WITH RECURSIVE climb(run, parent, place, folded, siblings) AS (
+  SELECT run, parent, place, transform(leaves, (x, i) -> unhex(CASE WHEN n = 1 THEN x.offered
+      ELSE sha2(array_join(transform(leaves, (y, j) -> CASE WHEN i = j THEN x.offered ELSE y.leaf END), ''), 256) END)), CAST('' AS BINARY)
+  FROM {runs}
   UNION ALL
-  SELECT c.no, c.step + 1, n.parent, n.place,
-    sha2(concat(left(n.children, 64 * c.place), c.folded, substr(n.children, 64 * c.place + 65)), 256),
-    unhex(concat(left(n.children, 64 * c.place), substr(n.children, 64 * c.place + 65)))
+  SELECT c.run, n.parent, n.place,
+    transform(c.folded, f -> unhex(sha2(concat(left(n.children, 64 * c.place), lower(hex(f)), substr(n.children, 64 * c.place + 65)), 256))),
+    concat(c.siblings, unhex(concat(left(n.children, 64 * c.place), substr(n.children, 64 * c.place + 65))))
   FROM climb c JOIN {nodes} n ON n.node = c.parent
 )
-SELECT no, sha2(lower(array_join(transform(array_sort(collect_list(struct(step, hex(siblings) AS h))), x -> coalesce(x.h, '')), '')), 256) AS proof_sha256,
-  max_by(folded, step) AS folded_root
-FROM climb GROUP BY no
+SELECT run, folded, siblings FROM climb WHERE parent IS NULL
 """
 
 
-def climb(spark: SparkSession, leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(no, proof_sha256, folded_root) of ``leaves`` (no, parent, place, offered), stored."""
+def climb(spark: SparkSession, runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run, folded, siblings) of ``runs`` (run, parent, place, n, leaves) at the root, stored."""
     before = spark.conf.get(_ROW_LIMIT)
     spark.conf.set(_ROW_LIMIT, "-1")  # the levels end the recursion, not a number of rows
     try:
-        return stored(spark.sql(CLIMB, leaves=leaves, nodes=nodes), "manifest-climb")
+        return stored(spark.sql(CLIMB, runs=runs, nodes=nodes), "manifest-climb")
     finally:
         spark.conf.set(_ROW_LIMIT, before)
 
@@ -164,17 +166,25 @@ def verify(rows: DataFrame, key: str, group: str) -> DataFrame:
     tops = durable(tops)
     upper = levels(tops.select(F.lit(0).alias("tree"), F.col("tree").alias("at"), F.lit(trees).cast("long").alias("n"), "hash"), trees, "upper")
     root = (upper[-1] if upper else tops).select(F.col("hash").alias("root"))
-    tree, at, block = F.col("tree"), F.col("at"), F.floor(F.col("at") / BLOCK).cast("long")
-    linked = leaves.select("no", *_up(tree, block, F.lit(0), at, F.col("n"), trees), "offered")
-    if lower or upper:
-        climbed = climb(spark, linked, node_rows(lower, upper, groups, trees))
-    else:  # one leaf is the root
-        climbed = linked.select("no", F.sha2(F.lit(""), 256).alias("proof_sha256"), F.col("offered").alias("folded_root"))
-    # Subroots by tree and block: no more than a block's rows meet at a key.
+    tree, at = F.col("tree"), F.col("at")
+    # The leaves of one parent climb together: ``at`` counts runs from here on.
+    member = F.struct("at", F.col(key).alias("key"), F.col(group).alias("group"), "leaf", "offered")
+    runs = leaves.groupBy("tree", F.floor(at / FANOUT).cast("long").alias("at"), "n").agg(F.sort_array(F.collect_list(member)).alias("leaves"))
+    size, block = F.ceil(F.col("n") / FANOUT).cast("long"), F.floor(at * FANOUT / BLOCK).cast("long")
+    runs = runs.select(F.struct("tree", "at").alias("run"), block.alias("block"), *_up(tree, block, F.lit(1), at, size, trees), "n", "leaves")
+    runs = stored(runs, "manifest-runs")
+    nodes = node_rows(lower, upper, groups, trees) if lower or upper else runs.select(F.col("parent").alias("node"), "parent", "place", F.lit("").alias("children")).limit(0)
+    climbed = climb(spark, runs.select("run", "parent", "place", "n", "leaves"), nodes)
+    # Subroots by tree and block: no more than a block's runs meet at a key.
     every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK).cast("long"))
     named = groups.join(tops.withColumnRenamed("hash", "subroot"), "tree").select("tree", F.explode(every).alias("block"), "subroot")
-    whole = leaves.withColumn("block", block).join(named, ["tree", "block"]).join(climbed, "no").crossJoin(F.broadcast(root))
-    return whole.select(key, group, "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    whole = runs.withColumn("tree", F.col("run.tree")).join(named, ["tree", "block"]).join(climbed, "run").crossJoin(F.broadcast(root))
+    each = whole.select("leaves", "folded", "siblings", "subroot", "root", F.posexplode("leaves").alias("i", "own"))
+    beside = F.array_join(F.transform(F.filter("leaves", lambda x: x["at"] != F.col("own.at")), lambda x: x["leaf"]), "")
+    proof = F.sha2(F.concat(beside, F.lower(F.hex("siblings"))), 256).alias("proof_sha256")
+    folded = F.lower(F.hex(F.col("folded")[F.col("i")])).alias("folded_root")
+    found = each.select(F.col("own.key").alias(key), F.col("own.group").alias(group), "own.leaf", "subroot", "root", proof, folded)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
 def audit(docs: DataFrame) -> DataFrame:
