@@ -206,22 +206,21 @@ def _halves(side: int, length: int) -> int:
 
 def _search(side: int):
     def search(block: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        keys, found = block["indexed"].tolist(), []
-        index = Index(keys)
-        asked = pd.Series(asking["key"].to_numpy(dtype=object))
-        lengths = asked.str.len().to_numpy()
+        keys, way = block["indexed"].tolist(), slice(None, None, 1 if side == 0 else -1)
+        index, n = Index(keys), block["indexed_n"].to_numpy()
+        asked = asking["key"].tolist()
+        lengths = np.fromiter(map(len, asked), np.int64, len(asked))
+        words, near, near_n = [], [], [np.zeros(0, np.int64)]
         for length in np.unique(lengths):
-            some = asked.to_numpy()[lengths == length]
+            some = [asked[k] for k in np.flatnonzero(lengths == length)]
             for at in range(0, len(some), ABREAST):
-                part = some[at : at + ABREAST].tolist()
+                part = some[at : at + ABREAST]
                 who, which = index.one_edit(part, _halves(side, int(length)))
                 pairs = np.unique(who * len(keys) + which)
-                found.append(pd.DataFrame({"word": [part[k] for k in pairs // len(keys)], "at": pairs % len(keys)}))
-        got = pd.concat(found) if found else pd.DataFrame({"word": [], "at": []})
-        at = got["at"].to_numpy(np.int64)
-        near, n = np.array(keys, dtype=object)[at], block["indexed_n"].to_numpy()[at]
-        way = slice(None, None, 1 if side == 0 else -1)
-        return pd.DataFrame({"word": [w[way] for w in got["word"]], "near": [w[way] for w in near], "near_n": n})
+                words += [part[k][way] for k in pairs // len(keys)]
+                near += [keys[k][way] for k in pairs % len(keys)]
+                near_n.append(n[pairs % len(keys)])
+        return pd.DataFrame({"word": pd.Series(words, dtype=object), "near": pd.Series(near, dtype=object), "near_n": np.concatenate(near_n)})
 
     return search
 
