@@ -10,7 +10,7 @@ from evidary.catalog.registry import query
 from evidary.catalog.roles import SAMPLE_SCALE, table
 from evidary.catalog.roles_sql import with_roles
 from evidary.functions import scoring as S, text as T
-from evidary.operators import budgets, interactions as I, strength, verification as V
+from evidary.operators import budgets, containment, interactions as I, strength, verification as V
 from evidary.plans import reconcile as R
 from evidary.session import durable
 
@@ -54,6 +54,35 @@ def quotes_in_documents(spark, sf):
     )
 
 
+@query(
+    "corpus_quotes",
+    "E12",
+    f"""SELECT item_id AS quote_id, doc_id, CAST(instr(folded, needle) AS INTEGER) AS at_char, contains(' ' || folded || ' ', ' ' || needle || ' ') AS as_code
+FROM (SELECT item_id, {q.fold("text")} AS needle FROM benchmark) JOIN (SELECT doc_id, {q.fold("text")} AS folded FROM documents) ON contains(folded, needle) WHERE needle <> ''""",
+)
+def corpus_quotes(spark, sf):
+    quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return containment.corpus_quotes(quotes, table(spark, sf, "documents")).withColumnRenamed("at", "at_char")
+
+
+@query(
+    "corpus_openings",
+    "E12",
+    f"""WITH d AS (SELECT doc_id, {q.fold("text")} AS folded FROM documents), quotes AS (SELECT DISTINCT array_to_string(string_split(folded, ' ')[1:4], ' ') AS needle FROM d)
+SELECT needle AS opening, count(*) AS texts, count(*) FILTER (contains(' ' || folded || ' ', ' ' || needle || ' ')) AS on_words, min(doc_id) AS first_doc
+FROM quotes JOIN d ON contains(folded, needle) WHERE needle <> '' GROUP BY needle""",
+)
+def corpus_openings(spark, sf):
+    """How many documents hold each document's first four words anywhere."""
+    docs = table(spark, sf, "documents")
+    opening = F.array_join(F.slice(F.split(T.fold("text"), " "), 1, 4), " ")
+    quotes = docs.select(opening.alias("quote_id"), opening.alias("quote")).where("quote_id is not null")
+    held = containment.corpus_quotes(quotes, docs)
+    return held.groupBy(F.col("quote_id").alias("opening")).agg(
+        F.count("*").alias("texts"), F.count_if("as_code").alias("on_words"), F.min("doc_id").alias("first_doc")
+    )
+
+
 @query(
     "located_quotes",
     "V1",
