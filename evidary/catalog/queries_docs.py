@@ -15,7 +15,8 @@ from evidary.operators import chunks as K, fulltext, interactions as I, quality
 from evidary.session import durable, scratch_path
 from evidary.sinks import bundle
 from evidary.sources import documents as D, landed_json as J
-from evidary.streaming import events as E
+from evidary.streaming import rounds
+from evidary.streaming.running import KeyedTable, run_to_end
 
 # --- full text (G8, E10) ----------------------------------------------------------------
 
@@ -534,23 +535,73 @@ def vector_table(spark, sf):
 # --- incremental rounds (S6) ---------------------------------------------------------------------------
 
 
+def _rounds(spark, sf):
+    """Two rounds of sightings: the second has new terms, other ranks, fields the first lacked, and papers of its own."""
+    docs = table(spark, sf, "documents").where("doc_id is not null")
+    size, pmid = F.col("n_chars"), F.col("doc_id").cast("string")
+    line = F.substring_index("text", "\n", 1)
+    terms = F.array_compact(F.array(F.col("source"), F.when(size > 400, F.col("lang")), F.when(size > 800, F.lit("long"))))
+    first = docs.select(
+        pmid.alias("pmid"), line.alias("title"), F.when(size % 4 > 0, line).otherwise("").alias("abstract"), F.lit(None).cast("string").alias("pmcid"),
+        terms.alias("found_by"), (size % 50).cast("int").alias("best_rank"), F.col("lang").alias("language"), F.col("doc_id").alias("seq"),
+    )
+    again = docs.where("doc_id % 2 = 0").select(
+        pmid.alias("pmid"), F.lit("another title").alias("title"), F.lit("a later abstract").alias("abstract"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("PMC"), pmid)).alias("pmcid"),
+        F.array(F.lit("gap"), F.coalesce("source", F.lit("none"))).alias("found_by"), (size % 37).cast("int").alias("best_rank"), F.lit("xx").alias("language"), F.col("doc_id").alias("seq"),
+    )
+    fresh = docs.where("doc_id % 3 = 0").select(
+        F.concat(F.lit("n"), pmid).alias("pmid"), line.alias("title"), F.lit(None).cast("string").alias("abstract"), F.lit(None).cast("string").alias("pmcid"),
+        F.array(F.lit("gap")).alias("found_by"), (size % 7).cast("int").alias("best_rank"), F.col("lang").alias("language"), F.col("doc_id").alias("seq"),
+    )
+    return first, again.unionByName(fresh)
+
+
+def _candidates(spark, sf):
+    """The candidates after the first round and after the second, which a restarted stream takes in."""
+    base = scratch_path(spark, "rounds")
+    kept = KeyedTable(spark, f"{base}/candidates", ["pmid"])
+    first, second = _rounds(spark, sf)
+    seen = []
+    for found in (first, second):
+        found.write.mode("append").parquet(f"{base}/landed")
+        landed = spark.readStream.schema(found.schema).parquet(f"{base}/landed")
+        run_to_end(rounds.merged_candidates(landed), kept.upsert, f"{base}/state")
+        seen.append(durable(kept.read()))
+    return seen
+
+
+_ROUNDS = """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS pmid, string_split(text, chr(10))[1] AS line, * EXCLUDE (text) FROM documents),
+one AS (SELECT pmid, line AS title, CASE WHEN n_chars % 4 > 0 THEN line ELSE '' END AS abstract, n_chars % 50 AS best_rank, lang AS language,
+  list_filter([source, CASE WHEN n_chars > 400 THEN lang END, CASE WHEN n_chars > 800 THEN 'long' END], lambda x: x IS NOT NULL) AS found_by FROM d),
+two AS (SELECT pmid, 'another title' AS title, 'a later abstract' AS abstract, CASE WHEN doc_id % 4 = 0 THEN 'PMC' || pmid END AS pmcid, n_chars % 37 AS best_rank, 'xx' AS language, ['gap', coalesce(source, 'none')] AS found_by FROM d WHERE doc_id % 2 = 0
+  UNION ALL SELECT 'n' || pmid, line, NULL, NULL, n_chars % 7, lang, ['gap'] FROM d WHERE doc_id % 3 = 0)"""
+
+
 @query(
     "incremental_rounds",
     "S6 I2",
-    with_roles("SELECT pmid, title, array_to_string(found_by, ',') AS found_by, best_rank FROM document_papers", "document_papers"),
+    f"""{_ROUNDS}
+SELECT coalesce(a.pmid, b.pmid) AS pmid, md5(CASE WHEN coalesce(a.title, '') <> '' THEN a.title ELSE coalesce(b.title, '') END) AS title_md5,
+  md5(CASE WHEN coalesce(a.abstract, '') <> '' THEN a.abstract ELSE coalesce(b.abstract, '') END) AS abstract_md5, coalesce(b.pmcid, '') AS pmcid,
+  array_to_string(list_concat(coalesce(a.found_by, []), list_filter(coalesce(b.found_by, []), lambda x: NOT list_contains(coalesce(a.found_by, []), x))), ',') AS found_by,
+  CAST(least(a.best_rank, b.best_rank) AS INTEGER) AS best_rank, CASE WHEN a.pmid IS NULL THEN b.language ELSE a.language END AS language
+FROM one a FULL JOIN two b ON a.pmid = b.pmid""",
 )
 def incremental_rounds(spark, sf):
-    raw = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    size = F.col("n_chars")
-    found = F.array_compact(F.array(F.col("source"), F.when(size > 400, F.col("lang")), F.when(size > 800, F.lit("long"))))
-    stream = raw.select(
-        F.col("doc_id").cast("string").alias("pmid"), F.substring_index("text", "\n", 1).alias("title"), found.alias("found_by"),
-        (size % 50).cast("int").alias("best_rank"),
+    return _candidates(spark, sf)[1].select(
+        "pmid", F.md5("title").alias("title_md5"), F.md5("abstract").alias("abstract_md5"), F.coalesce("pmcid", F.lit("")).alias("pmcid"),
+        F.array_join("found_by", ",").alias("found_by"), "best_rank", "language",
     )
-    base = scratch_path(spark, "rounds")
-    kept = E.VersionedTable(spark, f"{base}/t")
-    # The same folder lands twice: the second round must change nothing.
-    E.run_to_end(stream, E.merge_candidates(kept), f"{base}/c1")
-    again = kept.latest()
-    E.merge_candidates(kept)(again, 1)
-    return kept.latest().select("pmid", "title", F.array_join("found_by", ",").alias("found_by"), "best_rank")
+
+
+@query(
+    "rounds_to_screen",
+    "S6 E5",
+    f"""{_ROUNDS}
+SELECT coalesce(a.pmid, b.pmid) AS pmid, CAST(least(a.best_rank, b.best_rank) AS INTEGER) AS best_rank FROM one a FULL JOIN two b ON a.pmid = b.pmid WHERE a.best_rank IS NULL OR a.best_rank >= 25""",
+)
+def rounds_to_screen(spark, sf):
+    """Papers ranked below 25 in the first round are screened; a better rank in the second screens none of them again."""
+    first, second = _candidates(spark, sf)
+    return rounds.to_screen(second, first.where("best_rank < 25")).select("pmid", "best_rank")

@@ -14,6 +14,7 @@ from evidary.operators import quality, reports, retention, runlog
 from evidary.session import scratch_path
 from evidary.sinks import bundle
 from evidary.streaming import events as E
+from evidary.streaming.running import BatchLog, KeyedTable, run_to_end
 
 _DISPLAY = """CASE WHEN calls = 0 THEN '$0.00' WHEN unpriced_calls = 0 THEN format('${:,.4f}', usd) WHEN unpriced_calls = calls THEN 'cost unavailable'
   ELSE format('${:,.4f}', usd) || ' + ' || unpriced_calls || ' unpriced' END"""
@@ -212,6 +213,14 @@ def _stream(spark, sf):
     )
 
 
+def _settled(spark, stream, keys, name):
+    """What a stream of rows per key has come to when everything that landed is processed."""
+    base = scratch_path(spark, name)
+    table_ = KeyedTable(spark, f"{base}/table", keys)
+    run_to_end(stream, table_.upsert, f"{base}/state")
+    return table_.read()
+
+
 @query(
     "live_meter",
     "S1 S2",
@@ -220,11 +229,7 @@ def _stream(spark, sf):
     ),
 )
 def live_meter(spark, sf):
-    base = scratch_path(spark, "live-meter")
-    out = E.snapshot(
-        E.live_meter(_stream(spark, sf)), E.VersionedTable(spark, f"{base}/t"), ["run_id", "role"], f"{base}/c"
-    )
-    return out.withColumn("usd", F.round("usd", 4))
+    return _settled(spark, E.live_meter(_stream(spark, sf)), ["run_id", "role"], "live-meter").withColumn("usd", F.round("usd", 4))
 
 
 @query(
@@ -245,9 +250,7 @@ def stage_status(spark, sf):
         F.get(F.array(*[F.lit(m) for m in fixed.MILESTONES]), (k % 9).cast("int")).alias("node"), k.alias("current"),
         F.when(k % 2 == 0, F.lit(100).cast("long")).alias("total"), F.col("ts").alias("at"),
     )
-    base = scratch_path(spark, "stage-status")
-    out = E.snapshot(E.stage_status(stream), E.VersionedTable(spark, f"{base}/t"), ["run_id", "node"], f"{base}/c")
-    return out.select(
+    return _settled(spark, E.tracked_stages(stream), ["run_id", "node"], "stage-status").select(
         "run_id", "node", "status", F.coalesce("seconds", F.lit(-1e9)).alias("seconds"), F.coalesce("current", F.lit(-1).cast("long")).alias("current")
     )
 
@@ -260,8 +263,7 @@ def stage_status(spark, sf):
 def trouble_counters(spark, sf):
     kinds = {"signup": "WarningEvent", "error": "ErrorEvent"}
     stream = _stream(spark, sf).withColumn("kind", roles.pick(kinds, "event_type"))
-    base = scratch_path(spark, "trouble")
-    return E.snapshot(E.trouble_counters(stream), E.VersionedTable(spark, f"{base}/t"), ["run_id"], f"{base}/c")
+    return _settled(spark, E.trouble_counters(stream), ["run_id"], "trouble")
 
 
 @query(
@@ -275,9 +277,9 @@ FROM event_log GROUP BY run_id HAVING sum(coalesce(usd, 0)) >= 100""",
 )
 def budget_alerts(spark, sf):
     base = scratch_path(spark, "alerts")
-    alerts = E.VersionedTable(spark, f"{base}/a")
-    E.run_to_end(_stream(spark, sf), E.budget_alerts(E.VersionedTable(spark, f"{base}/t"), alerts, 100.0), f"{base}/c")
-    return alerts.every()
+    alerts = BatchLog(spark, f"{base}/alerts")
+    run_to_end(E.budget_alerts(_stream(spark, sf), 100.0), alerts.append, f"{base}/state", "append")
+    return alerts.read()
 
 
 # --- reports ----------------------------------------------------------------------------------

@@ -1,17 +1,19 @@
-"""Run events as a stream: meters, stage status, counters, alerts, incremental rounds.
+"""Run events as a stream: meters, stage status, counters and alerts.
 
-Aggregations are pre-combined before the shuffle, so one busy run is not one task's work.
-State that must outlive a batch is a versioned table in the shared folder, written per
-batch id, so a repeated batch writes the same version again.
+What must outlive a batch lies in Spark's state store: built-in aggregates keep meters and counters, and stateful processors
+keep stages and spending per key.  Events are summed up per Arrow batch before the shuffle, so one busy run
+is a few rows a task and not one task's work.  Results go to tables that rewrite only what a batch touches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from evidary.operators.merge import merge_rounds
+from evidary.streaming.running import by_keys
 
 # One wide schema for every kind of event; a kind leaves the fields it lacks null.
 EVENT_SCHEMA = (
@@ -45,7 +47,7 @@ def live_meter(events: DataFrame) -> DataFrame:
 
 
 def stage_status(events: DataFrame) -> DataFrame:
-    """Status, seconds and last progress of every stage of every run (S3)."""
+    """Status, seconds and last progress of every stage of every run (S3), from all events at once."""
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     return (
         events.filter(F.col("kind").isin("NodeStarted", "NodeFinished", "Progress"))
@@ -79,129 +81,93 @@ def trouble_counters(events: DataFrame) -> DataFrame:
     )
 
 
-# --- versioned tables --------------------------------------------------------------------
+# --- state per key ---------------------------------------------------------------------------
 
+_STAGE = "began long, ended long, moved long, current long, total long"
+_STAGE_OUT = "run_id string, node string, status string, seconds double, current long, total long"
 
-class VersionedTable:
-    """Snapshots of a table by batch id; reading for a batch sees the newest older one."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+def _number(value) -> int | None:
+    return None if pd.isna(value) else int(value)
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            marker = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-            if name.startswith("v=") and fs.exists(marker):
-                done.append(int(name[2:]))
-        return sorted(done)
 
-    def before(self, batch_id: int) -> DataFrame | None:
-        older = [v for v in self._versions() if v < batch_id]
-        return self.spark.read.parquet(f"{self.path}/v={older[-1]}") if older else None
+def _stage_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a batch of events says of each stage: first start, last finish, last progress."""
+    for events in batches:
+        at = events["micros"]
+        started, finished = at.where(events["kind"] == "NodeStarted"), at.where(events["kind"] == "NodeFinished")
+        moved = events[(events["kind"] == "Progress") & events["current"].notna() & events["total"].notna()]
+        last = moved.sort_values(["micros", "current", "total"]).groupby(["run_id", "node"], as_index=False, dropna=False).last()
+        ends = events.assign(began=started, ended=finished).groupby(["run_id", "node"], as_index=False, dropna=False)[["began", "ended"]].agg({"began": "min", "ended": "max"})
+        both = ends.merge(last[["run_id", "node", "micros", "current", "total"]].rename(columns={"micros": "moved"}), how="left", on=["run_id", "node"])
+        yield both[["run_id", "node", "began", "ended", "moved", "current", "total"]].astype({c: "Int64" for c in ("began", "ended", "moved", "current", "total")})
 
-    def latest(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
 
-    def every(self) -> DataFrame | None:
-        versions = self._versions()
-        if not versions:
-            return None
-        return self.spark.read.parquet(*[f"{self.path}/v={v}" for v in versions])
+class StageTracker(StatefulProcessor):
+    """Keeps when a stage began and ended and its last progress; says its status whenever it hears of it."""
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stage = handle.getValueState("stage", _STAGE, self.ttl_ms)
 
-def fold_batches(
-    table: VersionedTable, combine: Callable[[DataFrame | None, DataFrame], DataFrame]
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that folds each batch into the table's last snapshot."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        began, ended, *progress = self.stage.get() if self.stage.exists() else (None,) * 5
+        for marks in rows:
+            for mark in marks.itertuples(index=False):
+                if (at := _number(mark.began)) is not None:
+                    began = at if began is None else min(began, at)
+                if (at := _number(mark.ended)) is not None:
+                    ended = at if ended is None else max(ended, at)
+                found = [_number(mark.moved), _number(mark.current), _number(mark.total)]
+                if found[0] is not None and (progress[0] is None or found > progress):
+                    progress = found
+        self.stage.update((began, ended, *progress))
+        seconds = (ended - began) / 1_000_000.0 if ended is not None and began is not None else None
+        said = [*key, "running" if ended is None else "done", seconds, progress[1], progress[2]]
+        yield pd.DataFrame([said], columns=["run_id", "node", "status", "seconds", "current", "total"]).astype({"seconds": "Float64", "current": "Int64", "total": "Int64"})
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        table.write(combine(table.before(batch_id), batch), batch_id)
 
-    return run
+def tracked_stages(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of the status of each stage that a batch says something of (S3).
 
+    A stage that nothing is heard of for ``ttl_ms`` is forgotten; that needs a stream that runs on, as it never comes to an end.
+    """
+    told = events.where(F.col("kind").isin("NodeStarted", "NodeFinished", "Progress"))
+    marks = told.select("kind", "run_id", "node", "current", "total", F.unix_micros(F.col("at").cast("timestamp")).alias("micros"))
+    marks = marks.mapInPandas(_stage_marks, f"run_id string, node string, {_STAGE}")
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return by_keys(marks, "run_id", "node").transformWithStateInPandas(StageTracker(ttl_ms), _STAGE_OUT, "Update", mode)
 
-# --- alerts (S5) and incremental rounds (S6) ----------------------------------------------------
 
+def _spent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for calls in batches:
+        yield calls.fillna({"usd": 0.0}).groupby("run_id", as_index=False, dropna=False)[["usd"]].sum()
 
-def budget_alerts(totals: VersionedTable, alerts: VersionedTable, limit: float) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that names each run once, when its spend reaches the limit."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        fresh = (
-            batch.filter(F.col("kind") == "LLMCall")
-            .groupBy("run_id")
-            .agg(F.sum(F.coalesce("usd", F.lit(0.0))).alias("usd"))
-        )
-        prior = totals.before(batch_id)
-        if prior is None:
-            merged = fresh.withColumn("before", F.lit(0.0))
-        else:
-            merged = (
-                fresh.join(prior.select("run_id", F.col("usd").alias("before")), "run_id", "full_outer")
-                .withColumn("before", F.coalesce("before", F.lit(0.0)))
-                .withColumn("usd", F.coalesce("usd", F.lit(0.0)) + F.col("before"))
-            )
-        totals.write(merged.select("run_id", "usd", "before"), batch_id)
-        written = totals.latest()
-        crossed = written.filter((F.col("usd") >= limit) & (F.col("before") < limit))
-        alerts.write(
-            crossed.select(
-                "run_id",
-                F.round("usd", 4).alias("usd"),
-                F.concat(
-                    F.lit("soft budget reached: $"),
-                    F.format_number("usd", 4),
-                    F.lit(f" of ${limit:,.2f}"),
-                ).alias("message"),
-            ),
-            batch_id,
-        )
-
-    return run
 
+class BudgetAlert(StatefulProcessor):
+    """Keeps what a run has spent and whether it was named; names it once, when the limit is reached."""
 
-def merge_candidates(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges new sightings into the candidates."""
-    return fold_batches(table, lambda prior, batch: batch if prior is None else merge_rounds(prior, batch))
+    def __init__(self, limit: float) -> None:
+        self.limit = limit
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "usd double, named boolean")
 
-def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Process everything that has landed, batch by batch, and stop."""
-    query = (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        usd, named = self.spent.get() if self.spent.exists() else (0.0, False)
+        for sums in rows:
+            usd += float(sums["usd"].sum())
+        reached = usd >= self.limit
+        self.spent.update((usd, named or reached))
+        if reached and not named:
+            message = f"soft budget reached: ${round(usd, 4):,.4f} of ${self.limit:,.2f}"
+            yield pd.DataFrame({"run_id": [key[0]], "usd": [round(usd, 4)], "message": [message]})
 
-def snapshot(stream: DataFrame, table: VersionedTable, keys: list[str], checkpoint: str) -> DataFrame:
-    """Run an aggregated stream in update mode to its end; the last row per key."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        prior = table.before(batch_id)
-        if prior is not None:
-            batch = batch.unionByName(prior.join(batch.select(*keys), keys, "left_anti"))
-        table.write(batch, batch_id)
-
-    query = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return table.latest()
+def budget_alerts(events: DataFrame, limit: float) -> DataFrame:
+    """A stream that names each run once, in the batch in which its spending reaches ``limit``."""
+    calls = events.where(F.col("kind") == "LLMCall").select("run_id", F.col("usd").cast("double").alias("usd"))
+    sums = calls.mapInPandas(_spent, "run_id string, usd double")
+    return by_keys(sums, "run_id").transformWithStateInPandas(BudgetAlert(limit), "run_id string, usd double, message string", "Append", "None")
