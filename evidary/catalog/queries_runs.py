@@ -13,6 +13,7 @@ from evidary.functions.labels import format_cost, strength_cell
 from evidary.operators import quality, reports, retention, runlog
 from evidary.session import scratch_path
 from evidary.sinks import bundle
+from evidary.sources.filesource import read_lines
 from evidary.streaming import events as E
 from evidary.streaming.running import BatchLog, KeyedTable, run_to_end
 
@@ -223,13 +224,18 @@ def _settled(spark, stream, keys, name):
 
 @query(
     "live_meter",
-    "S1 S2",
+    "S1 S2 B14",
     with_roles(
         f"{_LEDGER} SELECT run_id, role, calls, prompt_tokens, completion_tokens, usd, unpriced_calls FROM r WHERE role <> '(all)'", "event_log"
     ),
 )
 def live_meter(spark, sf):
-    return _settled(spark, E.live_meter(_stream(spark, sf)), ["run_id", "role"], "live-meter").withColumn("usd", F.round("usd", 4))
+    # The log as a run leaves it: lines of JSON in a folder that is followed as a stream.
+    log = scratch_path(spark, "event-log")
+    calls = roles.event_log(spark, sf).withColumn("kind", F.lit("LLMCall"))
+    bundle.write_event_log(calls, log, "kind", ["run_id", "role", "prompt_tokens", "completion_tokens", "usd", "at"])
+    meter = E.live_meter(E.read_events(spark, log))
+    return _settled(spark, meter, ["run_id", "role"], "live-meter").withColumn("usd", F.round("usd", 4))
 
 
 @query(
@@ -380,6 +386,30 @@ def root_index(spark, sf):
     return lines.select("part", "line")
 
 
+@query(
+    "root_index_page",
+    "B8",
+    with_roles(
+        f"""WITH {_FUNNEL}, {_TOTAL}, ts AS (SELECT slug, topics.title, scope, count(pmid) AS papers, count(pmid) FILTER (basis = 'full_text') AS f FROM topics LEFT JOIN order_papers ON domain = slug GROUP BY ALL),
+page AS (SELECT {q.row("'[' || slug || '](' || slug || '/index.md)'", "title", "CAST(papers AS VARCHAR)", "CAST(f AS VARCHAR)", "CAST(papers - f AS VARCHAR)", "scope")} AS line FROM ts
+UNION ALL SELECT {q.row("stage", q.thousands("papers"))} FROM fn UNION ALL SELECT line FROM cl UNION ALL SELECT '- ' || {q.inline("text")} FROM benchmark)
+SELECT line, count(*) AS copies FROM page GROUP BY line""",
+        "topics",
+        "order_papers",
+        "verdicts",
+        "findings",
+        "event_log",
+    ),
+)
+def root_index_page(spark, sf):
+    """The root index written as a page and read back as lines."""
+    folder = scratch_path(spark, "root-index")
+    summary = reports.topic_summary(roles.order_papers(spark, sf), roles.topics(spark, sf))
+    lines = reports.root_index(summary, _funnel(spark, sf), _ledger_total(spark, sf), _warnings(spark, sf))
+    bundle.write_page(lines, folder, [c for c in lines.columns if c != "line"])
+    return read_lines(spark, folder).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("copies"))
+
+
 def _searches(spark, sf):
     """Part names as executed searches: how many parts carry a name, how many were taken."""
     named = table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("count"), F.min("p_partkey").alias("ord"), F.max("p_size").alias("top"))

@@ -11,7 +11,9 @@ from evidary.catalog import sql_text as q
 from evidary.catalog.registry import query
 from evidary.catalog.roles import table
 from evidary.functions.labels import is_suspect
+from evidary.session import scratch_path
 from evidary.sources import bibxml as X, landed_json as J, replies as R
+from evidary.sources.filesource import read_lines, write_files
 
 # --- article XML ---------------------------------------------------------------------
 
@@ -60,7 +62,7 @@ def article_xml(spark, sf):
         F.when(F.col("p_size") > 25, c("<ArticleTitle>", title, "</ArticleTitle>")).otherwise(""), "<Language>eng</Language>", authors,
         '<PublicationType UI="D3">Review</PublicationType>', abstract, "</BookDocument></PubmedBookArticle>",
     )
-    return table(spark, sf, "part").select(F.when(F.col("p_type") == "SMALL", book).otherwise(journal).alias("xml"))
+    return table(spark, sf, "part").select("p_partkey", F.when(F.col("p_type") == "SMALL", book).otherwise(journal).alias("xml"))
 
 
 _INIT = "upper(p_name[1]) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2)"
@@ -83,7 +85,15 @@ SELECT CAST(p_partkey AS VARCHAR) AS pmid,
 FROM part""",
 )
 def article_records(spark, sf):
-    df = X.parse_articles(article_xml(spark, sf))
+    # Article sets as they land, of 512 neighbouring records each, read in ranges that cut through records.
+    folder = scratch_path(spark, "article-sets")
+    sets = article_xml(spark, sf).groupBy(F.floor(F.col("p_partkey") / 512).alias("file")).agg(F.array_join(F.collect_list("xml"), "\n").alias("body"))
+    named = sets.select(
+        F.concat(F.lit("set-"), "file", F.lit(".xml")).alias("path"),
+        F.concat(F.lit('<?xml version="1.0"?>\n<PubmedArticleSet>\n'), "body", F.lit("\n</PubmedArticleSet>\n")).alias("text"),
+    )
+    write_files(named, folder)
+    df = X.parse_articles(X.read_article_sets(spark, folder, 1 << 16))
     headings = F.transform(
         "mesh",
         lambda m: F.concat(m["descriptor"], F.when(m["major"], "*").otherwise(""), F.lit("/"), F.array_join(m["qualifiers"], ",")),
@@ -265,8 +275,9 @@ def last_writes(spark, sf):
     "catalog_lines",
     "A26",
     """
-SELECT doc_id AS line, CASE WHEN lang = 'fr' THEN '' ELSE source END AS source, CASE WHEN lang = 'fr' THEN 'not valid JSON' WHEN lang = 'es' THEN 'not a JSON object' ELSE '' END AS problem
-FROM (SELECT doc_id, lang, CASE WHEN lang = 'es' THEN '' ELSE source END AS source FROM documents)""",
+WITH w AS (SELECT *, coalesce(source, 'none') || '-' || (doc_id // 256) || '.jsonl' AS file, row_number() OVER (PARTITION BY source, doc_id // 256 ORDER BY doc_id) AS place FROM documents)
+SELECT file, 2 * place - 1 AS line, CASE WHEN lang IN ('fr', 'es') THEN '' ELSE coalesce(source, '') END AS source, CASE WHEN lang = 'fr' THEN 'not valid JSON' WHEN lang = 'es' THEN 'not a JSON object' ELSE '' END AS problem
+FROM w""",
 )
 def catalog_lines(spark, sf):
     good = F.to_json(F.struct(F.col("source").alias("source"), F.col("text").alias("title")))
@@ -275,10 +286,18 @@ def catalog_lines(spark, sf):
         .when(F.col("lang") == "es", F.concat(F.lit("["), good, F.lit("]")))
         .otherwise(good)
     )
-    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("line"), value.alias("value"))
+    # Files of a source and 256 neighbouring ids, with a blank line after every entry, read in ranges that cut through lines.
+    folder = scratch_path(spark, "catalog-lines")
+    entry = F.struct("doc_id", value.alias("value"))
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 256), F.lit(".jsonl"))
+    files = table(spark, sf, "documents").groupBy(name.alias("path")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat(e["value"], F.lit("\n \n"))), "").alias("text")
+    )
+    write_files(files, folder)
+    lines = read_lines(spark, folder, 1 << 16).withColumn("file", F.element_at(F.split("file", "/"), -1))
     rows, problems = J.parse_catalog(lines, "source string, title string")
-    return rows.select("line", "source", F.lit("").alias("problem")).unionByName(
-        problems.select("line", F.lit("").alias("source"), "problem")
+    return rows.select("file", "line", F.coalesce("source", F.lit("")).alias("source"), F.lit("").alias("problem")).unionByName(
+        problems.select("file", "line", F.lit("").alias("source"), "problem")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidary import fixed
 from evidary.functions.text import code_array_map, col, inline, strings, text_or_empty
+from evidary.sources.filesource import RANGE, numbered_records, record_files
 
 _TEXT = "struct<_VALUE:string>"
 _ABSTRACT = "struct<AbstractText:array<struct<_VALUE:string,_Label:string>>>"
@@ -41,35 +42,15 @@ BOOK_SCHEMA = (
 _INLINE_MARKUP = r"</?(?:[a-z][^>]*|DispFormula[^>]*)>"
 
 
-def read_article_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records ``(file, position, kind, xml)`` of a folder of article sets (A1).
+def read_article_sets(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """Raw records ``(file, number, position, kind, xml)`` of article sets, books and journal articles side by side (A1).
 
-    Each text record ends at a journal record's closing tag, so a large file is read in
-    many pieces; the books that stand before that journal record come with it.  ``position`` orders the
-    records of a file as they stand in it: the split's place in the file, the piece, and the place in the piece.
+    A large file is read in many ranges, each of which finds its own records.  ``number`` orders the records of a
+    file as they stand in it, from 1; ``position`` is the byte at which one begins.
     """
-    chunks = (
-        spark.read.text(path, lineSep="</PubmedArticle>")
-        .select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_piece"), F.col("value"),
-        )
-        .withColumn("value", F.concat("value", F.lit("</PubmedArticle>")))
-    )
-    pattern = r"(?s)<(PubmedArticle|PubmedBookArticle)(?=[\s>]).*?</\1>"
-    return (
-        chunks.select(
-            "file", "_block", "_piece", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("_at", "xml")
-        )
-        .withColumn("position", F.struct(F.col("_block").alias("block"), F.col("_piece").alias("piece"), F.col("_at").alias("at")))
-        .withColumn(
-            "kind",
-            F.when(F.col("xml").startswith("<PubmedBookArticle"), F.lit("book")).otherwise(
-                F.lit("journal")
-            ),
-        )
-        .select("file", "position", "kind", "xml")
-    )
+    numbered = numbered_records(record_files(spark, path, "articles", range_bytes))
+    kind = F.when(F.col("record").startswith("<PubmedBookArticle"), F.lit("book")).otherwise(F.lit("journal"))
+    return numbered.select("file", F.col("line").alias("number"), "position", kind.alias("kind"), F.col("record").alias("xml"))
 
 
 def parse_articles(raw: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
