@@ -6,22 +6,63 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidary.session import durable
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], limit: int, spread: list[str], name: str = "rn") -> DataFrame:
-    """The first ``limit`` rows per key in ``order``, numbered from 1 in ``name``.
+#: Rows that a last window may order without a cut before it; tasks that first cut one key's rows.
+WINDOW_ROWS, MOST_SALTS = 1 << 16, 512
 
-    Spark cuts each partition's list before the shuffle only for small limits.  So the
-    rows of a key are first cut within salts of their identity (``spread``), as many as there are
-    shuffle partitions: a key's rows are ordered by as many tasks as there are, and the
-    last task orders ``limit`` rows of each of them.
+
+def _sorted_by(order: list[str]) -> list[Column]:
+    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+
+
+def _not_after(order: list[str], bound: str) -> Column:
+    """Whether a row stands at or before the values ``{bound}0``, ``{bound}1``, ... in ``order``, nulls being least."""
+    found = F.lit(True)
+    for k in reversed(range(len(order))):
+        down, name = order[k].startswith("-"), order[k].lstrip("-")
+        mine, other = F.col(name), F.col(f"{bound}{k}")
+        if down:
+            before = (mine > other) | (mine.isNotNull() & other.isNull())
+        else:
+            before = (mine < other) | (mine.isNull() & other.isNotNull())
+        found = F.coalesce(before, F.lit(False)) | (mine.eqNullSafe(other) & found)
+    return found
+
+
+def near_top(df: DataFrame, keys: list[str], order: list[str], limit: int, spread: list[str]) -> DataFrame:
+    """Rows of ``df`` that hold the first ``limit`` per key, and no more than about twice as many.
+
+    The rows of a key are cut to ``limit`` within salts of their identity.  Every so-many-th row of each salt then
+    makes a summary of the key; the first place in the merged summaries before which ``limit`` rows must lie is the
+    key's cut value, and what stands behind it goes.
     """
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    salts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_SALTS)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    first = Window.partitionBy(*keys, "_salt").orderBy(*_sorted_by(order))
     cut = salted.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit)
-    last = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        cut.drop("_salt", "_rn").withColumn(name, F.row_number().over(last)).filter(F.col(name) <= limit)
-    )
+    if limit * salts <= WINDOW_ROWS:
+        return cut.drop("_salt", "_rn")
+    step = -(-limit // salts)
+    merged = Window.partitionBy(*keys).orderBy(*_sorted_by(order))
+    seen = F.row_number().over(merged) * step
+    values = [F.col(c.lstrip("-")).alias(f"_c{k}") for k, c in enumerate(order)]
+    summary = cut.filter(F.col("_rn") % step == 0).withColumn("_seen", seen)
+    bound = summary.filter((F.col("_seen") >= limit) & (F.col("_seen") - step < limit)).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *values)
+    # A copy for each salt, so that the join needs no more of a key in one task than its salts are.
+    bound = bound.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_bounded", F.lit(True))
+    same = F.col("_salt") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    kept = cut.join(bound, same, "left").filter(F.col("_bounded").isNull() | _not_after(order, "_c"))
+    return kept.select(*df.columns)
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[str], limit: int, spread: list[str], name: str = "rn") -> DataFrame:
+    """The first ``limit`` rows per key in ``order`` (``-`` in front of a column: descending), numbered from 1 in ``name``.
+
+    However many rows a key has, the last task orders about twice ``limit`` of them (or ``WINDOW_ROWS``, for small limits).
+    """
+    last = Window.partitionBy(*keys).orderBy(*_sorted_by(order))
+    return near_top(df, keys, order, limit, spread).withColumn(name, F.row_number().over(last)).filter(F.col(name) <= limit)
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evidary import fixed
 from evidary.functions.scoring import relevance_parts, total_of
-from evidary.functions.text import jaccard, paper_tokens, text_or_empty, strip
+from evidary.functions.text import paper_tokens, text_or_empty, strip
 from evidary.operators.common import numbered, top_rows
 from evidary.session import durable
 
@@ -118,16 +118,16 @@ def mmr_order(
     ``scored`` needs ``pmid``, ``score`` and ``tokens``.  Exact at any size: candidates that
     can never be picked are dropped by their score, then rounds of (1) a cut of each group's best
     ``batch`` by their value as of now, (2) a bounded greedy walk per group that stops where an
-    unseen candidate might be better, and (3) one pass that brings every remaining candidate's greatest
-    similarity up to date with the picks of this round alone.  A group of at most ``batch``
-    candidates takes one round.
+    unseen candidate might be better, and (3) a join on tokens that brings the greatest similarity of
+    the remaining candidates up to date, which only picks with a token in common can change.  A group of at most
+    ``batch`` candidates takes one round.
     """
     name = group or "grp"
     rows = scored.select(
         (F.col(group) if group else F.lit("")).alias("grp"), "pmid", "score", "tokens"
     )
     best = top_rows(
-        rows.select("grp", "pmid", "score"), ["grp"], [F.desc("score"), "pmid"], limit, ["pmid"]
+        rows.select("grp", "pmid", "score"), ["grp"], ["-score", "pmid"], limit, ["pmid"]
     )
     if lambda_ >= 1.0:
         return best.select(F.col("grp").alias(name), "pmid", (F.col("rn") - 1).alias("pick"))
@@ -147,7 +147,7 @@ def mmr_order(
         # Only what orders the candidates goes through the windows; their tokens join after the cut.
         lead = top_rows(
             pool.select("grp", "pmid", "score", "closest", value.alias("value"), (F.col("want") - F.col("done")).alias("want"), "done"),
-            ["grp"], [F.desc("value"), F.desc("score"), "pmid"], batch + 1, ["pmid"],
+            ["grp"], ["-value", "-score", "pmid"], batch + 1, ["pmid"],
         ).withColumn("cut", F.max("rn").over(Window.partitionBy("grp")) > batch)
         fresh = durable(
             lead.join(pool.select("grp", "pmid", "tokens"), ["grp", "pmid"]).groupBy("grp").applyInPandas(
@@ -156,19 +156,29 @@ def mmr_order(
             )
         )
         picks = fresh if picks is None else picks.unionByName(fresh)
-        # What a round picks is at most ``batch`` rows a group.
-        chosen = fresh.groupBy("grp").agg(F.collect_list("tokens").alias("chosen"), F.count("*").cast("int").alias("more"))
-        nearest = F.aggregate("chosen", F.col("closest"), lambda m, t: F.greatest(m, jaccard("tokens", t)))
-        rest = (
-            pool.join(chosen, "grp")
-            .withColumn("done", F.col("done") + F.col("more"))
-            .filter(F.col("done") < F.col("want"))
-            .join(fresh.select("grp", "pmid"), ["grp", "pmid"], "left_anti")
-            .withColumn("closest", nearest)
+        # Groups that have all they want, or no candidate left, are done with.
+        more = fresh.groupBy("grp").agg(F.count("*").cast("int").alias("more"))
+        left = durable(
+            pool.join(more, "grp").withColumn("done", F.col("done") + F.col("more")).filter(F.col("done") < F.col("want"))
+            .join(fresh.select("grp", "pmid"), ["grp", "pmid"], "left_anti").select(*pool.columns)
         )
-        pool = durable(rest.select(*pool.columns))
-        if pool.isEmpty():
+        if left.isEmpty():
             return picks.select(F.col("grp").alias(name), "pmid", "pick")
+        pool = durable(_brought_up_to_date(left, fresh))
+
+
+def _brought_up_to_date(left: DataFrame, picked: DataFrame) -> DataFrame:
+    """``left`` with each candidate's greatest similarity to any pick.
+
+    Only a pick that shares a token can raise it, so the candidates that picks reach are found by their tokens: what
+    is counted are shared tokens of pairs that have some, and no group's picks are gathered.
+    """
+    held = picked.select("grp", F.col("pmid").alias("_pick"), F.size("tokens").alias("_m"), F.explode("tokens").alias("_t"))
+    wanted = left.select("grp", "pmid", F.size("tokens").alias("_n"), F.explode("tokens").alias("_t"))
+    shared = wanted.join(held, ["grp", "_t"]).groupBy("grp", "pmid", "_pick", "_n", "_m").agg(F.count("*").alias("_both"))
+    near = shared.groupBy("grp", "pmid").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_near"))
+    nearest = F.greatest("closest", F.coalesce("_near", F.lit(0.0)))
+    return left.join(near, ["grp", "pmid"], "left").withColumn("closest", nearest).select(*left.columns)
 
 
 # --- quota (H3) --------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evidary.operators.runlog import running_totals
+from evidary.operators.common import running_sums
 
 
 def bytes_per_run(checkpoints: DataFrame, writes: DataFrame) -> DataFrame:
@@ -30,16 +30,7 @@ def runs_to_drop(runs: DataFrame, keep: int, max_bytes: int = 0) -> DataFrame:
         counted = runs.join(ranked.select("run_id"), "run_id", "left_anti").select(
             "run_id", F.lit("count").alias("reason")
         )
-    # Ids open with a date, so their first eight characters are a bucket that grows with
-    # age once negated; ids of another shape share one bucket.
-    day = F.coalesce(-F.substring("run_id", 1, 8).try_cast("int"), F.lit(0))
-    ranked = running_totals(
-        ranked.withColumn("_all", F.lit(0)),
-        "_all",
-        [F.desc("run_id")],
-        day,
-        {"held": F.col("bytes"), "place": F.lit(1)},
-    )
+    ranked = running_sums(ranked, [F.desc("run_id")], {"held": F.col("bytes"), "place": F.lit(1)})
     over = (F.col("held") > max_bytes) & (F.col("place") > 1) if max_bytes > 0 else F.lit(False)
     reason = F.when(over, F.lit("size")).when(F.col("finished") & ~F.col("output_exists"), F.lit("orphan"))
     rest = ranked.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("run_id", "reason")
@@ -57,12 +48,6 @@ def files_to_trim(files: DataFrame, max_bytes: int) -> DataFrame:
     excess = total - max_bytes
     if excess <= 0:
         return files.limit(0)
-    summed = running_totals(
-        files.withColumn("_all", F.lit(0)),
-        "_all",
-        ["mtime", "bytes", "path"],
-        F.date_trunc("day", "mtime"),
-        {"gone": F.col("bytes")},
-    )
+    summed = running_sums(files, ["mtime", "bytes", "path"], {"gone": F.col("bytes")})
     # A file goes while what went before it does not suffice yet.
-    return summed.filter(F.col("gone") - F.col("bytes") < excess).drop("gone", "_all")
+    return summed.filter(F.col("gone") - F.col("bytes") < excess).drop("gone")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evidary import fixed
 from evidary.functions.labels import format_cost
 from evidary.functions.text import strings
+from evidary.operators.common import running_sums
 
 
 def _spend() -> list[Column]:
@@ -40,38 +41,12 @@ def cost_ledger(calls: DataFrame, *keys: str) -> DataFrame:
     return both.withColumn("display", format_cost("usd", "calls", "unpriced_calls"))
 
 
-def running_totals(
-    rows: DataFrame, key: str, order: list[str], bucket: Column, sums: dict[str, Column]
-) -> DataFrame:
-    """Running sums per key in ``order``, in two levels.
-
-    ``bucket`` must grow with ``order`` (an hour, a day).  Rows are windowed within their
-    ``(key, bucket)`` only, and each bucket's start comes from the few bucket totals before
-    it, so a key that holds a large share of all rows is not one task's work.
-    """
-    staged = rows.withColumn("_b", bucket)
-    for name, value in sums.items():
-        staged = staged.withColumn(f"_v_{name}", value)
-    totals = staged.groupBy(key, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        key, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums]
-    )
-    within = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = staged.join(starts, [key, "_b"])
-    for name in sums:
-        out = out.withColumn(name, F.col(f"_s_{name}") + F.sum(f"_v_{name}").over(within))
-    return out.drop("_b", *[f"_v_{n}" for n in sums], *[f"_s_{n}" for n in sums])
-
-
 def call_totals(calls: DataFrame) -> DataFrame:
     """Totals of each run as of each call: tokens, spend, calls, unpriced."""
     zero = F.lit(0)
-    return running_totals(
+    return running_sums(
         calls,
-        "run_id",
         ["at", "call_id"],
-        F.date_trunc("hour", "at"),
         {
             "total_prompt_tokens": F.col("prompt_tokens"),
             "total_completion_tokens": F.col("completion_tokens"),
@@ -79,6 +54,7 @@ def call_totals(calls: DataFrame) -> DataFrame:
             "total_calls": F.lit(1),
             "unpriced_calls": F.when(F.col("usd").isNull(), F.lit(1)).otherwise(zero),
         },
+        ["run_id"],
     )
 
 
