@@ -14,6 +14,7 @@ from evidary.functions.labels import canonical_system
 from evidary.operators import chunks as K, fulltext, interactions as I, quality as Q, rendering as B
 from evidary.session import durable, scratch_path
 from evidary.sinks import bundle
+from evidary.sinks.observed import written
 from evidary.sources import documents as D, landed_json as J
 from evidary.streaming import rounds
 from evidary.streaming.running import KeyedTable, run_to_end
@@ -323,11 +324,8 @@ def planted(spark, sf):
 _DOCS = "docs AS (SELECT source || '/' || doc_id || '.md' AS path, source, doc_id, lang, n_chars AS n FROM documents)"
 
 
-@query(
-    "document_rules",
-    "Q2 Q3 Q4 Q6",
-    f"""WITH {_DOCS}
-SELECT 'error' AS severity, path, 'title' AS rule, 'no title' AS message FROM docs WHERE lang = 'fr'
+_IDS = "ids AS (SELECT CAST(n % 400 AS VARCHAR) AS id, min(path) AS p, count(*) AS c FROM docs GROUP BY 1 HAVING count(*) > 1)"
+_DOCUMENT_RULES = """SELECT 'error' AS severity, path, 'title' AS rule, 'no title' AS message FROM docs WHERE lang = 'fr'
 UNION ALL SELECT 'error', path, 'domain', 'declares domain elsewhere but sits in ' || source FROM docs WHERE lang = 'de'
 UNION ALL SELECT 'error', path, 'topic key', 'carries a topic key' FROM docs WHERE n % 11 = 0
 UNION ALL SELECT 'warning', path, 'tags', 'no tags' FROM docs WHERE lang = 'es'
@@ -335,7 +333,23 @@ UNION ALL SELECT 'error', path, 'bare scalar', 'line ' || (3 - CAST(lang = 'fr'
 UNION ALL SELECT 'error', path, 'unknown section', 'Extra' FROM docs WHERE n % 5 = 0
 UNION ALL SELECT 'error', path, 'section order', 'Caveats, Bottom line, Abstract, Predictors reported, Null or non-significant findings, Vocabulary hints, Extra' FROM docs WHERE n % 5 = 0
 UNION ALL SELECT 'error', path, 'empty section', 'Vocabulary hints' FROM docs WHERE n % 3 = 0
-UNION ALL SELECT 'error', path, 'escape', 'contains \\u2265' FROM docs WHERE n % 3 <> 0""",
+UNION ALL SELECT 'error', path, 'escape', 'contains \\u2265' FROM docs WHERE n % 3 <> 0"""
+_CROSS_RULES = """SELECT 'error' AS severity, path, 'catalog' AS rule, 'has no row in the catalog' AS message FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'error', 'src0/none.md', 'catalog', 'is in the catalog but not in the bundle'
+UNION ALL SELECT 'error', path, 'link', 'link to ../gone/x.md does not resolve' FROM docs WHERE n % 5 <> 0
+UNION ALL SELECT 'error', path, 'link', 'link to ./index.md does not resolve' FROM docs WHERE n % 5 <> 0 AND source = 'src2'
+UNION ALL SELECT 'error', p, 'duplicate id', 'id ' || id || ' is used again' FROM ids
+UNION ALL SELECT 'error', 'src2/index.md', 'presence', 'no src2/index.md' UNION ALL SELECT 'error', 'empty/index.md', 'presence', 'no empty/index.md'
+UNION ALL SELECT 'warning', 'log.md', 'presence', 'no log.md' UNION ALL SELECT 'warning', 'search.md', 'presence', 'no search.md' UNION ALL SELECT 'warning', 'charter.yaml', 'presence', 'no charter.yaml'
+UNION ALL SELECT 'warning', 'resource_descriptor.yaml', 'presence', 'no resource_descriptor.yaml' UNION ALL SELECT 'warning', 'empty', 'empty topic', 'topic retained no papers'
+UNION ALL SELECT 'error', 'src0/log.md', 'reserved', 'log.md is reserved and cannot be a document'"""
+
+
+@query(
+    "document_rules",
+    "Q2 Q3 Q4 Q6",
+    f"""WITH {_DOCS}
+{_DOCUMENT_RULES}""",
 )
 def document_rules(spark, sf):
     docs = durable(planted(spark, sf))
@@ -347,19 +361,21 @@ def document_rules(spark, sf):
 @query(
     "cross_document_rules",
     "Q1 Q5 E15 E16 F18",
-    f"""WITH {_DOCS},
-ids AS (SELECT CAST(n % 400 AS VARCHAR) AS id, min(path) AS p, count(*) AS c FROM docs GROUP BY 1 HAVING count(*) > 1)
-SELECT 'error' AS severity, path, 'catalog' AS rule, 'has no row in the catalog' AS message FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'error', 'src0/none.md', 'catalog', 'is in the catalog but not in the bundle'
-UNION ALL SELECT 'error', path, 'link', 'link to ../gone/x.md does not resolve' FROM docs WHERE n % 5 <> 0
-UNION ALL SELECT 'error', path, 'link', 'link to ./index.md does not resolve' FROM docs WHERE n % 5 <> 0 AND source = 'src2'
-UNION ALL SELECT 'error', p, 'duplicate id', 'id ' || id || ' is used again' FROM ids
-UNION ALL SELECT 'error', 'src2/index.md', 'presence', 'no src2/index.md' UNION ALL SELECT 'error', 'empty/index.md', 'presence', 'no empty/index.md'
-UNION ALL SELECT 'warning', 'log.md', 'presence', 'no log.md' UNION ALL SELECT 'warning', 'search.md', 'presence', 'no search.md' UNION ALL SELECT 'warning', 'charter.yaml', 'presence', 'no charter.yaml'
-UNION ALL SELECT 'warning', 'resource_descriptor.yaml', 'presence', 'no resource_descriptor.yaml' UNION ALL SELECT 'warning', 'empty', 'empty topic', 'topic retained no papers'
-UNION ALL SELECT 'error', 'src0/log.md', 'reserved', 'log.md is reserved and cannot be a document'""",
+    f"""WITH {_DOCS}, {_IDS}
+{_CROSS_RULES}""",
 )
 def cross_document_rules(spark, sf):
+    docs, listed, files, topics = _bundle(spark, sf)
+    doubles = Q.duplicate_ids(docs).select(
+        *Q.finding("error", "duplicate id", F.col("first_path"), F.concat(F.lit("id "), "doc_id", F.lit(" is used again")))
+    )
+    return (
+        Q.reconcile_catalog(listed, docs).unionByName(Q.check_links(docs, files)).unionByName(doubles).unionByName(Q.check_presence(files, topics))
+    )
+
+
+def _bundle(spark, sf):
+    """The planted documents, their catalogue, the files there are and the topics there should be."""
     docs = durable(planted(spark, sf))
     listed = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file")
@@ -369,13 +385,23 @@ def cross_document_rules(spark, sf):
     pages = topics.filter("slug <> 'src2'").select(F.concat("slug", F.lit("/index.md")).alias("path"))
     extra = spark.createDataFrame([("index.md",), ("_catalog.jsonl",), ("src0/log.md",)], "path string")
     files = docs.select("path").unionByName(pages).unionByName(extra)
-    all_topics = topics.unionByName(spark.createDataFrame([("empty",)], "slug string"))
-    doubles = Q.duplicate_ids(docs).select(
-        *Q.finding("error", "duplicate id", F.col("first_path"), F.concat(F.lit("id "), "doc_id", F.lit(" is used again")))
-    )
-    return (
-        Q.reconcile_catalog(listed, docs).unionByName(Q.check_links(docs, files)).unionByName(doubles).unionByName(Q.check_presence(files, all_topics))
-    )
+    return docs, listed, files, topics.unionByName(spark.createDataFrame([("empty",)], "slug string"))
+
+
+@query(
+    "bundle_findings",
+    "Q1 Q2 Q3 Q4 Q5 Q6",
+    f"""WITH {_DOCS}, {_IDS}
+{_DOCUMENT_RULES}
+UNION ALL {_CROSS_RULES}
+UNION ALL SELECT 'error', path || ' (entry)', 'escape', 'contains \\u00e9' FROM docs WHERE n % 4 = 0""",
+)
+def bundle_findings(spark, sf):
+    """Every rule over one bundle as one table of findings, the catalogue's entries decoded first."""
+    docs, listed, files, topics = _bundle(spark, sf)
+    title = F.when(F.col("n_chars") % 4 == 0, F.lit("caf\\u00e9")).otherwise(F.lit("café"))
+    entry = F.to_json(F.struct(F.col("filename").alias("id"), title.alias("title")))
+    return Q.validate(docs, listed, files, topics, docs.select(F.concat("path", F.lit(" (entry)")).alias("path"), entry.alias("value")))
 
 
 @query(
@@ -422,6 +448,23 @@ def chunk_rows(spark, sf):
     )
 
 
+@query(
+    "chunk_metadata",
+    "Q8",
+    with_roles(
+        "SELECT (SELECT count(*) FROM order_papers) + (SELECT count(*) FROM findings f LEFT JOIN interactions i ON i.pmid = f.pmid AND i.row = f.row) AS chunks, 0 AS with_null, 0 AS concept_with_row_level",
+        "order_papers",
+        "findings",
+        "interactions",
+    ),
+)
+def chunk_metadata(spark, sf):
+    """What the chunks' metadata lacks, counted as the chunks are written."""
+    made = K.chunk_documents(parsed(spark, sf), limit=100_000)
+    counted = written(made, scratch_path(spark, "chunks"), Q.metadata_counters(made))
+    return spark.createDataFrame([tuple(counted.values())], ", ".join(f"{name} long" for name in counted))
+
+
 def text_chunks(spark, sf):
     """Whole documents as concept chunks: the first line leads, every line is a block."""
     lines = F.split("text", "\n")

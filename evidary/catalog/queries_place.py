@@ -12,7 +12,7 @@ from evidary.functions import text as T
 from evidary.functions.labels import borderline
 from evidary.operators import placement as P, queryplan, ranking, reports
 from evidary.operators.common import numbered
-from evidary.session import durable
+from evidary.session import durable, scratch_path
 
 
 def papers(spark, sf):
@@ -291,4 +291,28 @@ def readings_to_make(spark, sf):
     return queryplan.readings_to_make(wanted.drop("doc_id"), held)
 
 
+@query(
+    "readings_kept",
+    "E19",
+    """WITH w AS (SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS pmid, substr(sha256(concat(text, chr(0))), 1, 16) AS fingerprint, n_chars, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT pmid, fingerprint, coalesce(quality = 1, FALSE) OR (n_chars % 9 <> 0 AND n_chars % 5 <> 0) AS reused FROM w""",
+)
+def readings_kept(spark, sf):
+    """Readings cached by one run, what it lacked read and appended, and what the next run reuses: not what came back blank or failed."""
+    from evidary.functions.labels import fingerprint
+
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("pmid"), fingerprint("text").alias("fingerprint"), "n_chars")
+    wanted = docs.select("pmid", "fingerprint", "n_chars")
+    cache = scratch_path(spark, "readings")
+    first = docs.join(table(spark, sf, "labels"), "doc_id").select("pmid", "fingerprint", (F.col("quality") == 0).alias("blank"), F.lit(False).alias("failed"))
+    queryplan.append_readings(first, cache)
+    made = queryplan.readings_to_make(wanted, spark.read.parquet(cache))
+    read = made.select("pmid", "fingerprint", (F.col("n_chars") % 9 == 0).alias("blank"), (F.col("n_chars") % 5 == 0).alias("failed"))
+    queryplan.append_readings(durable(read), cache)
+    kept = spark.read.parquet(cache)
+    reused = queryplan.readings_reused(wanted, kept).select("pmid", "fingerprint", F.lit(True).alias("reused")).distinct()
+    again = queryplan.readings_to_make(wanted, kept).select("pmid", "fingerprint", F.lit(False).alias("reused"))
+    return reused.unionByName(again)
+
+
 __all__ = ["assigned", "borderline", "decided", "offered", "papers"]

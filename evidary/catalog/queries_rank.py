@@ -322,6 +322,16 @@ def basis_policy(spark, sf):
     )
 
 
+@query(
+    "non_research",
+    "I4",
+    """SELECT CAST(p_partkey AS VARCHAR) AS pmid, p_type = 'PROMO' AS not_research, CASE WHEN p_type = 'PROMO' THEN 'Editorial' ELSE 'Journal Article' END AS type FROM part""",
+)
+def non_research(spark, sf):
+    records = roles.part_records(spark, sf)
+    return records.select("pmid", merge.types_overlap("publication_types").alias("not_research"), F.get("publication_types", F.lit(0)).alias("type"))
+
+
 @query(
     "screening_queue",
     "E5 H4",

@@ -516,6 +516,25 @@ def body_lengths(spark, sf):
     )
 
 
+@query(
+    "overrun_totals",
+    "F17",
+    with_roles(
+        f"""
+WITH f AS (SELECT pmid, sum({_WORDS("predictor")} * 2 + {_WORDS("operationalization")} + {_WORDS("timing")} * 2 + {_WORDS("outcome")} * 2
+             + {_WORDS("effect_raw")} + {_WORDS("quote")} + d * ({_WORDS("predictor")} + {_WORDS("effect_raw")})) AS cells FROM findings GROUP BY pmid),
+p AS (SELECT o.pmid, {_WORDS("bottom_line")} + {_WORDS("population")} + {_WORDS("outcome_definition")} + {_WORDS("coalesce(x.text, '')")} AS prose
+      FROM order_papers o LEFT JOIN documents x ON o.pmid = CAST(x.doc_id AS VARCHAR))
+SELECT count(*) FILTER (cells + prose > {fixed.MAX_BODY_WORDS}) AS overruns, CAST(coalesce(max(cells + prose) FILTER (cells + prose > {fixed.MAX_BODY_WORDS}), -1) AS BIGINT) AS largest FROM f JOIN p USING (pmid)""",
+        "findings",
+        "order_papers",
+    ),
+)
+def overrun_totals(spark, sf):
+    found = budgets.overrun_summary(budgets.body_words(readings(spark, sf)))
+    return found.select("overruns", F.coalesce(F.col("largest").cast("long"), F.lit(-1).cast("long")).alias("largest"))
+
+
 @query(
     "length_budgets",
     "C45",

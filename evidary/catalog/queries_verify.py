@@ -12,7 +12,7 @@ from evidary.catalog.roles_sql import with_roles
 from evidary.functions import scoring as S, text as T
 from evidary.operators import budgets, containment, interactions as I, strength, verification as V
 from evidary.plans import reconcile as R
-from evidary.session import durable
+from evidary.session import durable, scratch_path
 
 # --- quotes in documents -----------------------------------------------------------
 
@@ -252,7 +252,7 @@ def verification_summary(spark, sf):
     rows, features, done, named, codes = _everything(spark, sf)
     nulls = V.check_null_findings(roles.null_findings(rows), features)
     sizes = V.check_sample_size(roles.order_papers(spark, sf), features)
-    return V.verification_summary(done, sizes, nulls, named, codes)
+    return V.written_summary(scratch_path(spark, "checked"), done, sizes, nulls, named, codes)
 
 
 @query(

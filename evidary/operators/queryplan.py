@@ -60,4 +60,13 @@ def readings_to_make(requests: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def readings_reused(requests: DataFrame, readings: DataFrame) -> DataFrame:
+    """Requests that a usable cached reading answers, with it."""
     return requests.join(readings.filter(~F.col("blank")), ["pmid", "fingerprint"])
+
+
+def append_readings(made: DataFrame, path: str) -> None:
+    """Keep what was read (E19): readings are added, none is changed, and failed ones are not kept.
+
+    ``made`` is ``(pmid, fingerprint, blank, failed)``; a paper read twice keeps both, of which any usable one counts.
+    """
+    made.filter(~F.coalesce("failed", F.lit(False))).drop("failed").write.mode("append").parquet(path)
