@@ -13,8 +13,8 @@ texts are a table with their training counts, 0 for those of held-out texts only
 decision its estimate and all below it are one half, so what a place needs is in the rows of its own gram's contexts.
 Tasks that hold whole groups of grams with the same last ``SPLIT`` bytes weigh the contexts longer than that; the shorter
 ones are one aggregate for each depth on the way up and one join on the parent context on the way down.  Grams that
-hold at least ``2^-FREQUENT`` of all places (at most ``2^FREQUENT`` of them) are looked up in a broadcast table first, and
-the join has the rarer ones.
+hold at least ``2^-FREQUENT`` of all places (at most ``2^FREQUENT`` of them, 12 bytes each) are looked up in a broadcast table
+first, and the join has the rarer ones.
 
 The unigram baseline beside it needs the count of every training word.  Counts are joined to the documents' words
 by the words' 64-bit hashes; words that hold at least ``2^-COMMON`` of all tokens, at most 2^COMMON of them, are
@@ -26,7 +26,6 @@ every decision costs one bit.  Rows with a null id are scored, not learned from;
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +37,14 @@ from pyspark.sql.types import DoubleType
 
 from evidary.llm.common import durable, hashed_words, segments, stored
 
-DEPTH, SHARE, COMMON = 5, 16, 16
+DEPTH, COMMON = 5, 16
 #: Bytes of context that the grams of a task share; grams of 2^-FREQUENT of all places are broadcast.
-SPLIT, FREQUENT = 3, 20
+SPLIT, FREQUENT = 3, 23
 #: Grams that a task weighs at once, about.
 GRAMS = 1 << 18
 EDGE = 0xFF
-#: A step of the code lengths that are broadcast (decimal logarithm); the longest is 65,535 steps.
-STEP = 1 / 2048
-#: Bytes whose contexts a task counts at once.
-BLOCK = 1 << 21
+#: Bytes whose contexts a task counts or scores at once, rows it takes from a batch at once, and keys it holds before it hands them on.
+BLOCK, ROWS, HELD = 1 << 19, 512, 1 << 19
 #: The end token's key; no word hashes to it by the rule that words have letters.
 END_TOKEN = 0
 
@@ -108,26 +105,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[kind] = []
 
     size = 0
-    for batch in batches:
-        learned = np.asarray(batch.column(1))
-        texts = batch.filter(batch.column(1)).column(0).to_pylist()
-        for kind, some in ((0, texts), (2, batch.filter(pa.array(~learned)).column(0).to_pylist())):
-            for _, _, data, _, coded in _framed(some):
-                keys, n = np.unique(_grams(data, coded).view(np.int64), return_counts=True)
-                held[kind].append((keys, n))
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            learned = np.asarray(batch.column(1))
+            texts = batch.filter(batch.column(1)).column(0).to_pylist()
+            for kind, some in ((0, texts), (2, batch.filter(pa.array(~learned)).column(0).to_pylist())):
+                for _, _, data, _, coded in _framed(some):
+                    keys, n = np.unique(_grams(data, coded).view(np.int64), return_counts=True)
+                    held[kind].append((keys, n))
+                    size += len(keys)
+            for _, _, pieces in segments(texts, limit=BLOCK, words=True):
+                _, words = _lower_words(np.frombuffer(b"\n".join(p for _, p in pieces), np.uint8))
+                keys, n = np.unique(words, return_counts=True)
+                held[1].append((keys, n))
                 size += len(keys)
-        for _, _, pieces in segments(texts, words=True):
-            _, words = _lower_words(np.frombuffer(b"\n".join(p for _, p in pieces), np.uint8))
-            keys, n = np.unique(words, return_counts=True)
-            held[1].append((keys, n))
-            size += len(keys)
-        held[1].append((np.array([END_TOKEN], np.int64), np.array([len(texts)], np.int64)))
-        if size > 1 << 22:
-            held = {kind: [merged(kind)] for kind in held if held[kind]} | {kind: [] for kind in held if not held[kind]}
-            size = sum(len(k[0]) for some in held.values() for k in some)
-            if size > 1 << 21:
-                yield from flush()
-                size = 0
+            held[1].append((np.array([END_TOKEN], np.int64), np.array([len(texts)], np.int64)))
+            if size > HELD:
+                held = {kind: [merged(kind)] if some else [] for kind, some in held.items()}
+                size = sum(len(k) for some in held.values() for k, _ in some)
+                if size > HELD // 2:
+                    yield from flush()
+                    size = 0
     yield from flush()
 
 
@@ -157,94 +156,8 @@ def _mask(depth: int) -> int:
     return (1 << 8 * depth) - 1
 
 
-def kept_counts(grams: DataFrame, total: int, depth: int = DEPTH, share: int = SHARE) -> DataFrame:
-    """(depth, context, byte, n) of the contexts that hold their share of all ``total`` training bytes.
-
-    With ``weigh`` a small tree on one machine, which the tests compare with the recursion; no query uses it.
-    """
-    each = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("key", 8).bitwiseAND(F.lit(_mask(d))).alias("context")) for d in range(1, depth + 1)])
-    spread = grams.select(F.explode(each).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n").select("c.depth", "c.context", "byte", "n")
-    sizes = spread.groupBy("depth", "context").agg(F.sum("n").alias("size")).where(F.col("size") * (1 << share) >= F.lit(total))
-    kept = durable(sizes.select("depth", "context"))  # at most 2^share rows for each depth
-    root = grams.select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n")
-    rows = spread.join(F.broadcast(kept), ["depth", "context"]).unionByName(root)
-    return rows.groupBy("depth", "context", "byte").agg(F.sum("n").alias("n"))
-
-
-def _decide(zeros: np.ndarray, ones: np.ndarray, rest_zeros: np.ndarray, rest_ones: np.ndarray, deep: np.ndarray, parent: np.ndarray, most: int) -> np.ndarray:
-    """The probability of a one at some decisions (columns) for places that end at each context (rows).
-
-    A context's children are the contexts one byte longer that are kept, and one more for the rest of its places.
-    """
-    leaf = (deep == most)[:, None]
-    own = _log_kt(zeros, ones)
-    below = np.where(leaf, own, _log_kt(rest_zeros, rest_ones))
-    mixed = own.copy()
-    for d in range(most - 1, -1, -1):
-        at, down = np.flatnonzero(deep == d), np.flatnonzero(deep == d + 1)
-        np.add.at(below, parent[down], mixed[down])
-        mixed[at] = np.logaddexp(own[at], below[at]) - np.log(2)
-    stop = np.where(leaf, 1.0, np.exp(own - np.log(2) - mixed))
-    one, one_rest = (ones + 0.5) / (zeros + ones + 1), (rest_ones + 0.5) / (rest_zeros + rest_ones + 1)
-    said, left = stop * one, 1 - stop
-    for d in range(1, most + 1):
-        at = np.flatnonzero(deep == d)
-        said[at] = said[parent[at]] + left[parent[at]] * said[at]
-        left[at] *= left[parent[at]]
-    return np.clip(said + left * one_rest, 1e-12, 1 - 1e-12)
-
-
-def weigh(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, most: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The tree's tables from the counts of its contexts: for each context the contexts one byte longer (-1: none), and
-    log10 of the probability of each byte for places that end there.  The root is the first."""
-    node = np.unique(np.stack([np.append(depth, 0), np.append(context, 0)], axis=1).astype(np.int64), axis=0)
-    size = len(node)
-    name = {(d, c): k for k, (d, c) in enumerate(map(tuple, node.tolist()))}
-    parent = np.array([0 if d == 0 else name[d - 1, c & _mask(d - 1)] for d, c in node.tolist()])
-    older = np.array([0 if d == 0 else c >> 8 * (d - 1) for d, c in node.tolist()])
-    child = np.full((size, 256), -1, np.int32)
-    child[parent[1:], older[1:]] = np.arange(1, size)
-    counts = np.zeros((size, 256))
-    counts[[name[d, c] for d, c in zip(depth.tolist(), context.tolist())], byte] += n
-    rest = counts.copy()
-    np.subtract.at(rest, parent[1:], counts[1:])
-    code = np.zeros((size, 1))
-    for level in range(8):
-        sums = [x.reshape(size, 2 << level, -1).sum(axis=2) for x in (counts, rest)]
-        p = np.empty((size, 1 << level))
-        for at in range(0, 1 << level, 16):  # the decisions are trees of their own
-            zero, one = slice(2 * at, 2 * at + 32, 2), slice(2 * at + 1, 2 * at + 32, 2)
-            p[:, at : at + 16] = _decide(sums[0][:, zero], sums[0][:, one], sums[1][:, zero], sums[1][:, one], node[:, 0], parent, most)
-        code = np.stack([code + np.log10(1 - p), code + np.log10(p)], axis=2).reshape(size, -1)
-    return child, code.astype(np.float32)
-
-
-def _packed(child: np.ndarray, code: np.ndarray) -> tuple[bytes, bytes]:
-    """The tables for transport: code lengths in whole steps, rounded up, so that probabilities never sum to more than one."""
-    steps = np.minimum(np.ceil(-code.astype(np.float64) / STEP), 65535).astype(np.uint16)
-    return zlib.compress(child.tobytes(), 1), zlib.compress(steps.tobytes(), 1)
-
-
-def _unpacked(child: bytes, code: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.frombuffer(zlib.decompress(code), np.uint16).reshape(-1, 256)
-    return np.frombuffer(zlib.decompress(child), np.int32).reshape(-1, 256), steps * np.float32(-STEP)
-
-
-def code_lengths(data: np.ndarray, coded: np.ndarray, child: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each coded byte."""
-    at = np.flatnonzero(coded)
-    where = np.zeros(len(at), np.int32)
-    live = np.ones(len(at), bool)
-    flat = child.ravel()
-    for k in range(1, DEPTH + 1):
-        next_ = flat[where.astype(np.int64) * 256 + data[at - k]]
-        live &= next_ >= 0
-        where = np.where(live, next_, where)
-    return code.ravel()[where.astype(np.int64) * 256 + data[at]]
-
-
 def _level(key: np.ndarray, n: np.ndarray, level: int) -> tuple[list, list]:
-    """The contexts of some grams' decisions at one level of the byte, whole groups of ``SPLIT`` bytes at once.
+    """The contexts of some sorted grams' decisions at one level of the byte, whole groups of ``SPLIT`` bytes at once.
 
     From ``DEPTH`` bytes of context down to ``SPLIT``: (id, zeros, ones, log Pe, log Pw) with id = context, then the decision's
     higher bits; and for each of them, where the row (first a gram, then a context one byte longer) stands among them.
@@ -255,8 +168,12 @@ def _level(key: np.ndarray, n: np.ndarray, level: int) -> tuple[list, list]:
     sums = [n * ~one, n * one, np.zeros(len(key))]
     found, places = [], []
     for d in range(DEPTH, SPLIT - 1, -1):
-        ids = (ids >> level & _mask(d)) << level | (ids & high)
-        ids, place = np.unique(ids, return_inverse=True)
+        if d == DEPTH:  # the rows of a longest context stand together
+            first = np.ones(len(ids), bool)
+            first[1:] = ids[1:] != ids[:-1]
+            ids, place = ids[first], np.cumsum(first) - 1
+        else:
+            ids, place = np.unique((ids >> level & _mask(d)) << level | (ids & high), return_inverse=True)
         zeros, ones, below = (np.bincount(place, weights=x, minlength=len(ids)) for x in sums)
         own = _log_kt(zeros, ones)
         mixed = own if d == DEPTH else np.logaddexp(own, below) - np.log(2)
@@ -293,8 +210,11 @@ NODES = "context long, node int, zeros double, ones double, own double, mixed do
 def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The decisions of the contexts of ``SPLIT`` bytes."""
     for rows in _grouped(batches):
+        key, n = np.asarray(rows["key"]), np.asarray(rows["n"], np.float64)
+        by = np.argsort(key)
+        key, n = key[by], n[by]
         for level in range(8):
-            ids, zeros, ones, own, mixed = _level(np.asarray(rows["key"]), np.asarray(rows["n"], np.float64), level)[0][-1]
+            ids, zeros, ones, own, mixed = _level(key, n, level)[0][-1]
             node = ((1 << level) | (ids & ((1 << level) - 1))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids >> level, node, zeros, ones, own, mixed)], names=[c.split()[0] for c in NODES.split(", ")])
 
@@ -304,7 +224,9 @@ def _down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ``SPLIT`` bytes (``key`` is the decision): what the mixture says of a one so far, and the share that is left."""
     for rows in _grouped(batches):
         gram = np.asarray(rows["n"].is_valid())
-        key, n = (np.asarray(rows[c].filter(pa.array(gram))) for c in ("key", "n"))
+        key, n, seen = (np.asarray(rows[c].filter(pa.array(gram))) for c in ("key", "n", "seen"))
+        by = np.argsort(key)
+        key, n, seen = key[by], n[by], seen[by]
         path = [np.asarray(rows[c].filter(pa.array(~gram))) for c in ("near", "key", "said", "rest")]
         code = np.zeros(len(key))
         for level in range(8):
@@ -321,7 +243,7 @@ def _down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = left * (1 - stop)
             p = np.clip(said[places[0]], 1e-12, 1 - 1e-12)
             code += np.log10(np.where(key >> (7 - level) & 1 == 1, p, 1 - p))
-        yield pa.RecordBatch.from_arrays([pa.array(key), rows["seen"].filter(pa.array(gram)).combine_chunks(), pa.array(code)], names=["key", "seen", "code"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seen), pa.array(code)], names=["key", "seen", "code"])
 
 
 @pandas_udf(DoubleType())
@@ -365,7 +287,7 @@ def _score(model: tuple):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, codes, common, logs, ends = model.value
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = batch.column("text").to_pylist()
             n = len(texts)
             total = np.zeros(n)
@@ -426,7 +348,7 @@ def language_model(texts: DataFrame) -> tuple[tuple, DataFrame, int, int]:
     codes = byte_codes(grams)
     places = int(codes.agg(F.sum("seen").alias("n")).first()["n"] or 0)
     frequent = F.col("seen") * (1 << FREQUENT) >= F.lit(places)
-    first = codes.where(frequent).select("key", "code").toArrow()  # at most 2^FREQUENT
+    first = codes.where(frequent).select("key", F.col("code").cast("float").alias("code")).toArrow()  # at most 2^FREQUENT
     by = np.argsort(first["key"].to_numpy())
     top_grams, top_codes = (first[c].to_numpy()[by] for c in ("key", "code"))
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.expr(f"IF(key = {END_TOKEN}, n, 0)")).alias("ends")).first()

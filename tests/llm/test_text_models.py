@@ -216,26 +216,6 @@ def _slow_code(tree, depth, history, byte):
     return total
 
 
-def test_context_tree_equals_the_recursion(spark, monkeypatch):
-    monkeypatch.setattr(ctw, "SHARE", 5)
-    texts = [b"abracadabra", b"abab abba", "ära".encode(), b""]
-    rows = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
-    grams = ctw.corpus_counts(rows).where("kind = 0")
-    tree, total = _slow_tree(texts, ctw.DEPTH, 1 << 5)
-    got = ctw.kept_counts(grams, total, share=5).toPandas()
-    assert len(got) == sum(len(c) for c in tree.values())
-    child, code = ctw.weigh(*(got[c].to_numpy(np.int64) for c in ("depth", "context", "byte", "n")))
-    assert np.allclose((10.0 ** code.astype(float)).sum(axis=1), 1, atol=1e-5)
-    steps = ctw._unpacked(*ctw._packed(child, code))
-    assert (steps[0] == child).all() and (steps[1] <= code + 1e-6).all() and (steps[1] >= code - ctw.STEP - 1e-6).all()
-    scored = b"abrac"
-    for _, _, data, _, coded in ctw._framed([scored]):
-        fast = ctw.code_lengths(data, coded, child, code)
-    data = [ctw.EDGE] * ctw.DEPTH + list(scored) + [ctw.EDGE]
-    slow = [_slow_code(tree, ctw.DEPTH, data[:at], data[at]) for at in range(ctw.DEPTH, len(data))]
-    assert np.allclose(fast, slow, atol=1e-5)
-
-
 def test_unigram_baseline_equals_plain_counts(spark, corpus, nothing):
     out = common.held_out(F.col("doc_id"), 7, 2)
     got = ctw.score_all(corpus, out).collect()
@@ -253,7 +233,7 @@ def test_unigram_baseline_equals_plain_counts(spark, corpus, nothing):
     assert all(r["score"] < 0 for r in got)
     assert ctw.score_all(nothing, out).collect() == []
     untrained = ctw.score_all(corpus.where("doc_id = 101"), F.lit(True)).collect()
-    assert [r["base_score"] for r in untrained] == [0.0] and abs(untrained[0]["score"] - 8 * math.log10(0.5)) <= ctw.STEP
+    assert [r["base_score"] for r in untrained] == [0.0] and abs(untrained[0]["score"] - 8 * math.log10(0.5)) <= 1e-6
 
 
 def test_mixing_meets_targets_by_plain_arithmetic(spark, corpus, labels, nothing):
@@ -355,11 +335,7 @@ def test_quality_tells_texts_by_their_words(spark):
 
 
 def test_no_task_or_driver_sees_the_whole_tree(spark, monkeypatch):
-    def refused(*_):
-        raise AssertionError("the tree on one machine")
-
-    monkeypatch.setattr(ctw, "weigh", refused)
     monkeypatch.setattr(ctw, "FREQUENT", 0, raising=False)  # only a gram of all places would be broadcast
     docs = spark.createDataFrame([(1, "abracadabra"), (2, "abab abba")], "doc_id long, text string")
     grams = ctw.language_model(docs.select(F.col("text").cast("binary").alias("text"), F.lit(True).alias("learned")))[0][0]
-    assert len(grams) == 0 and not hasattr(ctw, "_fit")
+    assert len(grams) == 0 and not hasattr(ctw, "_fit") and not hasattr(ctw, "weigh")
