@@ -110,11 +110,12 @@ def cluster_phrases(df: DataFrame, text: str, ord: str, scope: list[str] = ()) -
     decided = durable(
         hosts.join(edges.select(*scope, "seed"), [*scope, "seed"], "left_anti").withColumn("accepted", F.lit(True))
     )
-    open_edges = edges
-    while not open_edges.isEmpty():
+    # Decisions are appended: a round writes what it decides and rewrites nothing.
+    while True:
         known = decided.withColumnRenamed("seed", "host")
-        fresh = (
-            open_edges.join(known, [*scope, "host"], "left")
+        fresh = durable(
+            edges.join(decided.select(*scope, "seed"), [*scope, "seed"], "left_anti")
+            .join(known, [*scope, "host"], "left")
             .groupBy(*scope, "seed")
             .agg(
                 F.bool_or(F.coalesce("accepted", F.lit(False))).alias("taken"),
@@ -123,9 +124,9 @@ def cluster_phrases(df: DataFrame, text: str, ord: str, scope: list[str] = ()) -
             .filter("taken or settled")
             .select(*scope, "seed", (~F.col("taken")).alias("accepted"))
         )
-        fresh = durable(fresh)
-        decided = durable(decided.unionByName(fresh))
-        open_edges = durable(open_edges.join(fresh, [*scope, "seed"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        decided = decided.unionByName(fresh)
     accepted_hosts = decided.filter("accepted").select(*scope, F.col("seed").alias("host"))
     taken_in = (
         edges.join(accepted_hosts, [*scope, "host"])
