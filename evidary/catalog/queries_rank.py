@@ -255,7 +255,53 @@ def selection_comparison(spark, sf):
     return ranking.selection_by_topic(ranking.compare_selections(pure, spread))
 
 
-@query("diversified_pool", "H2 H3 I1 F4 U6")
+# The greedy order of every topic, one pick a step: the rest carry their greatest similarity to what is picked.
+_LAMBDA = f"CAST({fixed.DEFAULT_LAMBDA} AS DOUBLE)"
+_BEST = "row_number() OVER (PARTITION BY topic ORDER BY {l} * score - (1.0::DOUBLE - {l}) * {c} DESC, score DESC, pmid)".replace("{l}", _LAMBDA)
+
+
+def _recursive(sql: str) -> str:
+    """Spell out that one of the tables refers to itself."""
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+# Titles folded before scoring, then a walk within each topic, a walk over what is left, and the cut.
+_TOKENS = q.tokens("title || ' ' || array_to_string(mesh_terms, ' ') || ' ' || array_to_string(keywords, ' ')")
+
+
+def _walk(name: str, source: str, picks: str) -> str:
+    """A greedy walk over the groups of ``source``, one pick a step, as a recursive table."""
+    best = _BEST.replace("PARTITION BY topic", "PARTITION BY grp")
+    return f"""{name} AS (
+  SELECT grp, pmid, topic, score, tokens, CAST(0 AS DOUBLE) AS closest, {best.replace("{c}", "CAST(0 AS DOUBLE)")} AS rn, 0 AS pick FROM {source}
+  UNION ALL
+  SELECT grp, pmid, topic, score, tokens, closest, {best.replace("{c}", "closest")} AS rn, pick + 1 AS pick
+  FROM (SELECT w.grp, w.pmid, w.topic, w.score, w.tokens, greatest(w.closest, {q.jaccard("w.tokens", "b.tokens")}) AS closest, w.pick
+        FROM {name} w JOIN {name} b ON b.grp = w.grp AND b.rn = 1 WHERE w.rn > 1 AND w.pick + 1 < ({picks})))"""
+
+
+_FLAGSHIP = f"""
+WITH RECURSIVE part_hits AS (SELECT r.*, coalesce(h.found_by, CAST([] AS VARCHAR[])) AS found_by, coalesce(h.best_rank, 0) AS best_rank FROM part_records r LEFT JOIN merged_hits h USING (pmid)),
+{_TITLES.replace("document_papers", "part_hits").replace("WITH ", "", 1)},
+told_terms AS (SELECT k, list(term ORDER BY o) AS found_by FROM terms GROUP BY k),
+uniques AS (SELECT r.* EXCLUDE (found_by, best_rank), coalesce(l.found_by, CAST([] AS VARCHAR[])) AS found_by, m.best_rank FROM merged m JOIN part_hits r USING (pmid) LEFT JOIN told_terms l USING (k)),
+part_candidates AS (SELECT u.*, m.pmid IS NOT NULL AS metrics_known, coalesce(m.citation_count, 0) AS citation_count, m.relative_citation_ratio AS rcr,
+  coalesce(m.is_research_article, TRUE) AS is_research_article FROM uniques u LEFT JOIN metrics m USING (pmid)),
+{_SCORED.replace("WITH ", "", 1)},
+told AS (SELECT topic AS grp, pmid, topic, CAST(round(score, 9) AS DOUBLE) AS score, {_TOKENS} AS tokens FROM scored),
+{_walk("walk", "told", f"SELECT greatest(1, ceil({POOL_SIZE} / count(DISTINCT topic))) FROM told")},
+quota AS (SELECT pmid FROM walk WHERE rn = 1),
+others AS (SELECT '' AS grp, * EXCLUDE (grp) FROM told WHERE pmid NOT IN (SELECT pmid FROM quota)),
+{_walk("more", "others", f"SELECT {POOL_SIZE} - count(*) FROM quota")},
+pool AS (SELECT pmid, topic FROM told WHERE pmid IN (SELECT pmid FROM quota)
+   OR ((SELECT {POOL_SIZE} - count(*) FROM quota) > 0 AND pmid IN (SELECT pmid FROM more WHERE rn = 1)) ORDER BY score DESC, pmid LIMIT {POOL_SIZE}),
+pure AS (SELECT pmid, topic FROM told ORDER BY score DESC, pmid LIMIT {POOL_SIZE}),
+both_ AS (SELECT coalesce(p.topic, d.topic) AS topic, p.pmid AS a, d.pmid AS b FROM pure p FULL JOIN pool d ON p.pmid = d.pmid)
+SELECT CASE WHEN topic = '' THEN '(unassigned)' ELSE topic END AS topic, count(a) AS pure, count(b) AS diversified,
+  count(*) FILTER (a IS NULL) AS added, count(*) FILTER (b IS NULL) AS dropped, count(b) > count(a) AS helped FROM both_ GROUP BY topic"""
+
+
+@query("diversified_pool", "H2 H3 I1 F4 U6", with_roles(_FLAGSHIP, "part_records", "merged_hits", "metrics", "plan"))
 def diversified_pool(spark, sf):
     """The flagship: hits and records to a diversified pool, compared with the pure one by topic."""
     return dry_run.dry_run(
@@ -268,16 +314,6 @@ def diversified_pool(spark, sf):
     ).comparison
 
 
-# The greedy order of every topic, one pick a step: the rest carry their greatest similarity to what is picked.
-_LAMBDA = f"CAST({fixed.DEFAULT_LAMBDA} AS DOUBLE)"
-_BEST = "row_number() OVER (PARTITION BY topic ORDER BY {l} * score - (1.0::DOUBLE - {l}) * {c} DESC, score DESC, pmid)".replace("{l}", _LAMBDA)
-
-
-def _recursive(sql: str) -> str:
-    """Spell out that one of the tables refers to itself."""
-    return sql.replace("WITH", "WITH RECURSIVE", 1)
-
-
 @query(
     "diversified_order",
     "H2 U6",
