@@ -175,22 +175,22 @@ def surface_key(value: Column | str) -> Column:
 
 def number_set(value: Column | str) -> Column:
     """The distinct numbers a phrase carries, sorted and joined (C14)."""
-    found = F.regexp_extract_all(col(value), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(col(value), F.lit(fixed.NUMBER), F.lit(0))
     return F.array_join(F.array_sort(F.array_distinct(found)), " ")
 
 
 def without_thresholds(value: Column | str) -> Column:
     """The phrase with comparator-number-unit runs removed and punctuation tidied (C14)."""
-    bare = F.regexp_replace(col(value), r"(?U)[<>≤≥=~]*\s*\d+(?:\.\d+)?\s*[\w/%]*", " ")
-    bare = F.regexp_replace(bare, r"(?U)\(\s*\)", " ")
-    bare = F.regexp_replace(bare, r"(?U)[\s,;:]+([)\]])", "$1")
+    bare = F.regexp_replace(col(value), fixed.THRESHOLD, " ")
+    bare = F.regexp_replace(bare, fixed.EMPTY_PARENTHESES, " ")
+    bare = F.regexp_replace(bare, fixed.DANGLING_PUNCTUATION, "$1")
     bare = F.btrim(inline(bare), F.lit(" ,;:-."))
     return F.when(bare == "", col(value)).otherwise(bare)
 
 
 def keyphrases(value: Column | str) -> Column:
     """Runs of content words, first four words of each, distinct in order."""
-    words = F.regexp_extract_all(col(value), F.lit(r"[A-Za-z0-9][A-Za-z0-9'\-]*"), F.lit(0))
+    words = F.regexp_extract_all(col(value), F.lit(fixed.KEYPHRASE_WORD), F.lit(0))
     breakers = strings(fixed.PHRASE_STOPWORDS + fixed.PHRASE_TASK_WORDS)
     marked = F.transform(
         words,

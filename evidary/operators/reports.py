@@ -255,26 +255,11 @@ def page_text(lines: DataFrame) -> DataFrame:
 def search_report(queries: DataFrame, retmax: int) -> DataFrame:
     """One row per query: what was asked, what the service ran, what came back."""
     held = F.col("count") - F.col("retrieved")
-    cap = F.lit(f" (the cap is {retmax:,})") if retmax else F.lit("")
-    result = (
-        F.when(F.col("count") == 0, F.lit("no papers matched"))
-        .when(
-            F.col("retrieved") >= F.col("count"),
-            F.concat(thousands("count"), F.lit(" papers matched, and all "), thousands("retrieved"), F.lit(" were retrieved.")),
-        )
-        .otherwise(
-            F.concat(
-                thousands("count"),
-                F.lit(" papers matched. The first "),
-                thousands("retrieved"),
-                F.lit(" were retrieved"),
-                cap,
-                F.lit("; the other "),
-                thousands(held),
-                F.lit(" were never seen by this run."),
-            )
-        )
-    )
+    cap = F.lit(fixed.SEARCH_CAP.format(retmax) if retmax else "")
+    every = F.concat(thousands("count"), F.lit(fixed.ALL_MATCHED), thousands("retrieved"), F.lit(fixed.ALL_RETRIEVED))
+    other, unseen = (F.lit(x) for x in fixed.NEVER_SEEN)
+    some = F.concat(thousands("count"), F.lit(fixed.SOME_MATCHED), thousands("retrieved"), F.lit(fixed.SOME_RETRIEVED), cap, other, thousands(held), unseen)
+    result = F.when(F.col("count") == 0, F.lit(fixed.NOTHING_MATCHED)).when(F.col("retrieved") >= F.col("count"), every).otherwise(some)
     return queries.select(
         "*",
         result.alias("result"),
