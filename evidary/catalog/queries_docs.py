@@ -557,12 +557,8 @@ SELECT * FROM (SELECT 'cosine' AS metric, vec_id, round(list_cosine_distance(e,
 )
 def nearest_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    probe = vectors.orderBy(F.desc("vec_id")).first()["embedding"]
-    out = None
-    for metric in fixed.DISTANCES:
-        part = K.nearest(vectors, probe, 20, metric).withColumn("metric", F.lit(metric))
-        out = part if out is None else out.unionByName(part)
-    return out.select("metric", "vec_id", "distance")
+    probe = vectors.agg(F.max_by("embedding", "vec_id").alias("embedding"))
+    return K.nearest(vectors, probe, 20, tuple(fixed.DISTANCES)).select("metric", "vec_id", "distance")
 
 
 @query(

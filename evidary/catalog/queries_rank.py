@@ -284,7 +284,7 @@ _FLAGSHIP = f"""
 WITH RECURSIVE part_hits AS (SELECT r.*, coalesce(h.found_by, CAST([] AS VARCHAR[])) AS found_by, coalesce(h.best_rank, 0) AS best_rank FROM part_records r LEFT JOIN merged_hits h USING (pmid)),
 {_TITLES.replace("document_papers", "part_hits").replace("WITH ", "", 1)},
 told_terms AS (SELECT k, list(term ORDER BY o) AS found_by FROM terms GROUP BY k),
-uniques AS (SELECT r.* EXCLUDE (found_by, best_rank), coalesce(l.found_by, CAST([] AS VARCHAR[])) AS found_by, m.best_rank FROM merged m JOIN part_hits r USING (pmid) LEFT JOIN told_terms l USING (k)),
+uniques AS (SELECT r.* EXCLUDE (found_by, best_rank, pmcid), m.pmcid, coalesce(l.found_by, CAST([] AS VARCHAR[])) AS found_by, m.best_rank FROM merged m JOIN part_hits r USING (pmid) LEFT JOIN told_terms l USING (k)),
 part_candidates AS (SELECT u.*, m.pmid IS NOT NULL AS metrics_known, coalesce(m.citation_count, 0) AS citation_count, m.relative_citation_ratio AS rcr,
   coalesce(m.is_research_article, TRUE) AS is_research_article FROM uniques u LEFT JOIN metrics m USING (pmid)),
 {_SCORED.replace("WITH ", "", 1)},
@@ -407,3 +407,38 @@ def spend_projection(spark, sf):
         prices={"fast": (1.0, 5.0)},
     )
     return project_spend(pool, plan).withColumn("usd", F.round("usd", 6))
+
+
+@query(
+    "dry_run_spend",
+    "F15 C40",
+    with_roles(
+        _FLAGSHIP[: _FLAGSHIP.index("pure AS (")]
+        + """p AS (SELECT title, abstract, pmcid, row_number() OVER (ORDER BY round(score, 9) DESC, pmid) - 1 AS position FROM scored SEMI JOIN pool USING (pmid)),
+s AS (SELECT CAST(sum(CAST(floor(length(trim(title || chr(10) || chr(10) || abstract)) / 4.0) AS BIGINT) + 1) AS BIGINT) AS screening,
+             CAST(sum(CAST(floor(length(title) / 4.0) AS BIGINT) + 1) AS BIGINT) AS titles FROM p WHERE position < 40),
+e AS (SELECT CAST(sum(CAST(floor(length(abstract) / 4.0) AS BIGINT) + 1) AS BIGINT) AS abstracts, count(pmcid) AS linked FROM p WHERE position < 50),
+x AS (SELECT *, abstracts // 50 AS a, linked / 50.0 * 0.6 AS share FROM e)
+SELECT 0 AS ord, 'screen' AS node, 'fast' AS role, 40 AS calls, screening + 100 * 40 AS prompt_tokens, 80 * 40 AS completion_tokens,
+  round((screening + 4000) / 1e6 * 1.0 + 3200 / 1e6 * 5.0, 6) AS usd FROM s
+UNION ALL SELECT 1, 'curate', 'balanced', 5, 5 * (200 + 8 * (titles // 40 + 25)), 5 * 8 * 160, NULL FROM s
+UNION ALL SELECT 2, 'extract', 'balanced', 50, 50 * (300 + CAST(floor(a * (1 - share) + least(a * 12.0, 6000.0) * share) AS BIGINT)), 50 * 5000, NULL FROM x""",
+        "part_records",
+        "merged_hits",
+        "metrics",
+        "plan",
+    ),
+)
+def dry_run_spend(spark, sf):
+    """What the diversified pool of a dry run would cost."""
+    from evidary.operators.spend import SpendPlan
+
+    plan = SpendPlan(
+        screen_budget=40, target=30, topics=5, floor=10, screen_prefix=100, curate_prefix=200, extract_prefix=300,
+        prices={"fast": (1.0, 5.0)},
+    )
+    run = dry_run.dry_run(
+        records=roles.part_records(spark, sf), hits=roles.hits(spark, sf), metrics=roles.metrics(spark, sf), plan=roles.plan(spark, sf),
+        pool_size=POOL_SIZE, now_year=NOW_YEAR, spend=plan,
+    )
+    return run.spend.withColumn("usd", F.round("usd", 6))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from evidary import fixed
 from evidary.operators import merge, ranking
+from evidary.operators.spend import SpendPlan, project_spend
 from evidary.session import durable
 
 
@@ -16,6 +17,7 @@ class DryRun:
     scored: DataFrame
     pool: DataFrame
     comparison: DataFrame
+    spend: DataFrame | None = None
 
 
 def dry_run(
@@ -29,8 +31,9 @@ def dry_run(
     lambda_: float = fixed.DEFAULT_LAMBDA,
     basis: str = "any",
     availability: DataFrame | None = None,
+    spend: SpendPlan | None = None,
 ) -> DryRun:
-    """``records`` needs the bibliographic columns and a unique ``seq``.
+    """With ``spend`` the pool is priced as well.  ``records`` needs the bibliographic columns and a unique ``seq``.
 
     The scored table is cut once: the selection reads it several times.
     """
@@ -44,4 +47,4 @@ def dry_run(
     comparison = ranking.selection_by_topic(
         ranking.compare_selections(ranking.pure_top(scored, pool_size), pool)
     )
-    return DryRun(scored, pool, comparison)
+    return DryRun(scored, pool, comparison, None if spend is None else project_spend(pool, spend))
