@@ -110,17 +110,19 @@ def joined(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.
     return data, np.repeat(np.arange(len(pieces)), lengths), np.fromiter((r for r, _ in pieces), np.int64, len(pieces))
 
 
-def counted(texts: Iterable[bytes | None], keys, dims: int) -> Iterator[tuple[int, np.ndarray]]:
+def counted(texts: Iterable[bytes | None], keys, dims: int, overlap: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """Counts of keys by row: (first row, float array of rows x ``dims``), each row once.
 
-    ``keys(data, piece)`` yields (positions, keys below ``dims``) for the bytes of a run; positions
-    say which row a key belongs to.
+    ``keys(data, piece, old)`` yields (positions, keys below ``dims``) for the bytes of a run; positions
+    say which row a key belongs to.  A text's further pieces begin with the ``overlap`` bytes before them, which ``old`` marks.
     """
-    at, held = 0, None
-    for first, rows, pieces in segments(texts):
+    at, held, going = 0, None, -1
+    for first, rows, pieces in segments(texts, overlap):
         data, piece, row_of = joined(pieces)
+        old = repeated(pieces, first, going, overlap)
+        going = first + pieces[-1][0]
         counts = np.zeros(rows * dims)
-        for where, key in keys(data, piece):
+        for where, key in keys(data, piece, old):
             counts += np.bincount(row_of[piece[where]] * dims + key, minlength=rows * dims)
         counts = counts.reshape(rows, dims)
         if held is not None:
@@ -134,6 +136,18 @@ def counted(texts: Iterable[bytes | None], keys, dims: int) -> Iterator[tuple[in
         yield at, held
 
 
+def repeated(pieces: list[tuple[int, bytes]], first: int, going: int, overlap: int) -> np.ndarray:
+    """Which bytes of a run's pieces repeat those of the piece before; ``going`` is the row of the piece before the run."""
+    old = np.zeros(sum(len(p) for _, p in pieces), bool)
+    head = 0
+    for row, piece in pieces:
+        if first + row == going:
+            old[head : head + overlap] = True
+        going = first + row
+        head += len(piece)
+    return old
+
+
 def word_pieces(raw: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
     """The ASCII-white-space words of a text in order, in lists of about ``limit`` bytes of text."""
     at = 0

@@ -10,8 +10,8 @@ Up to ``EXHAUSTIVE`` languages use the exhaustive code (every split of the langu
 more use random codewords of ``32 + 8 log2 K`` bits whose least distance is the best of a few draws.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and flagged; with no learnable
-language every text is ``und``; with one, that language.  Texts are used whole; those of over a
-megabyte are read in pieces, and n-grams across two pieces are not counted.
+language every text is ``und``; with one, that language; of languages with equal losses the first by name is taken.  Texts
+are used whole: long ones are read in pieces, and what lies across two pieces is counted once.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ RESULT = StructType(
 )
 
 
-def _gram_keys(data: np.ndarray, piece: np.ndarray):
+def _gram_keys(data: np.ndarray, piece: np.ndarray, old: np.ndarray):
     packed = data.astype(np.uint32)
     gram = packed
     for n in (1, 2, 3):
@@ -50,13 +50,14 @@ def _gram_keys(data: np.ndarray, piece: np.ndarray):
         if not len(gram):
             return
         key = ((gram + np.uint32(n << 24)) * np.uint32(2654435761)) >> np.uint32(20)
-        whole = np.flatnonzero(piece[: len(gram)] == piece[n - 1 :])
+        # a gram counts where its last byte is new
+        whole = np.flatnonzero((piece[: len(gram)] == piece[n - 1 :]) & ~old[n - 1 :])
         yield whole, key[whole].astype(np.int64)
 
 
 def _features(texts) -> Iterator[tuple[int, np.ndarray]]:
     plain = ((t or "").lower().encode("utf-8", "replace").translate(_SPACES) for t in texts)
-    for first, counts in counted(plain, _gram_keys, DIMS):
+    for first, counts in counted(plain, _gram_keys, DIMS, 2):
         x = np.sqrt(counts.astype(np.float32))
         yield first, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
