@@ -9,7 +9,7 @@ is bounded by ``PER_LABEL``); every document is compared with all of them in blo
 ``NEIGHBOURS`` nearest vote with their similarities, each label scaled to its share among all labels.
 
 Defined results: a null or empty text has no terms and is compared as such; without labels every score is 0.5; texts of
-over a megabyte are read in pieces, whose counts add up.  A tie for the last neighbour is any of the tied.
+over a megabyte are read in pieces, which changes no count.  Of neighbours equally near those with the smaller document ids vote.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, DoubleType
 
-from evidary.llm.common import bounded_texts, counted, free_name, hashed_words
+from evidary.llm.common import bounded_texts, free_name, hashed_words, joined, repeated, segments
 
 #: The sample takes at most about so many documents of each label.
 PER_LABEL = 2000
@@ -52,28 +52,63 @@ WIDTH = TERMS + 3 + WORDS
 REPEATED, DISTINCT, SIZES = np.array([0.01, 0.05, 0.2]), np.linspace(0.1, 0.9, 9), 2.0 ** np.arange(2, 14)
 
 
-def _keys(data: np.ndarray, piece: np.ndarray):
-    kind = _CLASS[data]
-    at = np.flatnonzero(piece[:-1] == piece[1:])
-    yield at, kind[at] * KINDS + kind[at + 1]
-    starts, _, words = hashed_words(data)
-    if not len(starts):
-        return
-    yield starts, np.full(len(starts), TERMS)
-    row = piece[starts]
-    again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1])) + 1
-    yield starts[again], np.full(len(again), TERMS + 1)
-    by = np.lexsort((words, row))
-    new = np.ones(len(by), bool)
-    new[1:] = (words[by][1:] != words[by][:-1]) | (row[by][1:] != row[by][:-1])
-    yield starts[by[new]], np.full(int(new.sum()), TERMS + 2)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    yield starts, TERMS + 3 + (hashed_words(low)[2] % np.uint64(WORDS)).astype(np.int64)
+def _counts(texts) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, counts) of texts, each row once: class pairs, words, repeated words, distinct words, hashed words.
+
+    Long texts come in pieces that end at white space, each with the byte before it; a row's last word and its words so far are
+    carried from run to run, so the counts do not depend on where a text is cut.
+    """
+    at, held, going = 0, None, -1
+    last, seen = None, np.zeros(0, np.uint64)
+    for first, rows, pieces in segments(texts, 1, words=True):
+        data, piece, row_of = joined(pieces)
+        old = repeated(pieces, first, going, 1)
+        on = held is not None and first == at + len(held) - 1  # the last row goes on
+        going = first + pieces[-1][0]
+        row = row_of[piece]
+        counts = np.zeros((rows, WIDTH))
+        kind = _CLASS[data]
+        pair = np.flatnonzero(piece[:-1] == piece[1:])
+        counts[:, :TERMS] = np.bincount(row[pair] * TERMS + kind[pair] * KINDS + kind[pair + 1], minlength=rows * TERMS).reshape(rows, TERMS)
+        breaks = np.concatenate(([True], piece[1:] != piece[:-1])) if len(data) else np.zeros(0, bool)
+        starts, _, words = hashed_words(data, breaks)
+        low = hashed_words(np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8), breaks)[2]
+        new = ~old[starts]
+        mine, words, low = row[starts[new]], words[new], low[new]
+        counts[:, TERMS] = np.bincount(mine, minlength=rows)
+        again = (words[1:] == words[:-1]) & (mine[1:] == mine[:-1])
+        counts[:, TERMS + 1] = np.bincount(mine[1:][again], minlength=rows)
+        by = np.lexsort((words, mine))
+        once = np.ones(len(by), bool)
+        once[1:] = (words[by][1:] != words[by][:-1]) | (mine[by][1:] != mine[by][:-1])
+        own_rows, own = mine[by][once], words[by][once]
+        counts[:, TERMS + 2] = np.bincount(own_rows, minlength=rows)
+        counts[:, TERMS + 3 :] = np.bincount(mine * WORDS + (low % np.uint64(WORDS)).astype(np.int64), minlength=rows * WORDS).reshape(rows, WORDS)
+        if on:
+            begun = own[own_rows == 0]
+            counts[0, TERMS + 2] -= np.isin(begun, seen).sum()
+            counts[0, TERMS + 1] += bool(last is not None and len(mine) and mine[0] == 0 and words[0] == last)
+        ending = own[own_rows == rows - 1]
+        if rows > 1 or not on:
+            seen, last = ending, None
+        else:
+            seen = np.union1d(seen, ending)
+        if len(mine) and mine[-1] == rows - 1:
+            last = words[-1]
+        if held is not None:
+            if on:
+                counts[0] += held[-1]
+                held = held[:-1]
+            if len(held):
+                yield at, held
+        at, held = first, counts
+    if held is not None:
+        yield at, held
 
 
 def features(texts) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, matrix) of the terms of texts, each row once."""
-    for first, counts in counted(((t or b"") + b"\n" for t in texts), _keys, WIDTH):
+    for first, counts in _counts((t or b"") + b"\n" for t in texts):
         pairs = counts[:, :TERMS]
         words = np.maximum(counts[:, TERMS], 1)
         marks = np.zeros((len(counts), len(REPEATED) + len(DISTINCT) + len(SIZES) + 3))
@@ -154,12 +189,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> bytes
     return got["model"] if got else None
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's ``k`` largest values; of equal ones the first columns."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    taken = near >= least[:, None]
+    for r in np.flatnonzero(taken.sum(axis=1) > k):
+        tied = np.flatnonzero(near[r] == least[r])
+        taken[r, tied[len(tied) - (int(taken[r].sum()) - k) :]] = False
+    return np.nonzero(taken)[1].reshape(len(near), k)
+
+
 def vote(x: np.ndarray, model: tuple, k: int = NEIGHBOURS) -> np.ndarray:
-    """The score of each row of terms."""
+    """The score of each row of terms; of neighbours equally near in six places those with the smaller ids vote."""
     mean, turn, known, label, weight = model
     k = min(k, len(known))
-    near = _unit((x - mean) @ turn) @ known.T
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    near = np.round(_unit((x - mean) @ turn) @ known.T, 6)
+    best = _nearest(near, k)
     voice = np.maximum(np.take_along_axis(near, best, 1), 1e-6) ** 4 * weight[best]
     return np.clip((voice * label[best]).sum(axis=1, dtype=np.float64) / voice.sum(axis=1, dtype=np.float64), 0, 1)
 
