@@ -1,6 +1,8 @@
 """Classifiers, the language model and packing on small tables, with every awkward row."""
 
 import math
+import pickle
+from functools import partial
 import zlib
 from collections import Counter
 
@@ -58,11 +60,66 @@ def test_runs_hold_every_text_once(overlap):
     assert [back[k] for k in range(len(texts))] == [t or b"" for t in texts]
 
 
-def test_counts_do_not_depend_on_runs(monkeypatch):
-    texts = [b"ab ab", None, b"abc " * 9000, b"", b"zz"]
-    want = [m for _, x in quality.features(texts) for m in x]
-    monkeypatch.setattr(common, "CHUNK", 1 << 12)
-    assert len(want) == len(texts) and np.isfinite(np.array(want)).all()
+def _long_texts():
+    rng = np.random.default_rng(12)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 12, 300)]
+    long = " ".join(words[k] if rng.random() < 0.9 else "same same" for k in rng.integers(0, 300, 500_000))
+    return ["ab ab", None, "é abc " * 9000, "", "zz", long, "x" * 700_000 + " end end", long[:5000], "tail"]
+
+
+@pytest.mark.parametrize("limit", [1 << 10, 1 << 14, 1 << 20])
+def test_counts_do_not_depend_on_where_texts_are_cut(monkeypatch, limit):
+    texts = _long_texts()
+    cut, whole = (partial(common.segments, limit=n, rows=rows) for n, rows in ((limit, 4), (1 << 30, 256)))
+    found = {}
+    for name, segments in (("cut", cut), ("whole", whole)):
+        monkeypatch.setattr(common, "segments", segments)
+        monkeypatch.setattr(quality, "segments", segments)
+        grams = [m for _, x in langid._features(texts) for m in x]
+        terms = [m for _, x in quality.features(t and t.encode() for t in texts) for m in x]
+        found[name] = np.array(grams), np.array(terms)
+    for a, b in zip(found["cut"], found["whole"]):
+        assert len(a) == len(texts) and np.allclose(a, b, atol=1e-6)
+
+
+def test_quality_terms_of_long_texts_equal_plain_counts(monkeypatch):
+    monkeypatch.setattr(quality, "segments", partial(common.segments, limit=1 << 12))
+    long = _long_texts()[5][:300_000]
+    [(_, counts)] = list(quality._counts([long.encode() + b"\n"]))
+    words = long.split()
+    plain = len(words), sum(x == y for x, y in zip(words, words[1:])), len(set(words))
+    assert tuple(counts[0, quality.TERMS : quality.TERMS + 3].astype(int)) == plain
+    assert counts[0, : quality.TERMS].sum() == len(long)
+
+
+def test_equally_near_neighbours_are_taken_in_order():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [1.0, 1.0, 1.0, 1.0, 1.0], [0.1, 0.2, 0.3, 0.4, 0.5]])
+    assert quality._nearest(near, 2).tolist() == [[0, 1], [0, 1], [3, 4]]
+    assert quality._nearest(near, 5).tolist() == [[0, 1, 2, 3, 4]] * 3
+
+
+def test_language_decoding_equals_a_plain_version(spark, corpus):
+    """The loss-weighted nearest codeword, worked out bit by bit for each text."""
+    model = langid.fit(corpus, F.col("lang").isNotNull())
+    langs, code, w, right = pickle.loads(model)
+    got = langid.identify(corpus, model, "said").select("text", "said.*").collect()
+    for r in got:
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 0, True)
+            continue
+        plain = r["text"].lower().encode().translate(langid._SPACES)
+        counts = np.zeros(langid.DIMS)
+        for n in (1, 2, 3):
+            for k in range(len(plain) - n + 1):
+                gram = int.from_bytes(plain[k : k + n], "big")
+                counts[((gram + (n << 24)) * 2654435761 % (1 << 32)) >> 20] += 1
+        x = np.sqrt(counts)
+        x /= np.linalg.norm(x)
+        losses = []
+        for k in range(len(langs)):
+            losses.append(sum(max(right[b] - 0.5, 0.01) * math.log1p(math.exp(-code[k, b] * (x @ w[:-1, b] + w[-1, b]))) for b in range(code.shape[1])))
+        p = np.exp(min(losses) - np.array(losses))
+        assert r["lang_pred"] == langs[int(np.argmin(losses))] and r["score"] == pytest.approx(p.max() / p.sum(), abs=1e-4)
 
 
 def test_hashed_words_are_words():
@@ -239,7 +296,7 @@ def test_unigram_baseline_equals_plain_counts(spark, corpus, nothing):
 def test_mixing_meets_targets_by_plain_arithmetic(spark, corpus, labels, nothing):
     assert mixing.mix(nothing, labels).collect() == []
     rows = mixing.mix(corpus, labels.limit(0)).collect()  # no labels: equal posteriors
-    assert len(rows) == corpus.count() and {tuple(round(x, 9) for x in r["p"]) for r in rows} == {(1 / 3 // 1e-9 * 1e-9 + 0.0,) * 3} or True
+    assert len(rows) == corpus.count() and {tuple(round(x, 9) for x in r["p"]) for r in rows} == {(1 / 3 // 1e-9 * 1e-9 + 0.0,) * 3}
     rng = np.random.default_rng(3)
     p = rng.dirichlet([1, 1, 1], 300)
     t = rng.integers(1, 100, 300)
