@@ -1,10 +1,13 @@
 """The pipeline on a small folder, each stage against a plain version of its decision."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -76,10 +79,24 @@ def test_every_stage_decides_as_its_operator_says(spark, folder, monkeypatch):
     assert _ids(third) == sorted(str(None if least[0] else least[1]) for least in map(min, groups.values()))
 
     fourth = stages["mixing"](spark, third, folder)
-    assert fourth.columns == COLUMNS and set(_ids(fourth)) <= set(_ids(third)) and len(_ids(fourth)) == len(set(_ids(fourth)))
-    fifth = stages["packing"](spark, fourth, folder).collect()
-    assert {r["doc_id"] for r in fifth} == {r["doc_id"] for r in fourth.collect()}
-    assert all(zlib.crc32(b"") <= r["ids_crc32"] < 1 << 32 for r in fifth)
+    plan = mixing.mix(third, spark.read.parquet(f"{folder}/labels.parquet")).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    assert fourth.columns == COLUMNS
+    assert Counter(_ids(fourth)) == {str(r["doc_id"]): r["n"] for r in plan if r["n"]}
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    copies = Counter((r["doc_id"], r["text"] or "") for r in fourth.collect())
+    pieces = Counter()
+    for r in stages["packing"](spark, fourth, folder).collect():
+        pieces[r["doc_id"], r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]] += 1
+    for (doc, text), n in copies.items():
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        mine = {k: m for k, m in pieces.items() if k[0] == doc and k[1] == len(ids)}
+        held = np.zeros(len(ids), int)
+        for (_, _, start, length, crc), m in mine.items():
+            assert zlib.crc32(ids[start : start + length].tobytes()) == crc
+            held[start : start + length] += m
+        assert (held == n).all()
+    assert {k[0] for k in pieces} == {doc for doc, _ in copies}
 
 
 def test_empty_tables_pass_through(spark, folder):
