@@ -3,8 +3,8 @@
 A page is cut into blocks: the text between two block-level tags, inline tags dropped, character references decoded, white space made
 one space.  Scripts, styles, form controls, embedded media and comments of the markup are no blocks.  Each block has features of its
 tag, its ancestors (tags, words of their class, id and role) and its text (length, links, punctuation, words of menus and notices), and of
-its neighbours; a page's blocks are a chain whose two labels, main text or not, are weighted by features and by transitions, which differ between
-blocks of one parent and others.
+its neighbours; a page's blocks are a chain whose two labels, main text or not, are weighted by features and by transitions, which differ for
+neighbours in one parent, for a return to a parent that was left, and for others.
 
 The field is trained by conditional likelihood (forward-backward, Adam) on ``LABELLED`` labelled pages.  No labels are
 given with the pages, so the labelled ones are composed: layouts of ten kinds of boilerplate around and within
@@ -40,6 +40,9 @@ LABELLED, PLACES, EPOCHS = 3000, 1 << 17, 16
 L2, RATE, BATCH = 1e-5, 0.1, 32
 #: Ancestors of a block that give features, the nearest first.
 ANCESTORS = 16
+#: How a block stands to those before: elsewhere, next to the one before and named like it, or in a parent that had other blocks before.
+APART, SIBLING, BACK = range(3)
+RELATIONS = 3
 BLOCKS = "array<struct<tag:string,text:string,main:boolean>>"
 
 _INLINE = frozenset(
@@ -170,7 +173,8 @@ def _place(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) & (PLACES - 1)
 
 
-def _of_frames(frames: tuple) -> list[int]:
+def _of_frames(frames: tuple) -> tuple[list[int], str]:
+    """The places of the ancestors' features, and the innermost part of a page they name by its tag."""
     tags = [t for t, _ in frames] or ["none"]
     named = {f"tag={tags[-1]}", f"up={'>'.join(tags[-2:])}", f"depth={min(len(tags), 8)}"}
     for up, (tag, names) in enumerate(reversed(frames)):
@@ -181,8 +185,9 @@ def _of_frames(frames: tuple) -> list[int]:
                 named.add(f"near={name}")
     if not any(names for _, names in frames):
         named.add("nameless")
-    named.add(f"box={next((t for t in reversed(tags) if t in _BOXES), 'none')}")
-    return [_place(n) for n in sorted(named)]
+    box = next((t for t in reversed(tags) if t in _BOXES), "none")
+    named.add(f"box={box}")
+    return [_place(n) for n in sorted(named)], box
 
 
 def _step(x: float) -> int:
@@ -211,11 +216,11 @@ def _of_text(text: str, links: float) -> tuple[list[str], str]:
 
 
 def features(blocks: list[tuple], known: dict | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """The places of each block's features, and whether it has the same parent as the block before; ``known`` remembers ancestors."""
+    """The places of each block's features, and its relation to what came before; ``known`` remembers ancestors."""
     known = {} if known is None else known
     texts = [_of_text(text, links) for _, text, links, _ in blocks]
     kinds = ["start", *[kind for _, kind in texts], "end"]
-    made, sibling = [], np.zeros(len(blocks), np.int64)
+    made, relation, parents = [], np.full(len(blocks), APART), set()
     before: tuple[tuple, tuple] = ((), ())
     for k, (frames, _, _, numbers) in enumerate(blocks):
         named, kind = texts[k]
@@ -223,17 +228,22 @@ def features(blocks: list[tuple], known: dict | None = None) -> tuple[list[np.nd
             if len(known) > 20_000:
                 known.clear()
             known[frames] = _of_frames(frames)
-        tag = frames[-1][0] if frames else "none"
-        beside = [f"before={kinds[k]}", f"after={kinds[k + 2]}", f"tag={tag},kind={kind}"]
+        tag, (above, box) = frames[-1][0] if frames else "none", known[frames]
+        beside = [f"before={kinds[k]}", f"after={kinds[k + 2]}", f"tag={tag},kind={kind}", f"box={box},tag={tag}", f"box={box},kind={kind}"]
         # where the ways to this block and to the one before part
         at = next((i for i, (x, y) in enumerate(zip(numbers, before[1])) if x != y), min(len(numbers), len(before[1])))
-        sibling[k] = k > 0 and at == len(numbers) - 1 == len(before[1]) - 1
-        if not sibling[k]:
+        parent = numbers[-2] if len(numbers) > 1 else 0
+        if k and at == len(numbers) - 1 == len(before[1]) - 1 and (not frames or frames[-1][1] == before[0][-1][1]):
+            relation[k] = SIBLING
+        elif parent in parents:
+            relation[k] = BACK
+        parents.add(parent)
+        if relation[k] != SIBLING:
             beside.append(f"enter={frames[at][0] if at < len(frames) else 'none'}")
             beside.append(f"leave={before[0][at][0] if at < len(before[0]) else 'none'}")
         before = frames, numbers
-        made.append(np.fromiter({*known[frames], *map(_place, named), *map(_place, beside)}, np.int64))
-    return made, sibling
+        made.append(np.fromiter({*above, *map(_place, named), *map(_place, beside)}, np.int64))
+    return made, relation
 
 
 # --- the field ------------------------------------------------------------------------------------
@@ -270,7 +280,8 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, m
 
 def train(pages: list[tuple[tuple[list[np.ndarray], np.ndarray], np.ndarray]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, moves, start) that make the labels of ``pages`` (features of the blocks, labels 0 or 1) likely."""
-    theta, first, second = np.zeros(PLACES + 10), np.zeros(PLACES + 10), np.zeros(PLACES + 10)
+    edge = PLACES + 4 * RELATIONS  # the weights of features, of transitions, of the first label
+    theta, first, second = np.zeros(edge + 2), np.zeros(edge + 2), np.zeros(edge + 2)
     pages = [p for p in pages if len(p[1])]
     step = 0
     for epoch in range(epochs):
@@ -285,21 +296,21 @@ def train(pages: list[tuple[tuple[list[np.ndarray], np.ndarray], np.ndarray]], e
             col = np.arange(len(y)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             scores, kinds = np.zeros((len(some), sizes.max(), 2)), np.zeros((len(some), sizes.max()), np.int64)
             scores[row, col, 1], kinds[row, col] = np.add.reduceat(theta[flat], bounds), kind
-            moves, start = theta[PLACES : PLACES + 8].reshape(2, 2, 2), theta[PLACES + 8 :]
+            moves, start = theta[PLACES:edge].reshape(RELATIONS, 2, 2), theta[edge:]
             _, p, expected = forward_backward(scores, sizes, kinds, moves, start)
             grad = L2 * len(some) * theta
             grad[:PLACES] += np.bincount(flat, np.repeat(p[row, col, 1] - y, [len(i) for i in ids]), PLACES)
             inner = col > 0
-            seen = np.bincount(4 * kind[inner] + 2 * np.roll(y, 1)[inner] + y[inner], minlength=8)
-            grad[PLACES : PLACES + 8] += expected.ravel() - seen
-            grad[PLACES + 8 :] += p[:, 0].sum(axis=0) - np.bincount(y[~inner], minlength=2)
+            seen = np.bincount(4 * kind[inner] + 2 * np.roll(y, 1)[inner] + y[inner], minlength=4 * RELATIONS)
+            grad[PLACES:edge] += expected.ravel() - seen
+            grad[edge:] += p[:, 0].sum(axis=0) - np.bincount(y[~inner], minlength=2)
             grad /= len(some)
             step += 1
             first = 0.9 * first + 0.1 * grad
             second = 0.999 * second + 0.001 * grad * grad
             rate = RATE * (1 - epoch / epochs)
             theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return theta[:PLACES], theta[PLACES : PLACES + 8].reshape(2, 2, 2), theta[PLACES + 8 :]
+    return theta[:PLACES], theta[PLACES:edge].reshape(RELATIONS, 2, 2), theta[edge:]
 
 
 def viterbi(scores: np.ndarray, kinds: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
