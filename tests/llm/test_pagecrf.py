@@ -23,11 +23,11 @@ def _paths(scores, kinds, moves, start):
 def test_forward_backward_and_viterbi_equal_enumeration():
     rng = np.random.default_rng(2)
     sizes = np.array([5, 1, 7])
-    scores, kinds = np.zeros((3, 7, 2)), rng.integers(0, 2, (3, 7))
+    scores, kinds = np.zeros((3, 7, 2)), rng.integers(0, 3, (3, 7))
     scores[:, :, 1] = rng.normal(size=(3, 7))
-    moves, start = rng.normal(size=(2, 2, 2)), rng.normal(size=2)
+    moves, start = rng.normal(size=(3, 2, 2)), rng.normal(size=2)
     whole, marginals, expected = pagecrf.forward_backward(scores, sizes, kinds, moves, start)
-    wanted = np.zeros((2, 2, 2))
+    wanted = np.zeros((3, 2, 2))
     for c, n in enumerate(sizes):
         paths = list(_paths(scores[c, :n], kinds[c], moves, start))
         total = np.log(sum(np.exp(s) for _, s in paths))
@@ -97,6 +97,12 @@ PAGES = [
         "<div class='sidebar'><h4>Recent</h4><p>Some other story that nobody reads any more.</p></div><div id='footer'>Copyright Daily Times</div>",
         "A day out We went out in the morning. It rained, but we did not mind. In the evening we came home.",
     ),
+    (
+        "<article><h1>Flood</h1><p>The river rose in the night, and by morning it had reached the fields.</p><aside><p>Last year the river stayed low, and nobody spoke of it.</p></aside>"
+        "<p>Nobody had seen it so high since the old bridge fell.</p><div class='ad-banner'>Boats for sale, cheap and dry.</div><p>It fell again within the week.</p>"
+        "<form><p>Join our letter today.</p></form></article><section id='comments'><article class='comment'><p>I saw it too, it was quite a sight.</p></article></section>",
+        "Flood The river rose in the night, and by morning it had reached the fields. Nobody had seen it so high since the old bridge fell. It fell again within the week.",
+    ),
 ]
 
 
