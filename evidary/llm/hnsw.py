@@ -2,10 +2,10 @@
 
 Equal vectors of a label form a class, and classes are dealt to shards of a bounded number of rows.  Each shard gets a
 graph; for every two shards of a label (and each with itself) one task asks the second shard's graph for the
-neighbours of the first shard's vectors.  The beam starts at ``BEAM`` and doubles until an audit finds the recall
-asked for; where the widest beam does not reach it, the shards are compared exactly in blocks.  The audit compares
-queries with all vectors of the shard until it has seen ``LINKS`` links of ``AUDITED`` linked queries; where the shard has
-fewer, that comparison is the result.  Vectors that cannot be reached from all others in the lowest layer are
+neighbours of the first shard's vectors.  The beam starts at ``BEAM`` and doubles until an audit is passed: of ``AUDITED``
+rows the graph must find ``NEAR_RECALL`` of the ten nearest neighbours, which every row has however sparse links are, and
+``RECALL`` of their links and of ``PLANTED`` copies of indexed vectors, moved away by cosines from the radius up.  Only a
+pair of shards whose widest beam fails is compared exactly, in blocks.  Vectors that cannot be reached from all others in the lowest layer are
 compared with every query.  A query whose whole beam is within the radius has more neighbours than the beam
 holds; it is measured against the whole shard in blocks, so no group is cut short.  Links are pairs with a cosine, in double precision on the
 original vectors, of at least the radius.
@@ -30,7 +30,8 @@ from evidary.llm.vectors import matrix, usable
 RADIUS = 0.93
 #: Neighbours of a node in a layer, and of the lowest layer; beam while building; rows of a shard.
 DEGREE, LOWEST, BUILD_BEAM, SHARD = 16, 32, 48, 16384
-BEAM, AUDITED, LINKS, RECALL = 32, 64, 2000, 0.999
+#: First beam; rows and planted copies of an audit, nearest neighbours asked for; shares of links and of nearest neighbours to be found.
+BEAM, AUDITED, PLANTED, NEAREST, RECALL, NEAR_RECALL = 32, 64, 192, 10, 0.999, 0.9
 AT_ONCE = 512
 
 
@@ -199,35 +200,33 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _audit(a: np.ndarray, b: np.ndarray, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Rows of ``a`` that link and their links, as packed bits, and whether these are all: rows are taken at random until there are enough."""
-    order = np.random.default_rng(7).permutation(len(a))
-    some, bits, seen, n = [], [], 0, 0
-    for start in range(0, len(order), AUDITED):
-        at = order[start : start + AUDITED]
-        truth = a[at] @ b.T >= radius
-        if same:
-            truth[np.arange(len(at)), at] = False
-        has = truth.any(axis=1)
-        some.append(at[has])
-        bits.append(np.packbits(truth[has], axis=1))
-        seen, n = seen + int(truth.sum()), n + int(has.sum())
-        if seen >= LINKS and n >= AUDITED:
-            return np.concatenate(some), np.concatenate(bits), start + AUDITED >= len(order)
-    return np.concatenate(some), np.concatenate(bits), True
-
-
-def linked(a: np.ndarray, b: np.ndarray | None, radius: float) -> np.ndarray:
-    """Which rows of ``a`` (all unit vectors in double precision) link with which of ``b``, as packed bits; ``b`` None: with ``a`` itself."""
+def _audited(a: np.ndarray, b: np.ndarray, radius: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a graph over ``b`` is tried on: some rows of ``a``, their nearest others and their links, and planted near copies of rows of ``b`` with their originals."""
+    rng = np.random.default_rng(7)
+    rows = np.sort(rng.permutation(len(a))[:AUDITED])
+    cosine = a[rows] @ b.T
+    if same:
+        cosine[np.arange(len(rows)), rows] = -2
+    k = min(NEAREST, len(b) - same)
+    nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(rows), 0), np.int64)
+    origin = rng.permutation(len(b))[:PLANTED]
+    away = rng.standard_normal((len(origin), b.shape[1]))
+    away -= (away * b[origin]).sum(axis=1, keepdims=True) * b[origin]
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    # cosines from the radius up to nearly one
+    close = np.linspace(radius + 1e-3, 1 - 1e-3, len(origin))[:, None]
+    return rows, nearest, cosine >= radius, close * b[origin] + np.sqrt(1 - close * close) * away, origin
+
+
+def linked(a: np.ndarray, b: np.ndarray | None, radius: float, report: dict | None = None) -> np.ndarray:
+    """Which rows of ``a`` (all unit vectors in double precision) link with which of ``b``, as packed bits; ``b`` None: with ``a`` itself.
+
+    ``report`` takes the last ``beam``, the ``recall`` of its audit, how many rows were ``searched`` by the graph, and whether the pair was compared ``exact``-ly.
+    """
     same = b is None
     b = a if same else b
-    audit, truth, whole = _audit(a, b, radius, same)
-    if whole:
-        found = np.zeros((len(a), -(-len(b) // 8)), np.uint8)
-        found[audit] = truth
-        return found
-    graph = Graph(b.astype(np.float32))
     n = len(b)
+    graph = Graph(b.astype(np.float32))
     found = np.zeros((len(a), -(-n // 8)), np.uint8)
     loose = radius - 1e-5
     q = a.astype(np.float32)
@@ -240,7 +239,7 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: float) -> np.ndarray:
         return bits
 
     def rows(at: np.ndarray, beam: int) -> np.ndarray:
-        """Packed bits of the links found for some rows of ``a``."""
+        """The links found for some rows of ``a``."""
         ids, near = graph.search(q[at], beam)
         bits = np.zeros((len(at), n), bool)
         full = near[:, -1] >= loose
@@ -255,20 +254,26 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: float) -> np.ndarray:
             bits[np.arange(len(at)), at] = False
         return bits
 
-    def recall(beam: int) -> float:
-        hits = total = 0
-        for start in range(0, len(audit), AT_ONCE):
-            want = np.unpackbits(truth[start : start + AT_ONCE], axis=1)[:, :n].astype(bool)
-            hits += int((rows(audit[start : start + AT_ONCE], beam) & want).sum())
-            total += int(want.sum())
-        return hits / total
-
-    beam = BEAM
-    while (low := recall(min(beam, n)) < RECALL) and beam < n:
-        beam *= 2
+    tried, nearest, links, copies, origin = _audited(a, b, radius, same)
+
+    def recall(beam: int) -> tuple[float, float]:
+        """The shares of the nearest neighbours, and of links and planted copies, that the graph finds."""
+        ids, _ = graph.search(q[tried], beam)
+        near = sum(len(np.intersect1d(x, y)) for x, y in zip(ids, nearest)) / max(nearest.size, 1)
+        hits, total = int((rows(tried, beam) & links).sum()), int(links.sum())
+        ids, close = graph.search(copies.astype(np.float32), beam)
+        # one whose whole beam is within the radius is measured against all, and strays are compared with all
+        hits += int(((ids == origin[:, None]).any(axis=1) | (close[:, -1] >= loose) | ~graph.main[origin]).sum())
+        return near if nearest.size else 1.0, hits / (total + len(origin))
+
+    beam = min(BEAM, n)
+    while not (passed := (low := recall(beam))[0] >= NEAR_RECALL and low[1] >= RECALL) and beam < n:
+        beam = min(2 * beam, n)
     for start in range(0, len(a), AT_ONCE):
         at = np.arange(start, min(start + AT_ONCE, len(a)))
-        found[at] = np.packbits(exact(at) if low else rows(at, min(beam, n)), axis=1)
+        found[at] = np.packbits(rows(at, beam) if passed else exact(at), axis=1)
+    if report is not None:
+        report |= {"beam": beam, "recall": low, "searched": len(a) if passed else 0, "exact": not passed}
     if same:  # found one way is found
         for start in range(0, n, 1024):
             block = np.unpackbits(found[:, start // 8 : (start + 1024) // 8], axis=1)[:, : n - start]
