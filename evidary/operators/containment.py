@@ -2,7 +2,7 @@
 
 A quote is held where its folded form stands somewhere in the folded text, which may cut the quote's first and last
 words out of longer ones but not those between.  So each quote is looked up by whole words of its inside: runs of
-``WIDTH`` of them (shingles), or single ones where it is too short.  The corpus is read once for the places of
+``WIDTH`` of them (shingles), or all of them as one run where they are fewer.  The corpus is read once for the places of
 only those shingles and words that some quote has; each quote is then looked up by the one that the fewest
 texts have, and what is found is verified on the texts.  Quotes of one or two words have no inside: they are first looked
 up in the corpus's vocabulary by a run of letters, and then by the words found.
@@ -17,25 +17,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidary.functions.text import fold, let, text_or_empty
-from evidary.session import durable
+from evidary.session import cut
 
 #: Words in a shingle; letters in the runs by which short quotes find words.
 WIDTH, GRAM = 5, 3
 
 
-def _shingles(words: Column, first: int, beyond: int, width: int) -> Column:
+def _shingles(words: Column, first: int, beyond: int, width: Column) -> Column:
     """Hashes of the runs of ``width`` words, leaving out ``first`` words in front and ``beyond`` at the end."""
     count = F.size(words) - first - beyond - width + 1
     starts = F.when(count > 0, F.sequence(F.lit(first + 1), count + first)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(width), F.array_join(F.slice(words, i, F.lit(width)), " ")))
+    return F.transform(starts, lambda i: F.xxhash64(width, F.array_join(F.slice(words, i, width), " ")))
 
 
-def text_keys(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key): each text's shingles of ``width`` words and its words, each key once for a text."""
-    keys = let(F.split(fold("text"), " "), lambda words: F.array_distinct(F.concat(_shingles(words, 0, 0, width), _shingles(words, 0, 0, 1))))
+def text_keys(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, key): each text's shingles of the widths, each key once for a text."""
+    keys = let(F.split(fold("text"), " "), lambda words: F.array_distinct(F.concat(*[_shingles(words, 0, 0, F.lit(w)) for w in widths])))
     return docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(keys).alias("key"))
 
 
+def _inner_width(width: int) -> Column:
+    """Words in the shingles that a needle is looked up by; a needle of one or two words is looked up by single ones."""
+    return F.greatest(F.least(F.size(F.split("needle", " ")) - 2, F.lit(width)), F.lit(1))
+
+
 def _cuts(word: Column, size: int) -> Column:
     """The runs of ``size`` letters of a word."""
     starts = F.when(F.char_length(word) >= size, F.sequence(F.lit(1), F.char_length(word) - size + 1))
@@ -49,7 +54,7 @@ def _short_keys(short: DataFrame, docs: DataFrame) -> DataFrame:
     ends = ~one & (F.char_length(words[0]) >= F.char_length(F.get(words, F.lit(1))))
     asked = short.select("quote_id", "needle", one.alias("one"), ends.alias("ends"), F.when(one | ends, words[0]).otherwise(F.get(words, F.lit(1))).alias("piece"))
     asked = asked.withColumn("gram", F.left("piece", F.lit(GRAM)))
-    known = durable(docs.select(F.explode(F.split(fold("text"), " ")).alias("word")).where("word <> ''").distinct())
+    known = cut(docs.select(F.explode(F.split(fold("text"), " ")).alias("word")).where("word <> ''").distinct(), "words")
     cuts = F.flatten(F.array(*[_cuts(F.col("word"), n) for n in range(1, GRAM + 1)]))
     grams = known.select("word", F.explode(F.array_distinct(cuts)).alias("gram"))
     fits = F.when(F.col("one"), F.contains("word", "piece")).when(F.col("ends"), F.endswith("word", "piece")).otherwise(F.startswith("word", "piece"))
@@ -59,10 +64,7 @@ def _short_keys(short: DataFrame, docs: DataFrame) -> DataFrame:
 def lookup_keys(quotes: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(one-of, any-of): (quote_id, needle, key) of quotes that a text holds only if it has each key, or any of the keys."""
     inner = F.size(F.split("needle", " ")) - 2
-    keys = let(
-        F.split("needle", " "),
-        lambda words: F.array_distinct(F.when(F.size(words) - 2 >= width, _shingles(words, 1, 1, width)).when(F.size(words) > 2, _shingles(words, 1, 1, 1))),
-    )
+    keys = F.when(inner > 0, let(F.split("needle", " "), lambda words: F.array_distinct(_shingles(words, 1, 1, _inner_width(width)))))
     each = quotes.select("quote_id", "needle", F.explode(keys).alias("key"))
     short = quotes.where(inner < 1)
     return each, each.limit(0) if short.isEmpty() else _short_keys(short, docs)
@@ -74,10 +76,12 @@ def corpus_quotes(quotes: DataFrame, docs: DataFrame, width: int = WIDTH) -> Dat
     ``at`` is the place of the folded quote in the folded text, from 1; ``as_code`` whether it stands there on word boundaries.
     """
     needles = quotes.select("quote_id", fold(text_or_empty("quote")).alias("needle")).where("needle <> ''").distinct()
-    needles = durable(needles)
-    each, any_of = (durable(keys) for keys in lookup_keys(needles, docs, width))
+    needles = cut(needles, "needles")
+    each, any_of = (cut(keys, "lookups") for keys in lookup_keys(needles, docs, width))
+    # At most ``width`` of them; no text is cut into shingles that no quote asks for.
+    widths = sorted(r["w"] for r in needles.select(_inner_width(width).alias("w")).distinct().collect()) or [1]
     wanted = each.select("key").unionByName(any_of.select("key")).distinct()
-    places = durable(text_keys(docs, width).join(wanted, "key"))
+    places = cut(text_keys(docs, widths).join(wanted, "key"), "places")
     held_by = places.groupBy("key").agg(F.count("*").alias("texts"))
     # A key that no text has is the rarest: its quote is nowhere.
     rarest = each.join(held_by, "key", "left").groupBy("quote_id", "needle").agg(

@@ -50,3 +50,14 @@ def test_empty_tables(spark):
     quotes, docs = spark.createDataFrame([], "quote_id int, quote string"), spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
     assert containment.corpus_quotes(quotes, docs).count() == 0
     assert containment.corpus_quotes(spark.createDataFrame([(1, "b")], quotes.schema), docs.limit(0)).count() == 0
+
+
+def test_quotes_of_few_words_are_looked_up_by_their_whole_inside(spark):
+    from evidary.operators.containment import lookup_keys, text_keys
+
+    docs = spark.createDataFrame([(1, "the cat sat down"), (2, "sat the cat and cat sat on"), (3, "sat cat"), (4, "scat cat satin")], "doc_id long, text string")
+    needles = spark.createDataFrame([("q", "a cat sat b")], "quote_id string, needle string")
+    each, _ = lookup_keys(needles, docs, 5)
+    assert each.count() == 1
+    found = text_keys(docs, [2]).join(each, "key")
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 2]
