@@ -1,7 +1,7 @@
 """Run events as a stream: meters, stage status, counters and alerts.
 
-What must outlive a batch lies in Spark's state store: built-in aggregates keep meters and counters, and stateful processors
-keep stages and spending per key.  Events are summed up per Arrow batch before the shuffle, so one busy run
+What must outlive a batch lies in Spark's state store: built-in aggregates keep meters, stages and counters, and stateful processors
+keep spending per key and stages with a time to live.  Events are summed up per Arrow batch before the shuffle, so one busy run
 is a few rows a task and not one task's work.  Results go to tables that rewrite only what a batch touches.
 """
 
@@ -47,7 +47,7 @@ def live_meter(events: DataFrame) -> DataFrame:
 
 
 def stage_status(events: DataFrame) -> DataFrame:
-    """Status, seconds and last progress of every stage of every run (S3), from all events at once."""
+    """Status, seconds and last progress of every stage of every run (S3); batch and stream alike."""
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     return (
         events.filter(F.col("kind").isin("NodeStarted", "NodeFinished", "Progress"))
@@ -106,7 +106,7 @@ def _stage_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class StageTracker(StatefulProcessor):
     """Keeps when a stage began and ended and its last progress; says its status whenever it hears of it."""
 
-    def __init__(self, ttl_ms: int | None) -> None:
+    def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -132,13 +132,15 @@ class StageTracker(StatefulProcessor):
 def tracked_stages(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """A stream of the status of each stage that a batch says something of (S3).
 
-    A stage that nothing is heard of for ``ttl_ms`` is forgotten; that needs a stream that runs on, as it never comes to an end.
+    Without ``ttl_ms`` built-in aggregates keep the stages.  With it a stage that nothing is heard of for so long is forgotten; that
+    needs a processor of its own and a stream that runs on, as it never comes to an end.
     """
+    if ttl_ms is None:
+        return stage_status(events)
     told = events.where(F.col("kind").isin("NodeStarted", "NodeFinished", "Progress"))
     marks = told.select("kind", "run_id", "node", "current", "total", F.unix_micros(F.col("at").cast("timestamp")).alias("micros"))
     marks = marks.mapInPandas(_stage_marks, f"run_id string, node string, {_STAGE}")
-    mode = "None" if ttl_ms is None else "ProcessingTime"
-    return by_keys(marks, "run_id", "node").transformWithStateInPandas(StageTracker(ttl_ms), _STAGE_OUT, "Update", mode)
+    return by_keys(marks, "run_id", "node").transformWithStateInPandas(StageTracker(ttl_ms), _STAGE_OUT, "Update", "ProcessingTime")
 
 
 def _spent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
