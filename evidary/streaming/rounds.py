@@ -1,17 +1,18 @@
-"""Incremental search rounds: sightings merge into candidates kept per paper in the state store."""
+"""Incremental search rounds: sightings merge into candidates kept per paper, in a table or in the state store."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegralType, StructType
 
 from evidary.operators.merge import FILLED_FIELDS
-from evidary.streaming.running import by_keys
+from evidary.functions.text import text_or_empty
+from evidary.streaming.running import KeyedTable, by_keys
 
 #: Fields that are an empty string where no sighting has them.
 _NEVER_NULL = ("abstract", "journal", "title")
@@ -90,6 +91,53 @@ def merged_candidates(sightings: DataFrame, order: str = "seq") -> DataFrame:
     return by_keys(sightings, "pmid").transformWithStateInPandas(merge, out, "Update", "None")
 
 
+def folded(sightings: DataFrame, order: str = "seq") -> DataFrame:
+    """One candidate for each paper of a batch: its sightings in the order of ``order``, under the rules of ``CandidateMerge``.
+
+    Terms are counted once before they are gathered, so a paper of any number of sightings is as long as its distinct terms.
+    """
+    columns = [c for c in sightings.columns if c not in ("pmid", order)]
+    said = {c: F.col(c).isNotNull() & (F.col(c) != "") for c in FILLED_FIELDS if c in columns}
+    first = [
+        F.min_by(c, F.when(said[c], F.col(order)) if c in said else F.col(order)).alias(c) for c in columns if c not in ("found_by", "best_rank")
+    ]
+    papers = sightings.groupBy("pmid").agg(*first, F.min("best_rank").alias("best_rank"))
+    terms = sightings.select(F.col("pmid").alias("_pmid"), F.col(order).alias("_at"), F.posexplode("found_by").alias("_place", "_term"))
+    seen = terms.groupBy("_pmid", "_term").agg(F.min(F.struct("_at", "_place")).alias("_first"))
+    gathered = seen.groupBy("_pmid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_term"))), lambda t: t["_term"]).alias("found_by"))
+    return papers.join(gathered, papers["pmid"].eqNullSafe(gathered["_pmid"]), "left").select(
+        "pmid", *[F.coalesce("found_by", F.array().cast("array<string>")).alias(c) if c == "found_by" else F.col(c) for c in columns]
+    )
+
+
+def merging(kept: KeyedTable, order: str = "seq") -> Callable[[DataFrame, int], None]:
+    """What a stream of sightings does with each batch: candidates of ``kept`` come before those of the batch.
+
+    The same candidates as of ``merged_candidates``, by joins alone; the table is what is known, so the stream needs no state.
+    """
+
+    def merge(sightings: DataFrame, batch_id: int) -> None:
+        fresh, now = folded(sightings, order), kept.read()
+        if now is not None:
+            # A batch that comes again after it was put in place finds what it has staged, and this is not computed.
+            had = now.select(F.col("pmid").alias("_pmid"), F.lit(True).alias("_had"), *[F.col(c).alias(f"_{c}") for c in now.columns if c != "pmid"])
+            both = fresh.join(had, fresh["pmid"].eqNullSafe(had["_pmid"]), "left")
+
+            def merged(c: str):
+                if c == "found_by":
+                    return F.array_union(F.coalesce("_found_by", F.array().cast("array<string>")), "found_by")
+                if c == "best_rank":
+                    return F.least("_best_rank", "best_rank")
+                if c in FILLED_FIELDS:
+                    return F.when(text_or_empty(f"_{c}") != "", F.col(f"_{c}")).otherwise(F.col(c))
+                return F.when(F.col("_had"), F.col(f"_{c}")).otherwise(F.col(c))
+
+            fresh = both.select("pmid", *[merged(c).alias(c) for c in fresh.columns if c != "pmid"])
+        kept.upsert(fresh.withColumns({c: text_or_empty(c) for c in _NEVER_NULL if c in fresh.columns}), batch_id)
+
+    return merge
+
+
 def to_screen(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The candidates that no round has screened: a paper seen again is never screened again."""
     return candidates.join(verdicts.select("pmid"), "pmid", "left_anti")

@@ -150,6 +150,34 @@ def test_repeated_sightings_of_a_batch_count_in_order(spark, tmp_path):
     assert (row["title"], row["abstract"], row["pmcid"], row["found_by"], row["best_rank"], row["year"]) == ("early", "early", "P", ["q3", "q1", "q2"], 3, 1999)
 
 
+def test_rounds_merged_into_a_table_equal_those_in_the_state_store(spark, tmp_path):
+    """Repeated sightings of a paper within a batch, orders that start again with each batch, empty and null fields, papers without terms."""
+    rng = random.Random(9)
+    some = lambda *xs: rng.choice(xs)
+    stored, joined = (KeyedTable(spark, str(tmp_path / name), ["pmid"]) for name in ("a", "b"))
+    for k in range(3):
+        rows = [
+            (str(rng.randint(0, 12)), some("", f"t{k}-{i}", None), some(None, "", f"a{k}-{i}"), some(None, f"P{k}-{i}"), rng.sample(["q1", "q2", "q3", "q4"], rng.randint(0, 3)), rng.randint(0, 50), some(None, 2000 + i), i)
+            for i in range(25)
+        ]
+        spark.createDataFrame(rows, _SEEN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        landed = spark.readStream.schema(_SEEN).parquet(str(tmp_path / "in"))
+        run_to_end(rounds.merged_candidates(landed), stored.upsert, str(tmp_path / "c1"))
+        run_to_end(landed, rounds.merging(joined), str(tmp_path / "c2"))
+        columns = ["pmid", "title", "abstract", "pmcid", "found_by", "best_rank", "year"]
+        got, want = (sorted(map(str, t.read().select(columns).collect())) for t in (joined, stored))
+        assert got == want and len(got) > 5
+    before = sorted(map(str, joined.read().collect()))
+    rounds.merging(joined)(spark.createDataFrame(rows, _SEEN), 2)
+    assert sorted(map(str, joined.read().collect())) == before
+
+
+def test_stages_without_a_time_to_live_need_no_python(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = E.tracked_stages(E.read_events(spark, str(tmp_path / "in")))
+    assert "Pandas" not in stream._jdf.queryExecution().logical().toString()
+
+
 def test_a_screened_paper_is_never_screened_again(spark):
     candidates = spark.createDataFrame([("1", 3), ("2", 1), ("3", 0)], "pmid string, best_rank int")
     verdicts = spark.createDataFrame([("2", True), ("9", False)], "pmid string, include boolean")
