@@ -12,7 +12,7 @@ from evidary.catalog.roles_sql import with_roles
 from evidary.functions.labels import effect_cell
 from evidary.operators.common import numbered
 from evidary.operators import recurrence as R, reports
-from evidary.session import durable
+from evidary.session import cut
 
 
 def phrases(spark, sf):
@@ -113,9 +113,11 @@ groups AS (SELECT label, count(DISTINCT pmid) AS papers, count(*) AS rows FROM s
 {tail}""", "findings", "order_papers")
 
 
-def grouped(spark, sf):
-    named, clusters = R.label_sites(sites(spark, sf))
-    named = durable(named)
+def grouped(spark, sf, *columns):
+    # The sites are both what is clustered and what is labelled; only columns that are read are cut (none named: all).
+    found = sites(spark, sf)
+    named, clusters = R.label_sites(cut(found.select("pmid", "domain", "predictor", "ord", *columns) if columns else found, "sites"))
+    named = cut(named, "named")
     return named, clusters, R.predictor_groups(named, clusters)
 
 
@@ -129,7 +131,7 @@ SELECT label AS predictor, papers, rows, topics, forms, row_number() OVER (ORDER
     ),
 )
 def predictor_groups(spark, sf):
-    _, _, groups = grouped(spark, sf)
+    _, _, groups = grouped(spark, sf, "row")
     return numbered(groups, ["order"], "place").select(
         F.col("group").alias("predictor"), "papers", "rows", F.array_join("topics", ",").alias("topics"),
         F.array_join("surface_forms", "|").alias("forms"), (F.col("place") + 1).alias("place"),
@@ -146,7 +148,7 @@ FROM site JOIN groups USING (label) GROUP BY label, outcome"""
     ),
 )
 def outcome_groups(spark, sf):
-    named, _, groups = grouped(spark, sf)
+    named, _, groups = grouped(spark, sf, "outcome", "direction")
     outcomes, _ = R.outcome_groups(named, groups)
     return outcomes.select(
         F.col("group").alias("predictor"), F.col("outcome_label").alias("outcome"), "papers", "rows",
@@ -163,7 +165,7 @@ def outcome_groups(spark, sf):
     ),
 )
 def recurrence_totals(spark, sf):
-    named, _, groups = grouped(spark, sf)
+    named, _, groups = grouped(spark, sf, "row")
     return R.index_totals(named, groups).select("groups", "once", "rows", "papers")
 
 

@@ -37,12 +37,16 @@ def _label() -> Column:
 
 
 def surface_forms(df: DataFrame, text: str, scope: list[str], ord: str) -> DataFrame:
-    """Distinct written forms with their counts, keys and first place."""
+    """Distinct written forms with their counts, keys and first place.
+
+    Rows are counted by the text as it is, and only distinct texts are brought into their form.
+    """
+    texts = df.groupBy(*scope, F.col(text).alias("_text")).agg(F.count("*").alias("_n"), F.min(ord).alias("_ord"))
     return (
-        df.select(*scope, inline(text).alias("form"), F.col(ord).alias("_ord"))
+        texts.withColumn("form", inline("_text"))
         .filter(F.col("form") != "")
         .groupBy(*scope, "form")
-        .agg(F.count("*").alias("n"), F.min("_ord").alias("first"))
+        .agg(F.sum("_n").alias("n"), F.min("_ord").alias("first"))
         .withColumn("tokens", surface_key("form"))
         .withColumn("key", F.array_join("tokens", SEP))
         # A phrase whose words all fold away stands for itself alone.
@@ -161,10 +165,16 @@ def _forms_of(clusters: DataFrame, scope: list[str]) -> DataFrame:
 def label_sites(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sites with their predictor label, and the clusters behind the labels."""
     clusters = durable(cluster_phrases(sites, "predictor", "ord"))
-    named = sites.withColumn("_form", inline("predictor")).join(
-        clusters.select(F.col("form").alias("_form"), F.col("label").alias("group")), "_form"
-    )
-    return named.drop("_form"), clusters
+    named = _labelled(sites, "predictor", clusters, [], "group", "inner")
+    return named, clusters
+
+
+def _labelled(sites: DataFrame, text: str, clusters: DataFrame, scope: list[str], name: str, how: str) -> DataFrame:
+    """``sites`` with the label of their form as ``name``; each distinct text is brought into its form once."""
+    forms = clusters.select(*scope, F.col("form").alias("_form"), F.col("label").alias(name))
+    texts = sites.select(*scope, F.col(text).alias("_text")).distinct().withColumn("_form", inline("_text"))
+    known = durable(texts.join(forms, [*scope, "_form"]).drop("_form"))
+    return sites.withColumn("_text", F.col(text)).join(known, [*scope, "_text"], how).drop("_text")
 
 
 def predictor_groups(named: DataFrame, clusters: DataFrame, min_papers: int = fixed.MIN_RECURRING_PAPERS) -> DataFrame:
@@ -198,12 +208,8 @@ def outcome_groups(named: DataFrame, groups: DataFrame) -> tuple[DataFrame, Data
     recurring = named.join(groups.select("group"), "group", "left_semi")
     has_outcome = inline(F.coalesce("outcome", F.lit(""))) != ""
     clusters = durable(cluster_phrases(recurring.filter(has_outcome), "outcome", "ord", ["group"]))
-    labelled = recurring.withColumn("_form", inline(F.coalesce("outcome", F.lit("")))).join(
-        clusters.select("group", F.col("form").alias("_form"), F.col("label").alias("outcome_label")),
-        ["group", "_form"],
-        "left",
-    )
-    labelled = labelled.withColumn("outcome_label", F.coalesce("outcome_label", F.lit(""))).drop("_form")
+    labelled = _labelled(recurring, "outcome", clusters, ["group"], "outcome_label", "left")
+    labelled = labelled.withColumn("outcome_label", F.coalesce("outcome_label", F.lit("")))
     histogram = [F.count_if(F.col("direction") == d).alias(f"n_{d}") for d in fixed.DIRECTIONS]
     outcomes = labelled.groupBy("group", "outcome_label").agg(
         F.count_distinct("pmid").alias("papers"), F.count("*").alias("rows"), *histogram

@@ -176,3 +176,18 @@ def test_the_whole_reconcile_plan(spark):
     assert done.interactions.filter("mirrored").count() == 1 and done.codes.count() == 0
     assert done.nulls.first()["quote"] == "We enrolled 1,204 adults."
     assert F is not None
+
+
+def test_texts_are_brought_into_their_form_once_each(spark, monkeypatch):
+    """However many rows hold a text, and however it is spaced, its form is counted and labelled as before."""
+    seen = []
+    keep = R.inline
+    monkeypatch.setattr(R, "inline", lambda c: seen.append(str(c)) or keep(c))
+    rows = [(str(k), ("old age", " old  age", "ages of old")[k % 3], ("x", None, " ")[k % 3], k, "t", "increases") for k in range(30)]
+    sites = spark.createDataFrame(rows, "pmid string, predictor string, outcome string, ord int, domain string, direction string")
+    named, clusters = R.label_sites(sites)
+    got = {r["form"]: r["n"] for r in clusters.collect()}
+    assert got == {"old age": 20, "ages of old": 10} and named.count() == 30
+    assert seen and all("_text" in c for c in seen)
+    _, labelled = R.outcome_groups(named, R.predictor_groups(named, clusters))
+    assert sorted(r["outcome_label"] for r in labelled.collect()) == [""] * 20 + ["x"] * 10
