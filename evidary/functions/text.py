@@ -98,6 +98,11 @@ def plain_lines(text: Column) -> Column:
     return ~reduce(or_, [F.contains(text, F.lit(c)) for c in _OTHER_BREAKS])
 
 
+def line_feeds_only(value: Column | str) -> Column:
+    """The text with blanks for all line breaks but line feeds."""
+    return F.translate(col(value), _OTHER_BREAKS, " " * len(_OTHER_BREAKS))
+
+
 def lines_of(value: Column | str) -> Column:
     """``splitlines()``: no empty element for a closing line break."""
 
