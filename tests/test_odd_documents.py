@@ -34,3 +34,8 @@ def _equal(spark, given, name):
 @pytest.mark.parametrize("name", ["located_quotes", "quotes_in_documents"])
 def test_quotes_of_odd_documents(spark, given, name):
     _equal(spark, given, name)
+
+
+@pytest.mark.parametrize("name", ["bundle_findings"])
+def test_rules_over_odd_documents(spark, given, name):
+    _equal(spark, given, name)
