@@ -36,6 +36,6 @@ def test_quotes_of_odd_documents(spark, given, name):
     _equal(spark, given, name)
 
 
-@pytest.mark.parametrize("name", ["bundle_findings"])
+@pytest.mark.parametrize("name", ["document_rules", "bundle_findings"])
 def test_rules_over_odd_documents(spark, given, name):
     _equal(spark, given, name)
