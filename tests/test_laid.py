@@ -41,3 +41,23 @@ def test_checks_of_laid_findings_shuffle_nothing(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not any("Exchange" in plan for plan in plans)
+
+
+def test_rendering_moves_papers_alone(spark):
+    from evidary.catalog import queries_docs as Q
+    from evidary.operators import interactions as I, rendering as B
+
+    rows = session.cut(roles.findings(spark, SF), "findings", by="pmid", order=["row"])
+    papers = roles.order_papers(spark, SF).select("*", F.lit("moderate").alias("grade"), F.lit(0.5).alias("score"), F.array(F.lit("size")).alias("unmeasured"))
+    papers = session.cut(papers, "papers", by="pmid")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with session.as_laid(spark):
+            both = I.mirror_interactions(rows, roles.interactions(rows))
+            assert "Exchange" not in _plan(both)
+            links = session.cut(both, "links", by="pmid", order=["row"])
+            made = B.render_documents(papers, Q._marked(rows), roles.null_findings(rows), Q.hints(rows), links)
+            plan = _plan(made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "ObjectHashAggregate" not in plan
