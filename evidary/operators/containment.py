@@ -2,7 +2,8 @@
 
 A quote is held where its folded form stands somewhere in the folded text, which may cut the quote's first and last
 words out of longer ones but not those between.  So each quote is looked up by whole words of its inside: runs of
-``WIDTH`` of them (shingles), or all of them as one run where they are fewer.  The corpus is read once for the places of
+``WIDTH`` of them (shingles).  Where no more than that many are inside, all of them are one run, and its places with the words
+around them tell which texts hold the quote (``held_by_place``).  Else the corpus is read once for the places of
 only those shingles and words that some quote has; each quote is then looked up by the one that the fewest
 texts have, and what is found is verified on the texts.  Quotes of one or two words have no inside: they are first looked
 up in the corpus's vocabulary by a run of letters, and then by the words found.
@@ -14,6 +15,8 @@ own, and quotes repeated with their id are one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidary.functions.text import fold, let, text_or_empty
@@ -70,13 +73,41 @@ def lookup_keys(quotes: DataFrame, docs: DataFrame, width: int) -> tuple[DataFra
     return each, each.limit(0) if short.isEmpty() else _short_keys(short, docs)
 
 
-def corpus_quotes(quotes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(quote_id, doc_id, at, as_code) of every text of ``docs`` (doc_id, text) that holds a quote of ``quotes`` (quote_id, quote).
+def _edged(width: Column, inside: Column, before: Column, after: Column) -> Column:
+    """Hash of a run of words with the last letter of the word before it and the first of the one after."""
+    return F.xxhash64(width, F.array_join(inside, " "), F.right(before, F.lit(1)), F.left(after, F.lit(1)))
 
-    ``at`` is the place of the folded quote in the folded text, from 1; ``as_code`` whether it stands there on word boundaries.
+
+def held_by_place(needles: DataFrame, docs: DataFrame, insides: list[int]) -> DataFrame:
+    """(quote_id, needle, _doc) of the texts that hold needles of which all inside words are one run, ``insides`` long.
+
+    A place of such a run with the words around it tells by itself whether the needle is held: the word before must end as
+    the needle begins, the one after begin as it ends.  Pairs that fail this are never written.
     """
-    needles = quotes.select("quote_id", fold(text_or_empty("quote")).alias("needle")).where("needle <> ''").distinct()
-    needles = cut(needles, "needles")
+    words = F.split("needle", " ")
+    count = F.size(words) - 2
+    asked = needles.select(
+        "quote_id", "needle", words[0].alias("_first"), F.element_at(words, -1).alias("_last"),
+        _edged(count, F.slice(words, F.lit(2), count), words[0], F.element_at(words, -1)).alias("key"),
+    )
+
+    def places(words: Column, width: int) -> Column:
+        starts = F.when(F.size(words) > width + 1, F.sequence(F.lit(1), F.size(words) - width - 1)).otherwise(F.array().cast("array<int>"))
+
+        def place(i: Column) -> Column:
+            before, after = F.get(words, i - 1), F.get(words, i + width)
+            return F.struct(_edged(F.lit(width), F.slice(words, i + 1, F.lit(width)), before, after).alias("key"), before.alias("before"), after.alias("after"))
+
+        return F.transform(starts, place)
+
+    found = let(F.split(fold("text"), " "), lambda words: F.concat(*[places(words, n) for n in insides]))
+    around = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), F.inline(found))
+    held = around.join(asked, "key").where(F.endswith("before", "_first") & F.startswith("after", "_last"))
+    return held.select("quote_id", "needle", "_doc").distinct()
+
+
+def _looked_up(needles: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(quote_id, needle, _doc) of the texts that have what each needle is looked up by."""
     each, any_of = (cut(keys, "lookups") for keys in lookup_keys(needles, docs, width))
     # At most ``width`` of them; no text is cut into shingles that no quote asks for.
     widths = sorted(r["w"] for r in needles.select(_inner_width(width).alias("w")).distinct().collect()) or [1]
@@ -87,7 +118,25 @@ def corpus_quotes(quotes: DataFrame, docs: DataFrame, width: int = WIDTH) -> Dat
     rarest = each.join(held_by, "key", "left").groupBy("quote_id", "needle").agg(
         F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "key"))["key"].alias("key")
     )
-    found = rarest.unionByName(any_of.select("quote_id", "needle", "key")).join(places, "key").select("quote_id", "needle", F.col("doc_id").alias("_doc")).distinct()
+    keyed = rarest.unionByName(any_of.select("quote_id", "needle", "key"))
+    return keyed.join(places, "key").select("quote_id", "needle", F.col("doc_id").alias("_doc")).distinct()
+
+
+def corpus_quotes(quotes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(quote_id, doc_id, at, as_code) of every text of ``docs`` (doc_id, text) that holds a quote of ``quotes`` (quote_id, quote).
+
+    ``at`` is the place of the folded quote in the folded text, from 1; ``as_code`` whether it stands there on word boundaries.
+    """
+    needles = quotes.select("quote_id", fold(text_or_empty("quote")).alias("needle")).where("needle <> ''").distinct()
+    needles = cut(needles, "needles")
+    inner = F.size(F.split("needle", " ")) - 2
+    of_one_run = (inner > 0) & (inner <= width)
+    insides = sorted(r["n"] for r in needles.where(of_one_run).select(inner.alias("n")).distinct().collect())
+    others = needles.where(~of_one_run)
+    parts = [held_by_place(needles.where(of_one_run), docs, insides)] if insides else []
+    if not insides or not others.isEmpty():
+        parts.append(_looked_up(others, docs, width))
+    found = cut(reduce(DataFrame.unionByName, parts), "found")
     texts = docs.select("doc_id", fold("text").alias("folded"))
     held = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.contains("folded", "needle"))
     padded = F.contains(F.concat(F.lit(" "), "folded", F.lit(" ")), F.concat(F.lit(" "), "needle", F.lit(" ")))

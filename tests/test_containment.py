@@ -61,3 +61,11 @@ def test_quotes_of_few_words_are_looked_up_by_their_whole_inside(spark):
     assert each.count() == 1
     found = text_keys(docs, [2]).join(each, "key")
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 2]
+
+
+def test_no_pair_that_fails_is_kept(spark):
+    """Texts that share only the inside of a quote are told apart where they are found."""
+    docs = spark.createDataFrame([(1, "one the cat sat on two"), (2, "in a cat sat by"), (3, "bathe cat sat onto"), (4, "the cat sat"), (5, None)], "doc_id long, text string")
+    needles = spark.createDataFrame([("q", "the cat sat on"), ("r", "he cat sat on"), ("s", "a cat sat b")], "quote_id string, needle string")
+    found = containment.held_by_place(needles, docs, [2]).collect()
+    assert sorted((r["quote_id"], r["_doc"]) for r in found) == [("q", 1), ("q", 3), ("r", 1), ("r", 3), ("s", 2)]
